@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, mpegts
+from . import exact_dedup, mixing, mpegts, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +21,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mpegts.demux_streams(mpegts.mux_documents(_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_mix_sources, op6_transport_streams)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_mix_sources, op5_pattern_packing, op6_transport_streams)}
 
 
 _OP2 = """
