@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, mpegts, packing
+from . import exact_dedup, mixing, mpegts, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,12 @@ def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_mix_sources, op5_pattern_packing, op6_transport_streams)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_mix_sources, op5_pattern_packing, op6_transport_streams, op7_warc_segments)}
 
 
 _OP2 = """
