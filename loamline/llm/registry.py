@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, mpegts, packing, warc
+from . import exact_dedup, mixing, mpegts, packing, site_style, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,12 @@ def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_mix_sources, op5_pattern_packing, op6_transport_streams, op7_warc_segments)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_mix_sources, op5_pattern_packing, op6_transport_streams, op7_warc_segments, op8_site_style_tree)}
 
 
 _OP2 = """
