@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, mpegts, packing, quality, site_style, warc
+from . import exact_dedup, mixing, mpegts, packing, quality, site_style, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,7 +47,7 @@ def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bradley_terry, op2_exact_dedup, op4_mix_sources, op5_pattern_packing, op6_transport_streams, op7_warc_segments, op8_site_style_tree)}
+    return {f.__name__: f for f in (op1_bradley_terry, op2_exact_dedup, op3_pattern_grammar, op4_mix_sources, op5_pattern_packing, op6_transport_streams, op7_warc_segments, op8_site_style_tree)}
 
 
 _OP2 = """
