@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, exact_dedup, mixing, mpegts, packing, quality, site_style, toxicity, warc
+from . import chunk_dedup, exact_dedup, minhash, mixing, mpegts, packing, quality, site_style, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,16 @@ def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bradley_terry, op2_exact_dedup, op3_pattern_grammar, op4_mix_sources, op5_pattern_packing, op6_transport_streams, op7_warc_segments, op8_site_style_tree, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_bradley_terry, op2_exact_dedup, op3_pattern_grammar, op4_mix_sources, op5_pattern_packing, op6_transport_streams, op7_warc_segments, op8_site_style_tree, op9_chosen_path, op10_chunk_dedup)}
 
 
 _OP2 = """
