@@ -3,9 +3,9 @@
 1. A document's set is its distinct word shingles (64-bit hashes). Documents with equal sets form a class; only classes go on.
 2. Trees: each of TREES independent trees branches all classes by one minwise token. A node of at most NODE classes is compared
    exhaustively; a larger one branches again by BRANCHES further tokens, and nodes that stay large are cut into blocks of which
-   every pair is compared. A pair at similarity s reaches a common node of a level but with probability (1 - s)^8: at 0.85 one
-   pair in four million is missed. Comparing uses 128 one-byte minhashes and keeps pairs that agree in 70 %: at 0.85 less than
-   one pair in 100,000 is under that.
+   every pair is compared. A pair at similarity s reaches no common node of a level with probability (1 - s)^8: at 0.85 one
+   pair in four million is missed. Comparing uses 128 one-byte minhashes and keeps pairs that agree in SLACK percent less
+   than the threshold: about one linked pair in 100,000 is under that.
 3. The kept pairs' spanning forests give candidate groups. The texts of a group's members come together once, in bounded blocks,
    and exact intersections of their full sets decide every link.
 4. Components of the links are found by large-star and small-star rounds.
@@ -30,7 +30,7 @@ from .common import grouped, join_skewed, map_slices, matching, slices, written
 from .components import connected, labels
 from .textbytes import mix, per_document, shingle_hashes, text_bytes, word_bounds, word_hashes
 
-TREES, BRANCHES, SIGNATURE, AGREE = 8, 8, 128, 0.70
+TREES, BRANCHES, SIGNATURE, SLACK = 8, 8, 128, 15
 NODE, GROUP_ROWS, GROUP_BYTES = 1024, 1500, 16 << 20
 NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(77)
@@ -121,7 +121,7 @@ def _forest(docs: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 def candidate_links(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): spanning forests, node by node, of the pairs whose sizes allow the threshold and whose sketches agree enough."""
     rows = members.join(classes.select("doc", "n", "sketch"), "doc").select("key", "doc", "n", "sketch")
-    least = int(AGREE * SIGNATURE)
+    least = (percent - SLACK) * SIGNATURE // 100
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key"]):
