@@ -1 +1 @@
-
+"""Column expressions: predicates, text, times."""

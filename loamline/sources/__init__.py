@@ -1 +1 @@
-
+"""Tables of an archive: reading, optional columns, atomic publishing."""

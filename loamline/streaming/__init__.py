@@ -1 +1 @@
-
+"""Change feeds by Structured Streaming."""
