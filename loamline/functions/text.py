@@ -42,6 +42,10 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
 
 
+def _any_starts(words: Column, prefix: str) -> Column:
+    return F.exists(words, lambda x: x.startswith(prefix))
+
+
 def matches(words: Column, terms: list[Term]) -> Column:
     """Whether a token array matches all terms. No terms match nothing."""
     if not terms:
@@ -52,7 +56,7 @@ def matches(words: Column, terms: list[Term]) -> Column:
         if term.kind == "word":
             found.append(F.array_contains(words, term.words[0]))
         elif term.kind == "prefix" and len(term.words) == 1:
-            found.append(F.exists(words, lambda x, p=term.words[0]: x.startswith(p)))
+            found.append(_any_starts(words, term.words[0]))
         else:
             found.append(line.contains(f" {' '.join(term.words)}{'' if term.kind == 'prefix' else ' '}"))
     return reduce(lambda a, b: a & b, found)

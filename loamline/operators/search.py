@@ -32,10 +32,14 @@ def dedupe(hits: DataFrame, digest: str, *order: Column) -> DataFrame:
     return newest_per(hits, [digest], *order)
 
 
+def _count(word: str) -> Column:
+    return F.size(F.filter("_w", lambda x: x == word))
+
+
 def bm25(df: DataFrame, key: str, column: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key and score of the rows that have every term: term and document frequencies are aggregates, the corpus sums one row."""
     words = sorted({w for t in parse_query(text) for w in t.words})
-    rows = df.select(key, tokens(column).alias("_w")).select(key, F.size("_w").alias("_n"), *(F.size(F.filter("_w", lambda x, w=w: x == w)).alias(f"_f{i}") for i, w in enumerate(words)))
+    rows = df.select(key, tokens(column).alias("_w")).select(key, F.size("_w").alias("_n"), *(_count(w).alias(f"_f{i}") for i, w in enumerate(words)))
     stats = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(words))))
     score = F.lit(0.0)
     for i in range(len(words)):
