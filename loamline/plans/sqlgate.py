@@ -27,7 +27,7 @@ def guarded(spark: SparkSession, folder: str, statement: str, names: list[str],
         raise ReadOnlyError("only reading statements are allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     kinds = plan.toString()
-    if re.search(r"^'?(Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|Set|AddFile|Cache|Refresh|Load|Replace)\w*", kinds, re.M):
+    if re.search(r"^[ :+-]*'?(Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|SetCommand|SetCatalog|AddFile|Cache|Refresh|Load|Replace)\w*", kinds, re.M):
         raise ReadOnlyError("the statement changes something")
     for name in names:
         table(spark, folder, name).createOrReplaceTempView(name)
