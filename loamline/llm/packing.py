@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 CAPACITY, END_ID, SALTS = 4096, 1, 1024
-WORDS_HELD = 1_500_000
+WORDS_HELD = 900_000
 
 
 def default_tokenizer() -> str:
@@ -60,41 +60,52 @@ class WordEncoder:
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self.stems: dict[str, np.ndarray] = {}
-        self.marks: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
         self.used = 0
+        self._append([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def _encode_stems(self, stems: list[str]) -> None:
-        joined = [" ".join(stems[i : i + 200]) for i in range(0, len(stems), 200)]
-        ids = np.concatenate([np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-        ends = np.flatnonzero(self.last[ids]) + 1
-        runs = np.split(ids, ends[:-1])
-        if len(runs) != len(stems):  # a letter whose small form is two characters ends a word early
-            runs = [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
-        self.stems.update(zip(stems, runs, strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        cut = [s.lower() if s.isascii() else s for s in (w.rstrip(self.MARKS) for w in words)]
-        plain = [s.isalpha() for s in cut]
-        if fresh := [s for s in dict.fromkeys(s for s, p in zip(cut, plain, strict=True) if p) if s not in self.stems]:
-            self._encode_stems(fresh)
-        out = []
-        for w, s, p in zip(words, cut, plain, strict=True):
-            mark = w[len(s) :] if p else w
-            if mark not in self.marks:
-                self.marks[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, np.uint32)
-            out.append(self.stems[s] if p and not mark else np.concatenate([self.stems[s], self.marks[mark]]) if p else self.marks[mark])
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        n, total = len(self.known), int(sizes.sum())
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
         while n + len(words) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        while self.used + total > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.concatenate(out)
+        self.ids[self.used : self.used + len(ids)] = ids
         self.begin[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += total
+        self.used += len(ids)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _append_each(self, words: list[str]) -> None:
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._append(words, np.array([i for ids in coded for i in ids], np.uint32), np.array([len(ids) for ids in coded], np.int64))
+
+    def _append_stems(self, stems: list[str]) -> None:
+        joined = [" ".join(stems[i : i + 200]) for i in range(0, len(stems), 200)]
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(stems):
+            self._append(stems, ids, np.diff(ends, prepend=0))
+        else:  # a letter whose small form is two characters ends a word early
+            self._append_each(stems)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many known words one after another, and how many each has."""
+        begin = self.begin[at]
+        size = self.begin[at + 1] - begin
+        ahead = np.cumsum(size) - size
+        return self.ids[np.repeat(begin - ahead, size) + np.arange(int(size.sum()))], size
+
+    def _learn(self, words: list[str]) -> None:
+        known, marks = self.known, self.MARKS
+        cut = [s.lower() if s.isascii() else s for s in (w.rstrip(marks) for w in words)]
+        pairs = [(w, s, w[len(s) :]) if s.isalpha() else (w, "", w) for w, s in zip(words, cut, strict=True)]
+        if stems := [s for s in dict.fromkeys(s for _, s, _ in pairs) if s not in known]:
+            self._append_stems(stems)
+        if others := [m for m in dict.fromkeys(m for _, _, m in pairs) if m not in known]:
+            self._append_each(others)
+        if rest := [p for p in pairs if p[0] not in known]:
+            ids, size = self._gather(np.array([known[x] for _, s, m in rest for x in (s, m)], np.int64))
+            self._append([w for w, _, _ in rest], ids, size.reshape(-1, 2).sum(1))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): each text's ids and after them the end id."""
         if len(self.known) > WORDS_HELD:
@@ -106,15 +117,13 @@ class WordEncoder:
             self._learn(fresh)
         number = np.array([self.known[w] for w in distinct], np.int64)
         at = number[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        begin = self.begin[at]
-        size = self.begin[at + 1] - begin
+        ids, size = self._gather(at)
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        ahead = np.concatenate([[0], np.cumsum(size)])
-        offsets = ahead[bounds] + np.arange(len(bounds))
+        offsets = np.concatenate([[0], np.cumsum(size)])[bounds] + np.arange(len(bounds))
         out = np.full(offsets[-1], END_ID, np.uint32)
         inner = np.ones(len(out), bool)
         inner[offsets[1:] - 1] = False
-        out[inner] = self.ids[np.repeat(begin - ahead[:-1], size) + np.arange(ahead[-1])]
+        out[inner] = ids
         return out, offsets
 
 
