@@ -96,6 +96,7 @@ def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
         for batch in batches:
             for part in slices(batch, at, limit):
                 yield fn(part)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

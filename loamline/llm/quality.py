@@ -23,6 +23,7 @@ from .common import map_slices
 from .textbytes import per_document, text_bytes, word_bounds, word_hashes
 
 MAX_LABELLED, PAIRS_EACH, CUT = 20_000, 20, 0.7
+SCORE = "quality_score"
 
 
 def _flags(chars: bytes | range) -> np.ndarray:
@@ -150,23 +151,24 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, mos
 
 def scored(docs: DataFrame, model: BradleyTerry | None, columns: list[str], schema: str) -> DataFrame:
     """`columns` of docs (text among them or not) with the score of each text."""
+    read = columns if "text" in columns else [*columns, "text"]
+    at = read.index("text")
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = batch.column(batch.num_columns - 1)
-        score = model.score(features(text)) if model else np.full(batch.num_rows, 0.5)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*columns, "score"])
+        score = model.score(features(batch.column(at))) if model else np.full(batch.num_rows, 0.5)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score)], [*columns, SCORE])
 
-    return map_slices(docs.select(*columns, F.col("text").alias("_text")), "_text", measure, f"{schema}, score double")
+    return map_slices(docs.select(*read), "text", measure, f"{schema}, {SCORE} double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     out = scored(docs, train(docs, labels, parts, part), ["doc_id"], "doc_id long")
-    return out.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= CUT).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
     model = train(docs, labels, parts, part)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return scored(docs, model, docs.columns, fields).where(F.col("score") >= CUT).select(docs.columns)
+    return scored(docs, model, docs.columns, fields).where(F.col(SCORE) >= CUT).select(docs.columns)
