@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 CAPACITY, END_ID, SALTS = 4096, 1, 1024
-WORDS_HELD = 900_000
+WORDS_HELD = 500_000
 
 
 def default_tokenizer() -> str:
@@ -127,15 +127,12 @@ class WordEncoder:
         return out, offsets
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders[path] if path in _encoders else _encoders.setdefault(path, WordEncoder(path))
+        encoder = WordEncoder(path)  # a task's own, so a worker that is used again holds none of it
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 ids, offsets = encoder.encode(part.column(1))
