@@ -4,8 +4,8 @@ A gear rolling hash over the last 32 bytes puts chunk bounds where its top bits
 resync after an insertion. Chunks (16 to 192 bytes, about 48) are told apart by a 96-bit digest. A digest that occurs in two
 documents or more is repeated, and consecutive repeated chunks of a document form a span, reported with the document that holds
 most of its chunks first (the smallest doc_id). A span of `min_words` words counts. A repeated passage reaches beyond its whole
-chunks, so a span with fewer words, but EDGE_WORDS at least, is compared byte by byte with others beyond its first and its last
-chunk, and counts if it has `min_words` words with what it shares there.
+chunks, so at a span with fewer words, but EDGE_WORDS at least, every run of `min_words` words that meets it is told by a 64-bit
+digest of its bytes, and the passage of those that another document holds too is reported.
 
 Chunk rows are written once; digests are counted with map-side combining and joined back with a skew-safe join, so a passage that
 a third of the documents share costs no single task more. Nothing is capped.
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import join_skewed, map_slices, matching, written
 from .textbytes import text_bytes, word_bounds
 
-LEAST, MOST, BITS, MIN_WORDS, EDGE_WORDS, EDGE_BYTES = 16, 192, 5, 50, 12, 800
+LEAST, MOST, BITS, MIN_WORDS, EDGE_WORDS = 16, 192, 5, 50, 12
 NO_ID = -(1 << 63)
 GEAR = np.random.default_rng(4096).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -95,64 +94,57 @@ def chunks(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), "text", cut, "doc long, text_key long, ordinal int, start long, size int, words int, digest binary")
 
 
-def words_before(left: bytes | None, other: bytes | None) -> int:
-    """Whole words that two texts share right before a common part."""
-    if not left or not other:
-        return 0
-    n = next((i for i, (a, b) in enumerate(zip(reversed(left), reversed(other), strict=False)) if a != b), min(len(left), len(other)))
-    shared = left[len(left) - n :]
-    cut = bool(shared) and n < min(len(left), len(other)) and not shared[:1].isspace()
-    return len(shared.split()) - cut
+def windows(docs: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
+    """doc, text_key, word, start, size, the chunks within and digest of every run of min_words whole words that meets one of the spans."""
 
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, offsets = text_bytes(batch.column(2))
+        starts, ends, first = word_bounds(raw, offsets)
+        lists = batch.column(3)
+        doc = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        begin, size = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        begin = begin + offsets[doc]
+        low = np.maximum(np.searchsorted(ends, begin, "right") - min_words + 1, first[doc])
+        high = np.minimum(np.searchsorted(starts, begin + size), first[doc + 1] - min_words + 1)
+        marks = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(marks, low[low < high], 1)
+        np.add.at(marks, high[low < high], -1)
+        word = np.flatnonzero(np.cumsum(marks) > 0)
+        a, b = starts[word], ends[word + min_words - 1]
+        data = raw.tobytes()
+        digests = b"".join(hashlib.blake2b(data[i:j], digest_size=8).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True))
+        doc = np.searchsorted(offsets, a, "right") - 1
+        chunk_starts, chunk_ends = chunk_bounds(raw, offsets)
+        base = np.searchsorted(chunk_starts, offsets)[doc]
+        ints = (word - first[doc], a - offsets[doc], b - a, np.searchsorted(chunk_starts, a) - base, np.searchsorted(chunk_ends, b, "right") - base)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *(pa.array(x, pa.int32()) for x in ints), pa.array(np.frombuffer(digests, "<i8"))],
+            ["doc", "text_key", "word", "start", "size", "chunk", "chunk_end", "digest"],
+        )
 
-def words_after(right: bytes | None, other: bytes | None) -> int:
-    """Words that begin, and end, in what two texts share right after a common part."""
-    if not right or not other:
-        return 0
-    m = next((i for i, (a, b) in enumerate(zip(right, other, strict=False)) if a != b), min(len(right), len(other)))
-    shared = right[:m]
-    starts = sum(shared[i - 1 : i].isspace() and not shared[i : i + 1].isspace() for i in range(1, len(shared)))
-    cut = starts > 0 and m < min(len(right), len(other)) and not shared[-1:].isspace()
-    return starts - cut
+    lists = spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")
+    texts = matching(texts, spans.select("doc").distinct(), ["doc"]).join(lists, ["doc", "text_key"]).select("doc", "text_key", "text", "spans")
+    return map_slices(texts, "text", cut, "doc long, text_key long, word int, start int, size int, chunk int, chunk_end int, digest long")
 
 
-def _confirmed(docs: DataFrame, rows: DataFrame, unsure: DataFrame, min_words: int) -> DataFrame:
-    """The unsure spans that have enough words with what they share beyond their chunks.
+def _confirmed(docs: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
+    """The passages at the spans of which every word is in a run of min_words words that stands in another document too.
 
-    To the left a span is compared with the first and the last holder of its first chunk, to the right with those of its last chunk. They
-    come from an aggregation and are joined back skew-safe, so a chunk at the edge of very many spans is no task of its own.
+    All holders of a run count, as runs meet by the digest of all their bytes; what is left and right of a span's chunks is so in one and the same partner.
     """
-    edges = written(unsure.select(F.explode(F.array("first_digest", "last_digest")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")), "edges")
-    place = F.struct("doc", "text_key", "start", "size")
-    holders = matching(rows, edges.select("digest"), ["digest"]).groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    holders = written(holders.select("digest", F.posexplode(F.array("low", "high")).alias("end", "at")).select("digest", "end", "at.*"), "holders")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    texts = matching(texts, unsure.select("doc").union(holders.select("doc")).distinct(), ["doc"]).withColumn("text_key", F.crc32("data"))
-    begin = F.greatest(F.lit(0), F.col("start") - EDGE_BYTES)
-    left = F.substring("data", (begin + 1).cast("int"), (F.col("start") - begin).cast("int")).alias("left")
-    right = F.substring("data", (F.col("start") + F.col("size") + 1).cast("int"), F.lit(EDGE_BYTES)).alias("right")
-    own = unsure.join(texts, ["doc", "text_key"]).select(*unsure.columns, left, right).dropDuplicates(["doc", "text_key", "start"])
-    sides = holders.join(texts, ["doc", "text_key"]).select("digest", "end", F.struct("doc", "text_key", left, right).alias("e"))
-    sides = sides.groupBy("digest").agg(*(F.max(F.when(F.col("end") == k, F.col("e"))).alias(f"e{k}") for k in (0, 1)))
-    sides = written(sides.join(edges, "digest"), "sides")
-    names = unsure.columns
-    both = own
-    for digest, side in (("first_digest", "left"), ("last_digest", "right")):
-        both = join_skewed(both, sides.withColumnRenamed("digest", digest), digest, "n")
-        other = [F.when((F.col(f"e{k}.doc") != F.col("doc")) | (F.col(f"e{k}.text_key") != F.col("text_key")), F.col(f"e{k}.{side}")).alias(f"{side}{k}") for k in (0, 1)]
-        both = both.select(*(c for c in both.columns if c not in ("e0", "e1")), *other)
-    both = both.select(*names, "left", "right", "left0", "left1", "right0", "right1")
-    n = len(names)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)
-            more = [max(words_before(l, a), words_before(l, b)) + max(words_after(r, c), words_after(r, d)) for l, r, a, b, c, d in sides]  # noqa: E741
-            words = [a + b for a, b in zip(batch.column("n_words").to_pylist(), more, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(words, pa.int64())], [*names, "passage_words"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in unsure.schema)
-    return both.mapInArrow(compare, f"{fields}, passage_words long").where(F.col("passage_words") >= min_words).drop("passage_words")
+    rows = written(windows(docs, spans, min_words), "windows")
+    counts = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+    shared = written(counts.where("first_doc < last_doc").drop("last_doc"), "shared-windows")
+    hits = join_skewed(rows, shared, "digest", "n").drop("digest")
+    order = Window.partitionBy("doc", "text_key").orderBy("word")
+    fresh = F.coalesce((F.col("word") > F.lag("word").over(order) + min_words).cast("int"), F.lit(1))
+    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    end = F.max(F.col("start") + F.col("size"))
+    return runs.groupBy("doc", "text_key", "run").agg(
+        F.min("start").cast("long").alias("start"), (end - F.min("start")).cast("long").alias("size"), F.greatest(F.lit(0), F.max("chunk_end") - F.min("chunk")).cast("long").alias("n_chunks"),
+        (F.max("word") - F.min("word") + min_words).cast("long").alias("n_words"), F.mode("first_doc", True).alias("first_doc"),
+    ).drop("run")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -166,11 +158,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fresh = F.coalesce((F.col("ordinal") != F.lag("ordinal").over(order) + 1).cast("int"), F.lit(1))
     runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
     spans = runs.groupBy("doc", "text_key", "run").agg(
-        F.min("start").alias("start"), F.sum("size").alias("size"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.mode("first_doc", True).alias("first_doc"), F.min_by("digest", "ordinal").alias("first_digest"), F.max_by("digest", "ordinal").alias("last_digest")
+        F.min("start").alias("start"), F.sum("size").alias("size"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.mode("first_doc", True).alias("first_doc")
     )
     spans = written(spans.drop("run").where(F.col("n_words") >= EDGE_WORDS), "spans")
     sure = spans.where(F.col("n_words") >= min_words)
-    found = sure.unionByName(_confirmed(docs, rows, spans.where(F.col("n_words") < min_words), min_words))
+    found = sure.unionByName(_confirmed(docs, spans.where(F.col("n_words") < min_words), min_words))
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(own("doc").alias("doc_id"), "text_key", "start", "size", "n_chunks", "n_words", own("first_doc").alias("first_doc_id"), (F.col("doc") == F.col("first_doc")).alias("kept"))
 

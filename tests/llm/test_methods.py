@@ -343,6 +343,23 @@ def test_repeats_against_brute_force(spark, docs):
     assert len(long - got) <= 0.05 * len(long) and got <= shared
 
 
+def _words_of(seed, n):
+    rng = random.Random(seed)
+    return [f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(1000)}" for _ in range(n)]
+
+
+def test_short_passage_with_common_edges_is_found(spark):
+    """Every chunk of a passage of 52 words stands in documents 1 and 99 too, but only 10 and 20 share the passage."""
+    for seed in range(2):
+        passage = _words_of(seed, 52)
+        text = " ".join(passage)
+        common = [" ".join(passage[:26]), " ".join(passage[26:])]
+        rows = [(k, f"{' '.join(_words_of(100 * seed + k, 30))} {x} {' '.join(_words_of(100 * seed + k + 1, 30))}") for k, x in ((10, text), (20, text), (1, common[0]), (2, common[1]), (98, common[0]), (99, common[1]))]
+        spans = chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        texts = {i: t.encode() for i, t in rows}
+        assert {(r["doc_id"], r["first_doc_id"], texts[r["doc_id"]][r["start"] : r["start"] + r["size"]].decode()) for r in spans} == {(10, 10, text), (20, 10, text)}
+
+
 # classifiers
 
 
