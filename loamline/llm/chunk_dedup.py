@@ -2,10 +2,10 @@
 
 A gear rolling hash over the last 32 bytes puts chunk bounds where its top bits are zero, so bounds move with the content and
 resync after an insertion. Chunks (16 to 192 bytes, about 48) are told apart by a 96-bit digest. A digest that occurs in two
-documents or more is repeated, and consecutive repeated chunks of a document form a span, reported with the document that holds
-most of its chunks first (the smallest doc_id). A span of `min_words` words counts. A repeated passage reaches beyond its whole
-chunks, so at a span with fewer words, but EDGE_WORDS at least, every run of `min_words` words that meets it is told by a 64-bit
-digest of its bytes, and the passage of those that another document holds too is reported.
+documents or more is repeated, and consecutive repeated chunks of a document form a span. The chunks of a span may come from
+different documents, and a repeated passage reaches beyond its whole chunks, so a span of EDGE_WORDS words or more only says where
+to look: every run of `min_words` whole words that meets it is told by a 64-bit digest of its bytes, and what is in such runs that
+another document holds too is reported, with the document that is first for most of them (the smallest doc_id).
 
 Chunk rows are written once; digests are counted with map-side combining and joined back with a skew-safe join, so a passage that
 a third of the documents share costs no single task more. Nothing is capped.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_skewed, map_slices, matching, written
+from .common import discard, join_skewed, map_slices, matching, written
 from .textbytes import text_bytes, word_bounds
 
 LEAST, MOST, BITS, MIN_WORDS, EDGE_WORDS = 16, 192, 5, 50, 12
@@ -151,18 +151,17 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key, start, size (bytes), n_chunks, n_words, first_doc_id and kept (it is the first holder) of every repeated span."""
     rows = written(chunks(docs), "chunks")
     counts = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    shared = written(counts.where("first_doc < last_doc").drop("last_doc"), "shared-chunks")
+    shared = written(counts.where("first_doc < last_doc").select("digest", "n"), "shared-chunks")
     hits = join_skewed(rows, shared, "digest", "n")
     hits = hits.dropDuplicates(["doc", "text_key", "ordinal"])
     order = Window.partitionBy("doc", "text_key").orderBy("ordinal")
     fresh = F.coalesce((F.col("ordinal") != F.lag("ordinal").over(order) + 1).cast("int"), F.lit(1))
     runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    spans = runs.groupBy("doc", "text_key", "run").agg(
-        F.min("start").alias("start"), F.sum("size").alias("size"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.mode("first_doc", True).alias("first_doc")
-    )
+    spans = runs.groupBy("doc", "text_key", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"))
     spans = written(spans.drop("run").where(F.col("n_words") >= EDGE_WORDS), "spans")
-    sure = spans.where(F.col("n_words") >= min_words)
-    found = sure.unionByName(_confirmed(docs, spans.where(F.col("n_words") < min_words), min_words))
+    discard(rows)
+    discard(shared)
+    found = _confirmed(docs, spans, min_words)
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(own("doc").alias("doc_id"), "text_key", "start", "size", "n_chunks", "n_words", own("first_doc").alias("first_doc_id"), (F.col("doc") == F.col("first_doc")).alias("kept"))
 

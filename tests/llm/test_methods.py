@@ -360,6 +360,14 @@ def test_short_passage_with_common_edges_is_found(spark):
         assert {(r["doc_id"], r["first_doc_id"], texts[r["doc_id"]][r["start"] : r["start"] + r["size"]].decode()) for r in spans} == {(10, 10, text), (20, 10, text)}
 
 
+def test_chunks_of_different_documents_are_no_passage(spark):
+    """All chunks of document 1 stand in other documents, none of which shares more than 30 words with it."""
+    words = _words_of(1, 210)
+    rows = [(1, " ".join(words)), *((10 + k, f"{' '.join(_words_of(50 + k, 40))} {' '.join(words[15 * k : 15 * k + 30])} {' '.join(_words_of(90 + k, 40))}") for k in range(13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert chunk_dedup.repeated_spans(docs).collect() == []
+
+
 # classifiers
 
 
