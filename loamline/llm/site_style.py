@@ -3,7 +3,8 @@
 Pass 1 parses every page into a light DOM and emits, for each style path (tags with their classes and ids, from the root), a hash of
 the page's content under that path and a hash of the style sequence of its children. Counts by host merge same-host DOMs into
 one tree; a path's content and presentation importance are the entropies of these hashes over the host's pages, each as a
-share of the largest possible. A tree merged over all hosts also serves hosts with few pages. Pass 2 parses again and drops
+share of the largest possible. Pages with the same texts under the same paths count once in a tree, so copies of a page don't look
+like furniture. A tree merged over all hosts also serves hosts with few pages. Pass 2 parses again and drops
 
 * what no reader sees (scripts, styles, forms, comments in the markup, hidden elements),
 * branches whose tag, role, class or id names page furniture: menus, headers, footers, side bars, notices, adverts, reader comments,
@@ -19,6 +20,7 @@ is cut at any length.
 
 from __future__ import annotations
 
+import hashlib
 import html as markup
 import re
 import zlib
@@ -182,19 +184,21 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """host ('*': all hosts), path, pages, content and presentation: the merged trees with their importances."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, paths, kinds, values = [], [], [], []
+        hosts, keys, nodes = [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            host = host_of(url)
-            for path, kind, value in page_signature(page or ""):
-                hosts.append(host)
-                paths.append(path)
-                kinds.append(kind)
-                values.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(values, pa.int64())], ["host", "path", "kind", "value"])
-
-    nodes = map_slices(pages.select("url", "html"), "html", emit, "host string, path string, kind int, value long", 4 << 20)
-    counts = written(nodes.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c")), "styles")
-    both = counts.unionByName(counts.groupBy("path", "kind", "value").agg(F.sum("c").alias("c")).withColumn("host", F.lit("*")))
+            found = page_signature(page or "")
+            texts = sorted((path, value) for path, kind, value in found if kind == 0)
+            hosts.append(host_of(url))
+            keys.append(int.from_bytes(hashlib.blake2b(repr(texts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+            nodes.append([{"path": path, "kind": kind, "value": value} for path, kind, value in sorted(found)])
+        node = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(node))], ["host", "page", "nodes"])
+
+    each = map_slices(pages.select("url", "html"), "html", emit, "host string, page long, nodes array<struct<path: string, kind: int, value: long>>", 4 << 20)
+    once = written(each.groupBy("host", "page").agg(F.min("nodes").alias("nodes")), "styles")
+    everywhere = once.groupBy("page").agg(F.min("nodes").alias("nodes")).select(F.lit("*").alias("host"), "nodes")
+    rows = once.select("host", "nodes").unionByName(everywhere).select("host", F.explode("nodes").alias("node")).select("host", "node.*")
+    both = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     # entropy of the value distribution: log n - sum(c log c) / n, as a share of log n
     spread = both.groupBy("host", "path").agg(*(F.sum(F.when(F.col("kind") == k, e)).alias(f"{name}{k}") for k in (0, 1) for name, e in (("n", F.col("c")), ("s", F.col("c") * F.log("c")))))
     share = lambda k: F.when(F.col(f"n{k}") > 1, 1 - F.col(f"s{k}") / F.col(f"n{k}") / F.log(f"n{k}")).otherwise(1.0)

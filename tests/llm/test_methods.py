@@ -308,6 +308,15 @@ def test_style_tree_without_broadcast(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in site_style.extract(df).collect()} == {i: f"Story {i}" for i in range(12)}
 
 
+@pytest.mark.parametrize("frame", ["<p class=t>{}</p>", "<article><p class=t>{}</p></article>"])
+def test_copies_of_a_page_are_no_furniture(spark, frame):
+    """A host of copies, one that is mostly copies, and copies on many hosts keep their text."""
+    texts = [("same.x", "only page")] * 6 + [("most.x", "page again")] * 30 + [("most.x", f"page {i}") for i in range(6)] + [(f"h{i}.x", "mirrored") for i in range(40)]
+    pages = [(i, f"http://{host}/{i}", frame.format(text)) for i, (host, text) in enumerate(texts)]
+    out = site_style.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {i: text for i, (_, text) in enumerate(texts)}
+
+
 # chunks
 
 
