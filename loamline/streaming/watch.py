@@ -69,11 +69,12 @@ def since(changes: DataFrame, cursor: int, order: str) -> tuple[DataFrame, int]:
 
 
 def _to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all there is and return what its sink holds."""
-    spark, name = stream.sparkSession, f"sink_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Run a stream over all there is and return what its last batch left, written as Parquet by the executors and read again."""
+    spark, path = stream.sparkSession, _shared(stream.sparkSession, "result")
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    sink = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    sink.option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def _file_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The watch loop over a landing folder."""
 
 from loamline.sources import archive
-from loamline.streaming.watch import landing, since, watch
+from loamline.streaming.watch import counted, landing, newest_versions, since, watch
 
 SCHEMA = "k long, version long, deleted_at long, body string, arrival long"
 
@@ -35,3 +35,8 @@ def test_cursor(spark):
     df = spark.range(5)
     new, cursor = since(df, 2, "id")
     assert new.count() == 2 and cursor == 4 and since(df, 9, "id")[1] == 9
+
+
+def test_results_are_files_not_driver_rows(spark, small):
+    for out in (newest_versions(spark, f"{small}/events.parquet"), counted(spark, f"{small}/events.parquet")):
+        assert out.inputFiles() and out.count() > 0
