@@ -61,6 +61,17 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, how: str =
     return rest.unionByName(left.join(F.broadcast(hot), key))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """A name for each wanted one that no column has, whatever its case, so that a caller's columns are never replaced."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; it reads no more than it needs to know that."""
     return df.limit(rows + 1).count() <= rows

@@ -70,6 +70,19 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((sums[ends] - sums[starts]) * down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
 
 
+class RunHash:
+    """64-bit digests of runs of words, each from two entries of one running polynomial sum of word hashes."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = _power_tables(len(words))
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(mix(words) * up[: len(words)], out=self.sums[1:])
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The digest of the words low to high (exclusive) of each run; its length counts too."""
+        return mix((self.sums[high] - self.sums[low]) * self.down[low] ^ ((high - low).astype(np.uint64) << np.uint64(48)))
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's runs of `width` words, and where each document's begin; fewer words make one run, none none."""
     counts = np.diff(first)
