@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def _with_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
 def _flat(lists: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
     """The row of each entry of a list column, and the entries (their fields, where they are structs)."""
     lists = lists.fill_null([]) if lists.null_count else lists
-    row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     values = lists.flatten()
     return (row, *((values.field(f).to_numpy(zero_copy_only=False) for f in fields) if fields else (values.to_numpy(zero_copy_only=False),)))
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def matching(df: DataFrame, ids: DataFrame, on: list[str], keep: bool = True) ->
 def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `limit` bytes in one string column, so work arrays stay small."""
     lengths = batch.column(column).fill_null("").cast(pa.large_string())
-    sizes = pa.compute.binary_length(lengths).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(lengths).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
