@@ -1,21 +1,31 @@
 """Main text of web pages by a site style tree.
 
-Pass 1 parses every page into a light DOM and emits, for each style path (tags with their classes and ids, from the root), a hash of
-the page's content under that path and a hash of the style sequence of its children. Counts by host merge same-host DOMs into
-one tree; a path's content and presentation importance are the entropies of these hashes over the host's pages, each as a
-share of the largest possible. Pages with the same texts under the same paths count once in a tree, so copies of a page don't look
-like furniture. A tree merged over all hosts also serves hosts with few pages. Pass 2 parses again and drops
+Every page is parsed once into its blocks of text, written as small rows: text, style path and what the markup itself says. A style path
+is the chain of styles (tag with classes and ids) from the root, told by a 64-bit digest, so it may be of any depth.
+
+The style tree merges the pages of a host by these paths, and a second one the pages of all hosts. In a tree, a path that stands in m
+pages has
+
+* content importance: the mean over its different sentences of 1 - log(c) / log(m), where c pages hold the sentence: 1 where each page
+  has sentences of its own, 0 where all share theirs. Each different sentence counts once, and pages with the same texts under the
+  same paths count once, so copies of an article don't look like furniture;
+* presentation importance: the entropy of the style sequences of its children, as a share of log(m), which counts the more,
+  the more of them there are (1 - 0.9^l for l sequences).
+
+The importance of a path is the greater of its content importance and of both together. A branch is removed where it is under LOW of the
+importance of the path that holds the most different sentences by words, which is the article's, in the host's tree or, at MIN_PAGES pages or
+more, in that of all hosts; inside an article element only branches of a named style go, so that plain paragraphs and headings
+stay even where pages repeat them. Beside the tree, the markup itself removes
 
 * what no reader sees (scripts, styles, forms, comments in the markup, hidden elements),
 * branches whose tag, role, class or id names page furniture: menus, headers, footers, side bars, notices, adverts, reader comments,
-* branches of low importance; inside an article element only those of a named style, so that plain paragraphs and
-  headings stay even where every page of a host repeats them,
 * where a page has article or main elements, all that is outside of them.
 
-Only the table of low-importance paths travels: broadcast where it has few rows (checked), else joined page by page.
+The tree is needed where markup says nothing: generic elements with names of the site's own. It is plain aggregations over the blocks;
+the removed paths are joined to the pages of their host.
 
-Null or empty html gives an empty text; a null url counts as the host ''. Repeated rows give repeated rows; extra columns are ignored; an empty table gives an empty result. Nothing
-is cut at any length.
+Null or empty html gives an empty text; a null url counts as the host ''. Repeated rows give repeated rows; extra columns are ignored; an
+empty table gives an empty result. Very long pages are treated like others: nothing is cut at any length or depth.
 """
 
 from __future__ import annotations
@@ -23,15 +33,15 @@ from __future__ import annotations
 import hashlib
 import html as markup
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices, small_enough, written
+from .common import discard, join_skewed, map_slices, matching, small_enough, written
 
 # Element names of the HTML standard and common names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +64,10 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-MIN_PAGES, LOW, DEPTH = 5, 0.3, 64  # a style path names at most DEPTH elements; deeper ones count for the last of these
+SENTENCE = re.compile(r"(?:[.!?;:]+ )|[·|•\u00a9»]")
+
+MIN_PAGES, LOW = 5, 0.8
+READ, NAMED_FURNITURE, UNREAD = 0, 1, 2
 
 
 def host_of(url: str | None) -> str:
@@ -62,24 +75,38 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+@lru_cache(maxsize=1 << 16)
+def digest(*parts: str | int) -> int:
+    """A 64-bit digest of some values."""
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def path_key(path: str) -> int:
+    """The digest of a style path written as /style/style/..."""
+    key = 0
+    for style in path.split("/")[1:]:
+        key = digest(key, style)
+    return key
+
+
 class Block:
-    """A run of text in one block element: its style path, whether it is furniture or unseen, and whether an article holds it."""
+    """A run of text in one block element: its style path, whether that ends in a named style, whether it is furniture or unseen, and whether an article holds it."""
 
-    __slots__ = ("article", "dropped", "parts", "path")
+    __slots__ = ("article", "dropped", "named", "parts", "path")
 
-    def __init__(self, path: str, dropped: bool, article: bool):
-        self.path, self.dropped, self.article, self.parts = path, dropped, article, []
+    def __init__(self, path: int, named: bool, dropped: int, article: bool):
+        self.path, self.named, self.dropped, self.article, self.parts = path, named, dropped, article, []
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
+def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     """The blocks of a page in order, and the styles of the children of each style path."""
-    # open elements: (tag, path, dropped, inside an article)
+    # open elements: (tag, path, named, dropped, inside an article)
     blocks: list[Block] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    children: dict[int, list[str]] = {}
+    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, READ, False)]
     current: Block | None = None
     opened: Counter[str] = Counter()
     at, n = 0, len(page)
@@ -110,16 +137,16 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             token = m[0]
             if token[0] == "<" and len(token) > 1:
                 continue
-            _, path, dropped, article = stack[-1]
+            _, path, named, dropped, article = stack[-1]
             if current is None:
                 if token.isspace():
                     continue
-                current = Block(path, dropped, article)
+                current = Block(path, named, dropped, article)
                 blocks.append(current)
             elif dropped != current.dropped:  # an inline element that is not to be read, or the text after it
-                if dropped:
+                if dropped > current.dropped:
                     continue
-                current = Block(path, dropped, article)
+                current = Block(path, named, dropped, article)
                 blocks.append(current)
             current.parts.append(markup.unescape(token) if "&" in token else token)
             continue
@@ -156,13 +183,16 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
                 style = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '0', names).split()))}"
         if tag in BLOCKS:
             current = None
-        _, path, dropped, article = stack[-1]
+        _, path, _, dropped, article = stack[-1]
         children.setdefault(path, []).append(style)
-        dropped = dropped or hidden or tag in UNSEEN or tag in FURNITURE or role in ROLES or ((tag == "header" or "header" in names.split()) and not article) or (names != "" and tag not in ("html", "body", "article", "main") and NAMES.search(names) is not None)
+        if hidden or tag in UNSEEN:
+            dropped = UNREAD
+        elif not dropped and (tag in FURNITURE or role in ROLES or ((tag == "header" or "header" in names.split()) and not article) or (names != "" and tag not in ("html", "body", "article", "main") and NAMES.search(names) is not None)):
+            dropped = NAMED_FURNITURE
         article = article or tag in ("article", "main") or role in ("main", "article")
         if tag in VOID or (attributes or "").endswith("/"):
             continue
-        stack.append((tag, f"{path}/{style}" if len(stack) < DEPTH else path, dropped, article))
+        stack.append((tag, digest(path, style), names != "", dropped, article))
         opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -170,98 +200,99 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     return blocks, children
 
 
-def page_signature(page: str) -> list[tuple[str, int, int]]:
-    """(path, kind, hash) of a page: kind 0 for the text under a path, 1 for the styles of a path's children."""
-    blocks, children = parse(page)
-    text: dict[str, int] = {}
-    for b in blocks:
-        if not b.dropped and (words := b.text()):
-            text[b.path] = zlib.crc32(words.encode("utf-8", "replace"), text.get(b.path, 0))
-    return [(p, 0, h) for p, h in text.items()] + [(p, 1, zlib.crc32(" ".join(c).encode("utf-8", "replace"))) for p, c in children.items()]
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host ('*': all hosts), path, pages, content and presentation: the merged trees with their importances."""
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, page (a digest of its texts and paths), blocks and nodes of every page: blocks have path, named, dropped, article, sentences (digest and words) and text; nodes a path and the digest of its children's styles."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys, nodes = [], [], []
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = page_signature(page or "")
-            texts = sorted((path, value) for path, kind, value in found if kind == 0)
+        hosts, keys, sizes, node_sizes = [], [], [], []
+        path, named, dropped, article, value, words, counts, texts, node, shape = ([] for _ in range(10))
+        for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            blocks, children = parse(html or "")
+            seen = [(b, t) for b in blocks if b.dropped != UNREAD and (t := b.text())]
             hosts.append(host_of(url))
-            keys.append(int.from_bytes(hashlib.blake2b(repr(texts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-            nodes.append([{"path": path, "kind": kind, "value": value} for path, kind, value in sorted(found)])
-        node = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(node))], ["host", "page", "nodes"])
-
-    each = map_slices(pages.select("url", "html"), "html", emit, "host string, page long, nodes array<struct<path: string, kind: int, value: long>>", 4 << 20)
-    once = written(each.groupBy("host", "page").agg(F.min("nodes").alias("nodes")), "styles")
-    everywhere = once.groupBy("page").agg(F.min("nodes").alias("nodes")).select(F.lit("*").alias("host"), "nodes")
-    rows = once.select("host", "nodes").unionByName(everywhere).select("host", F.explode("nodes").alias("node")).select("host", "node.*")
-    both = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
-    # entropy of the value distribution: log n - sum(c log c) / n, as a share of log n
-    spread = both.groupBy("host", "path").agg(*(F.sum(F.when(F.col("kind") == k, e)).alias(f"{name}{k}") for k in (0, 1) for name, e in (("n", F.col("c")), ("s", F.col("c") * F.log("c")))))
-    share = lambda k: F.when(F.col(f"n{k}") > 1, 1 - F.col(f"s{k}") / F.col(f"n{k}") / F.log(f"n{k}")).otherwise(1.0)
-    none = F.lit(0.0)  # a path without children has no presentation that could vary
-    return spread.where("n0 > 0").select("host", "path", F.col("n0").alias("pages"), share(0).alias("content"), F.when(F.col("n1").isNull(), none).otherwise(share(1)).alias("presentation"))
-
-
-def low_paths(tree: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """(host, path) of the branches to remove: neither their text nor their structure varies much over a host's, or all hosts', pages."""
-    held = tree.where((F.col("pages") >= min_pages) & (F.greatest("content", "presentation") < low))
-    return held.select("host", "path")
-
-
-def main_text(page: str, low: frozenset[str] | set[str]) -> str:
-    """The page's main text, its blocks joined by blank lines."""
-    blocks, _ = parse(page)
-    framed = any(b.article and not b.dropped for b in blocks)
-    out = []
-    for b in blocks:
-        if b.dropped or framed and not b.article:
-            continue
-        if b.path in low and (not b.article or "." in b.path.rsplit("/", 1)[-1]):
-            continue
-        if words := b.text():
-            out.append(words)
-    return "\n\n".join(out)
+            keys.append(digest(*sorted(digest(b.path, t) for b, t in seen)))
+            for _, t in seen:
+                parts = [x for x in SENTENCE.split(t) if x] or [t]
+                value += [digest(x) for x in parts]
+                words += [x.count(" ") + 1 for x in parts]
+                counts.append(len(parts))
+            sizes.append(len(seen))
+            path += [b.path for b, _ in seen]
+            named += [b.named for b, _ in seen]
+            dropped += [b.dropped for b, _ in seen]
+            article += [b.article for b, _ in seen]
+            texts += [t for _, t in seen]
+            node_sizes.append(len(children))
+            node += children
+            shape += [digest(*c) for c in children.values()]
+        offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        sentence = pa.StructArray.from_arrays([pa.array(value, pa.int64()), pa.array(words, pa.int32())], ["value", "words"])
+        plain = [pa.array(x, k) for x, k in zip((path, named, dropped, article), (pa.int64(), pa.bool_(), pa.int32(), pa.bool_()), strict=True)]
+        block = pa.StructArray.from_arrays([*plain, pa.ListArray.from_arrays(offsets(counts), sentence), pa.array(texts, pa.string())], ["path", "named", "dropped", "article", "sentences", "text"])
+        nodes = pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(shape, pa.int64())], ["path", "value"])
+        lists = [pa.ListArray.from_arrays(offsets(n), x) for n, x in ((sizes, block), (node_sizes, nodes))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), *lists], ["page_id", "url", "host", "page", "blocks", "nodes"])
+
+    schema = "page_id long, url string, host string, page long, blocks array<struct<path: long, named: boolean, dropped: int, article: boolean, sentences: array<struct<value: long, words: int>>, text: string>>, nodes array<struct<path: long, value: long>>"
+    return map_slices(pages.select("page_id", "url", "html"), "html", emit, schema, 4 << 20)
+
+
+def _importances(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, path, pages, words (of its different sentences), content, presentation and importance from (by, page, path, kind, value, words) rows."""
+    pages = rows.where("kind = 0").select(*by, "path", "page").distinct().groupBy(*by, "path").agg(F.count("*").alias("pages"))
+    each = rows.groupBy(*by, "path", "kind", "value").agg(F.count("*").alias("c"), F.max("words").alias("words"))
+    text, shape = F.col("kind") == 0, F.col("kind") == 1
+    c, log = F.col("c"), F.log("c")
+    sums = each.groupBy(*by, "path").agg(
+        F.avg(F.when(text, log)).alias("_log"), F.sum(F.when(text, F.col("words"))).alias("words"), F.sum(F.when(shape, c)).alias("_n"), F.sum(F.when(shape, c * log)).alias("_spread"), F.count(F.when(shape, 1)).alias("_l")
+    )
+    share = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    content = F.when(F.col("pages") > 1, share(1 - F.col("_log") / F.log("pages"))).otherwise(1.0)
+    presentation = F.when((F.col("pages") > 1) & (F.col("_n") > 0), share((F.log("_n") - F.col("_spread") / F.col("_n")) / F.log("pages"))).otherwise(0.0)
+    kept = F.pow(F.lit(0.9), F.col("_l"))
+    both = (1 - kept) * F.col("presentation") + kept * F.col("content")
+    found = pages.join(sums, [*by, "path"]).withColumns({"content": content, "presentation": presentation})
+    return found.select(*by, "path", "pages", "words", "content", "presentation", F.greatest("content", both).alias("importance"))
+
+
+def style_tree(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The importances of the paths of each host, and of those of all hosts, both written."""
+    texts = blocks.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", F.explode("b.sentences").alias("s")).select("host", "page", "path", F.lit(0).alias("kind"), "s.value", "s.words")
+    shapes = blocks.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.path", F.lit(1).alias("kind"), "n.value", F.lit(0).alias("words"))
+    rows = written(texts.unionByName(shapes).distinct(), "styles")
+    tree = written(_importances(rows, ["host"]), "host-tree")
+    whole = written(_importances(rows.drop("host").distinct(), []), "whole-tree")
+    discard(rows)
+    return tree, whole
+
+
+def low_paths(tree: DataFrame, whole: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+    """(host, path) of the branches to remove: under `low` of the importance of the path with the most text, on their host or on all hosts."""
+    enough = F.col("pages") >= min_pages
+    main = F.max_by("importance", F.struct("words", "path")).alias("main")
+    own = tree.where(enough).join(tree.where(enough).groupBy("host").agg(main), "host").where(F.col("importance") < low * F.col("main")).select("host", "path")
+    best = whole.where(enough).agg(main).first()["main"]
+    everywhere = written(whole.where(enough & (F.col("importance") < low * (best or 0.0))).select("path"), "low-everywhere")
+    return own.unionByName(matching(tree, everywhere, ["path"]).select("host", "path")).distinct()
+
+
+def main_text(blocks: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars from blocks with the removed paths of their host in `low`."""
+    framed = F.exists("blocks", lambda b: b["article"] & (b["dropped"] == READ))
+    rare = lambda b: F.coalesce(F.array_contains("low", b["path"]), F.lit(False)) & (~b["article"] | b["named"])
+    kept = F.filter("blocks", lambda b: (b["dropped"] == READ) & (b["article"] | ~framed) & ~rare(b))
+    out = blocks.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    low = written(low_paths(style_tree(pages)), "low-paths")
-    schema = "page_id long, url string, text string, n_chars long"
-
-    def texts(batch: pa.RecordBatch, lows: list[set[str]]) -> pa.RecordBatch:
-        out = [main_text(p or "", w) for p, w in zip(batch.column(2).to_pylist(), lows, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    rows = pages.select("page_id", "url", "html")
-    if small_enough(low, 100_000):
-        table: dict[str, set[str]] = {}
-        for r in low.collect():
-            table.setdefault(r["host"], set()).add(r["path"])
-        shared = pages.sparkSession.sparkContext.broadcast(table)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, none = shared.value, set()
-            everywhere = known.get("*", none)
-            for whole in batches:
-                for batch in slices(whole, 2, 4 << 20):
-                    yield texts(batch, [known.get(host_of(u), none) | everywhere for u in batch.column(1).to_pylist()])
-
-        return rows.mapInArrow(run, schema)
-
-    # more paths than a broadcast may hold: each page's own paths meet the table in a shuffle, then the page gets its list
-    def own_paths(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(u, p, host_of(u), path) for u, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for path, kind, _ in page_signature(p or "") if kind == 0]
-        keys = [zlib.crc32((u or "").encode(), zlib.crc32((p or "").encode("utf-8", "replace"))) << 31 | len(p or "") for u, p, _, _ in found]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([f[2] for f in found], pa.string()), pa.array([f[3] for f in found], pa.string())], ["page_key", "host", "path"])
-
-    key = (F.shiftleft(F.crc32(F.concat(F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))).cast("binary")), 31) + F.length(F.coalesce("html", F.lit("")))).alias("page_key")
-    paths = map_slices(rows, "html", own_paths, "page_key long, host string, path string")
-    hits = paths.join(low, ["host", "path"], "left_semi").unionByName(paths.join(low.where("host = '*'").select("path"), "path", "left_semi").select(paths.columns))
-    lists = hits.groupBy("page_key").agg(F.collect_set("path").alias("low"))
-    joined = rows.withColumn("page_key", key).join(lists, "page_key", "left").select("page_id", "url", "html", "low")
-    return map_slices(joined, "html", lambda b: texts(b, [set(x or ()) for x in b.column(3).to_pylist()]), schema)
-
+    blocks = written(page_blocks(pages), "blocks")
+    low = written(low_paths(*style_tree(blocks)), "low-paths")
+    lists = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # as long as the paths of one host
+    if small_enough(low):  # 8 bytes each, beside a host name a list
+        joined = blocks.join(F.broadcast(lists), "host", "left")
+    else:
+        lists = written(lists.join(blocks.groupBy("host").agg(F.count("*").alias("n")), "host"), "low-lists")
+        joined = join_skewed(blocks, lists, "host", "n", "left")
+    return main_text(joined)

@@ -283,29 +283,85 @@ FURNISHED = """<!doctype html><html><head><title>T</title><style>p{x:"</p>"}</st
 <table><tr><td>c1<td>c2</table><form><input>f</form><div class="comments"><p>reader</div><aside>side</aside><blockquote>q</blockquote>tail &lt;x&gt; 1 < 2<!-- no --></main><footer>f</footer></body></html>"""
 
 
+def plain_text(page, low=frozenset()):
+    """The text by the rules of the markup and a set of removed paths, without Spark."""
+    blocks = [b for b in site_style.parse(page)[0] if b.dropped == site_style.READ and b.text()]
+    framed = any(b.article for b in blocks)
+    return "\n\n".join(b.text() for b in blocks if (b.article or not framed) and not (b.path in low and (not b.article or b.named)))
+
+
 def test_main_text():
-    assert site_style.main_text(FURNISHED, set()).split("\n\n") == ["Tést & co", "One two bold text", "three", "i1", "i2 e", "c1", "c2", "q", "tail <x> 1 < 2"]
-    assert site_style.main_text("", set()) == "" and site_style.main_text("plain &amp text", set()) == "plain & text"
-    assert site_style.main_text("<b>" * 20_000 + "deep", set()) == "deep"
+    assert plain_text(FURNISHED).split("\n\n") == ["Tést & co", "One two bold text", "three", "i1", "i2 e", "c1", "c2", "q", "tail <x> 1 < 2"]
+    assert plain_text("") == "" and plain_text("plain &amp text") == "plain & text"
+    assert plain_text("<b>" * 20_000 + "deep") == "deep"
+
+
+def brute_tree(pages):
+    """path -> (pages, content) of one host's pages, by counting sentences page by page; equal pages count once."""
+    held, seen = collections.defaultdict(lambda: collections.defaultdict(set)), set()
+    for i, html in enumerate(pages):
+        blocks = [b for b in site_style.parse(html)[0] if b.dropped != site_style.UNREAD and b.text()]
+        key = tuple(sorted((b.path, b.text()) for b in blocks))
+        if key in seen:
+            continue
+        seen.add(key)
+        for b in blocks:
+            for x in site_style.SENTENCE.split(b.text()):
+                if x:
+                    held[b.path][x].add(i)
+    out = {}
+    for path, sentences in held.items():
+        m = len(set().union(*sentences.values()))
+        out[path] = (m, 1.0 if m < 2 else sum(1 - math.log(len(s)) / math.log(m) for s in sentences.values()) / len(sentences))
+    return out
+
+
+def test_style_tree_equals_brute_force(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    pages = pages.unionByName(pages.limit(30).withColumn("page_id", F.col("page_id") + 5000))
+    tree, whole = site_style.style_tree(site_style.page_blocks(pages))
+    by = collections.defaultdict(list)
+    for r in pages.collect():
+        by[site_style.host_of(r["url"])].append(r["html"])
+    got = {(r["host"], r["path"]): (r["pages"], pytest.approx(r["content"])) for r in tree.collect()}
+    assert {(h, p): v for h, own in by.items() for p, v in brute_tree(own).items()} == got
+    assert {r["path"]: (r["pages"], pytest.approx(r["content"])) for r in whole.collect()} == brute_tree([h for own in by.values() for h in own])
 
 
 def test_style_tree_finds_what_repeats(spark):
     pages = [(i, f"http://h{i % 2}.x/{i}", f"<div class=a><p>Story {i} told</p></div><div class=b>Follow us</div><div class=c>Part {i % 2}</div>", 0) for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, host int")
-    tree = {(r["host"], r["path"]): r for r in site_style.style_tree(df).collect()}
-    counts = [1] * 20
-    entropy = -sum(c / 20 * math.log(c / 20) for c in counts) / math.log(20)
-    assert tree["h0.x", "/div.a/p"]["content"] == pytest.approx(entropy) and tree["h0.x", "/div.b"]["content"] == pytest.approx(0)
-    assert tree["*", "/div.c"]["content"] == pytest.approx(math.log(2) / math.log(40))
+    tree, whole = site_style.style_tree(site_style.page_blocks(df))
+    own, every = ({r["path"]: r for r in t.collect()} for t in (tree.where("host = 'h0.x'"), whole))
+    at = site_style.path_key
+    assert own[at("/div.a/p")]["content"] == 1 and own[at("/div.b")]["content"] == pytest.approx(0) and own[at("/div.b")]["pages"] == 20
+    assert every[at("/div.c")]["content"] == pytest.approx(1 - math.log(20) / math.log(40))
     out = {r["page_id"]: r["text"] for r in site_style.extract(df).collect()}
     assert out == {i: f"Story {i} told" for i in range(40)}
 
 
+NEUTRAL = (("<nav>", "<div class='xa'>"), ("</nav>", "</div>"), ('class="ad"', "class='xb'"), ("<footer>", "<div class='xc'>"), ("</footer>", "</div>"), ("<article>", "<div class='xd'>"), ("</article>", "</div>"))
+
+
+def test_the_tree_decides_where_markup_is_silent(spark, monkeypatch):
+    """Generic elements with names of the site's own: the tree alone gives the text that telling markup gives; without it furniture stays."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    html = F.col("html")
+    for telling, silent in NEUTRAL:
+        html = F.replace(html, F.lit(telling), F.lit(silent))
+    told = {r["page_id"]: plain_text(r["html"]) for r in pages.collect()}
+    silent = pages.withColumn("html", html)
+    assert {r["page_id"]: r["text"] for r in site_style.extract(silent).collect()} == told
+    monkeypatch.setattr(site_style, "low_paths", lambda tree, whole: tree.select("host", "path").limit(0))
+    without = {r["page_id"]: r["text"] for r in site_style.extract(silent).collect()}
+    assert all(len(without[i]) > len(t) for i, t in told.items())
+
+
 def test_style_tree_without_broadcast(spark, monkeypatch):
-    pages = [(i, "http://h.x/", f"<p>Story {i}</p><div class=b>Follow us</div>", 0) for i in range(12)]
+    pages = [(i, "http://h.x/" if i < 12 else f"http://o{i}.x", f"<p>Story {i}</p><div class=b>Follow us</div>", 0) for i in range(15)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, n int")
     monkeypatch.setattr(site_style, "small_enough", lambda *a: False)
-    assert {r["page_id"]: r["text"] for r in site_style.extract(df).collect()} == {i: f"Story {i}" for i in range(12)}
+    assert {r["page_id"]: r["text"] for r in site_style.extract(df).collect()} == {i: f"Story {i}" for i in range(15)}
 
 
 @pytest.mark.parametrize("frame", ["<p class=t>{}</p>", "<article><p class=t>{}</p></article>"])
@@ -321,35 +377,77 @@ def test_copies_of_a_page_are_no_furniture(spark, frame):
 
 
 def test_gear_hash_and_shift():
-    raw, offsets = text_bytes(pa.array(["abc" * 40, "xyzzy " * 30]))
-    h = chunk_dedup.gear_hashes(raw, offsets)
-    for d in range(2):
-        for i in range(offsets[d], offsets[d + 1]):
-            want = sum(int(chunk_dedup.GEAR[raw[i - k]]) << k for k in range(32) if i - k >= offsets[d]) & 0xFFFFFFFF
-            assert h[i] == want
+    words, first = _words(pa.array(["abc def " * 40, "xyzzy " * 30, "", "one two"]))
+    h = chunk_dedup.gear_hashes(words, first)
+    for d in range(4):
+        for i in range(first[d], first[d + 1]):
+            assert int(h[i]) == sum(int(words[i - k]) << 8 * k for k in range(8) if i - k >= first[d]) & (1 << 64) - 1
     text = " ".join(f"tok{i * 7919 % 1009}é" for i in range(400))
-    for insert in ("x", "some words before ", "é" * 33):
-        raw, offsets = text_bytes(pa.array([text, insert + text]))
-        starts, ends = chunk_dedup.chunk_bounds(raw, offsets)
-        data = raw.tobytes()
-        parts = [[data[a:b] for a, b in zip(starts, ends, strict=True) if lo <= a < hi] for lo, hi in ((offsets[0], offsets[1]), (offsets[1], offsets[2]))]
-        assert [b"".join(p) for p in parts] == [text.encode(), (insert + text).encode()]
-        assert len(set(parts[0]) & set(parts[1])) >= 0.9 * len(parts[0]) and all(c.decode() for p in parts for c in p)
-
-
-def test_repeats_against_brute_force(spark, docs):
+    for insert in ("x ", "some words before ", "é " * 33):
+        c = chunk_dedup.Cut(pa.array([text, insert + text]), 50)
+        data = c.raw.tobytes()
+        parts = [[data[c.starts[a] : c.ends[b - 1]] for a, b, d in zip(c.low, c.high, c.doc, strict=True) if d == k] for k in (0, 1)]
+        assert [b" ".join(p).decode() for p in parts] == [text, (insert + text)]
+        assert len(set(parts[0]) & set(parts[1])) >= 0.9 * len(parts[0]) and max(c.high - c.low) <= 21 + 7
+
+
+def test_any_run_of_min_words_holds_a_common_chunk():
+    rng = random.Random(8)
+    for _ in range(60):
+        run = [rng.choice("abc") if rng.random() < 0.3 else f"w{rng.randrange(500)}" for _ in range(50)]
+        texts = [" ".join(f"{k}{rng.randrange(99)}" for _ in range(rng.randrange(60))) + " " + " ".join(run) + " " + " ".join(f"{k}{rng.randrange(99)}" for _ in range(rng.randrange(60))) for k in "pq"]
+        c = chunk_dedup.Cut(pa.array(texts), 50)
+        digests = c.digest(c.low, c.high)
+        assert set(digests[c.doc == 0]) & set(digests[c.doc == 1])
+
+
+def brute_repeats(texts, n):
+    """Documents with a run of n words that another document has too, and which words of each are copies of an earlier document's."""
+    holders = collections.defaultdict(set)
+    words = {i: WORD.findall(t or "") for i, t in texts.items()}
+    for i, w in words.items():
+        for k in range(len(w) - n + 1):
+            holders[tuple(w[k : k + n])].add(i)
+    found, copies = set(), {i: set() for i in texts}
+    for i, w in words.items():
+        for k in range(len(w) - n + 1):
+            own = holders[tuple(w[k : k + n])]
+            if len(own) > 1:
+                found.add(i)
+                if min(own) < i:
+                    copies[i] |= set(range(k, k + n))
+    return found, copies
+
+
+def test_repeats_equal_brute_force(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    first, shared, long = {}, set(), set()
-    for n, found in ((70, long), (30, shared)):
-        first.clear()
-        for i, t in texts.items():
-            w = WORD.findall(t)
-            for k in range(len(w) - n + 1):
-                f = first.setdefault(tuple(w[k : k + n]), i)
-                if f != i:
-                    found |= {f, i}
-    got = {r["doc_id"] for r in chunk_dedup.repeated_spans(docs).collect()}
-    assert len(long - got) <= 0.05 * len(long) and got <= shared
+    for n, rows in ((50, texts), (12, {i: " ".join((t or "").split()[:80]) for i, t in texts.items()})):
+        df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+        spans = chunk_dedup.repeated_spans(df, n).collect()
+        found, copies = brute_repeats(rows, n)
+        assert {r["doc_id"] for r in spans} == found and found
+        for r in spans:
+            span = rows[r["doc_id"]].encode()[r["start"] : r["start"] + r["size"]].decode()
+            before = len(WORD.findall(rows[r["doc_id"]].encode()[: r["start"]].decode()))
+            assert len(WORD.findall(span)) == r["n_words"]
+            if not r["kept"]:  # cut at chunks or words, never beyond what an earlier document has
+                assert set(range(before, before + r["n_words"])) <= copies[r["doc_id"]] and r["first_doc_id"] < r["doc_id"]
+
+
+def test_every_passage_survives_once(spark):
+    x, y, z = (" ".join(_words_of(70 + k, 90)) for k in range(3))
+    docs = spark.createDataFrame([(1, f"{x} {y}", 1), (2, f"{x} {y} {z}", 2), (3, f"{y} {z}", 3)], "doc_id long, text string, _cuts int")
+    left = chunk_dedup.without_repeats(docs, chunk_dedup.repeated_spans(docs))
+    assert left.columns == ["doc_id", "text", "_cuts"] and {(r["doc_id"], r["_cuts"]) for r in left.collect()} == {(1, 1), (2, 2), (3, 3)}
+    words = collections.Counter(w for r in left.collect() for w in WORD.findall(r["text"]))
+    every = set(f"{x} {y} {z}".split())
+    assert set(words) == every and sum(words.values()) < 1.4 * sum(collections.Counter(f"{x} {y} {z}".split()).values())
+
+
+def test_periodic_texts(spark):
+    rows = {1: "a " * 300, 2: "b " + "a " * 60, 3: "a b " * 40, 4: "x a b " + "a b " * 30, 5: "c " * 49, 6: "c " * 49}
+    spans = chunk_dedup.repeated_spans(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in spans} == brute_repeats(rows, 50)[0] == {1, 2, 3, 4}
 
 
 def _words_of(seed, n):
