@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_names, join_skewed, map_slices, matching, written
+from .common import discard, free_names, join_skewed, map_slices, small_enough, written
 from .textbytes import RunHash, mix, text_bytes, word_bounds, word_hashes
 
 MIN_WORDS, GEAR_WORDS = 50, 8
@@ -125,7 +125,9 @@ def _shared(rows: DataFrame, digest: str, name: str) -> DataFrame:
 def _with_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """doc, text_key and text of the documents in lists, with its other columns."""
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")
-    texts = matching(texts, lists.select("doc").distinct(), ["doc"])
+    ids = lists.select("doc").distinct()
+    if small_enough(ids):  # else the join below drops the other documents as well
+        texts = texts.join(F.broadcast(ids), "doc", "left_semi")
     return texts.join(lists, ["doc", "text_key"]).select("doc", "text_key", "text", *(c for c in lists.columns if c not in ("doc", "text_key")))
 
 
@@ -174,19 +176,14 @@ def _uncovered(found: DataFrame) -> DataFrame:
         for batch in batches:
             row, low, last = _flat(batch.column(0), "ordinal", "last")
             own, ordinal, key = _flat(batch.column(1), "ordinal", "key")
-            wide = 1 + int(max(last.max(initial=0), ordinal.max(initial=0)))
-            depth = np.zeros((batch.num_rows * (wide + 1)) + 1, np.int32) if batch.num_rows * wide < 1 << 24 else None
-            if depth is not None:
-                np.add.at(depth, row * (wide + 1) + low, 1)
-                np.add.at(depth, row * (wide + 1) + last + 1, -1)
-                open_ = np.cumsum(depth)[own * (wide + 1) + ordinal] == 0
-            else:  # very long documents: one at a time
-                open_ = np.ones(len(own), bool)
-                for d in np.unique(row):
-                    line = np.zeros(wide + 1, np.int32)
-                    np.add.at(line, low[row == d], 1)
-                    np.add.at(line, last[row == d] + 1, -1)
-                    open_[own == d] = np.cumsum(line)[ordinal[own == d]] == 0
+            size = np.zeros(batch.num_rows, np.int64)
+            np.maximum.at(size, row, last.astype(np.int64) + 2)
+            np.maximum.at(size, own, ordinal.astype(np.int64) + 2)
+            at = np.cumsum(size) - size
+            depth = np.zeros(int(size.sum()), np.int32)
+            np.add.at(depth, at[row] + low, 1)
+            np.add.at(depth, at[row] + last + 1, -1)
+            open_ = np.cumsum(depth)[at[own] + ordinal] == 0
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[open_]), pa.int64())], ["key"])
 
     return found.select("supers", "sides").mapInArrow(keys, "key long").distinct()
@@ -212,10 +209,12 @@ def runs(docs: DataFrame, lists: DataFrame, min_words: int) -> DataFrame:
         ids = batch.column(0).to_numpy()
         row, ordinal, last, holder = _flat(batch.column(3), "ordinal", "last", "first_doc")
         spans = []
-        for d in np.unique(row):
+        low, high, copied = c.low[c.base[row] + ordinal], c.high[c.base[row] + last], holder < ids[row]
+        at = np.searchsorted(row, np.arange(len(ids) + 1))
+        for d in np.flatnonzero(np.diff(at)):
             for copy in (True, False):
-                own = (row == d) & ((holder < ids[d]) == copy)
-                spans += [(d, a, b, f) for a, b, f in _merged(c.low[c.base[d] + ordinal[own]], c.high[c.base[d] + last[own]], holder[own])]
+                own = at[d] + np.flatnonzero(copied[at[d] : at[d + 1]] == copy)
+                spans += [(d, a, b, f) for a, b, f in _merged(low[own], high[own], holder[own])]
         at, chunk = _flat(batch.column(4))
         lo = np.maximum(c.high[c.base[at] + chunk] - min_words, c.first[at])
         hi = np.minimum(c.low[c.base[at] + chunk], c.first[at + 1] - min_words) + 1
