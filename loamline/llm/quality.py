@@ -92,10 +92,13 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable: Column, most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, label, text) of at most `most` labelled documents: those with the smallest hash of their id. The ids are few, so they are broadcast."""
+    """(doc_id, label, text) of at most `most` labelled documents, one row each: those with the smallest hash of their id. The ids are few, so they are broadcast.
+
+    Of several rows with one id the smallest text is taken, of several labels the greatest.
+    """
     ids = labels.where(usable & F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("label"))
     chosen = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 class BradleyTerry:

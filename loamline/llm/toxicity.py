@@ -1,17 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to symbols (insult, threat, target, negation, report, other). Small machines follow a clause's symbols: one
-counts down the reach of a negation, one stays on after a reporting verb or a quotation mark, one counts down the reach of a target. Their
-product is composed once; what it emits at an insult or a threat depends on its joint state, so "you are a fool", "not a fool" and "he
-called him a fool" are different matches. A target right after an insult upgrades the match. The matches of all clauses, weighted by
-the lexicon, are a document's features, and a ridge logistic model with prior weights turns them into a score.
+Words are mapped to symbols (insult, threat, target, negation, report, ...), and five weighted transducers read a clause's symbols one
+after the other, each rewriting what the one before wrote:
+
+* negation marks insults and threats in its reach,
+* reported speech marks those after a reporting verb or within quotation marks,
+* threat writes a match where a threatening verb is meant (after an auxiliary, or first in its clause, else weaker) and its target follows
+  ("I will kill you", not "I will kill time"),
+* insult weighs phrases: an intensifier or another insult before it makes an insult stronger ("utter idiot", "stupid clown"), a
+  harmless head after it takes it back ("trash can"),
+* target marks insults that a target precedes or follows closely ("you are a fool", "fool, you").
+
+They are composed while they run: a state of the composition is a tuple of theirs, its weight the product of theirs, and each transition is
+computed once. The matches of a clause, weighted by grammar and lexicon, add up to its score; sums by kind of match, the
+strongest clause and the share of matched clauses are a document's features, and a ridge logistic model with prior weights turns them
+into its score.
 
 Learned from labelled documents outside the held-out part: the insult lexicon (words and word beginnings that occur almost only in
-toxic documents, more often than chance explains, beside a short fixed list) and the match weights. The
-model is fitted from at most MAX_LABELLED labelled documents, those with the smallest hash of their id; scoring reads
-every whole text in one pass without a shuffle.
+toxic documents, more often than chance explains, beside a short fixed list) and the feature weights. The model is fitted from at most
+MAX_LABELLED labelled documents, one row each, those with the smallest hash of their id; scoring reads every whole text, however long, in one
+pass without a shuffle.
 
-A null text counts as empty and, like any text without matches, gets the score of no matches. Labels that are null are not used;
+A null text counts as empty and, like any text without matches, gets the score of no matches. Labels that are null are not used; of the rows of one
+labelled id the smallest text counts, of equal texts with both labels the toxic one;
 without labels of both classes the prior weights stand. Repeated rows get equal scores; extra columns are ignored; an empty
 table gives an empty result.
 """
@@ -21,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -31,68 +43,144 @@ from pyspark.sql import functions as F
 from .common import map_slices, written
 from .quality import held_out, labelled_sample
 
-MAX_LABELLED, CANDIDATES, CUT = 20_000, 5000, 0.5
+MAX_LABELLED, CUT = 20_000, 0.5
 LEVELS, FALSE_SHARE, PURE = 40, 0.1, 0.01
 
 # Seed words of the grammar.
 INSULTS = frozenset("idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown clowns dumb fool imbecile dumbass garbage vermin filth retard bastard asshole bitch".split())
 THREATS = frozenset("kill murder destroy hurt beat strangle shoot stab burn hang".split())
-TARGETS = frozenset("you your yours yourself youre u ur he him his she her they them their these those people du dich dir dein ihr euch sie tu toi te ton vous votre vos tú ti tus usted ustedes vosotros".split())
+TARGETS = frozenset("you your yours yourself youre u ur he him his she her they him them their these those people du dich dir dein ihr euch sie tu toi te ton vous votre vos tú ti tus usted ustedes vosotros".split())
 NEGATIONS = frozenset("not never no nobody none cannot without isnt arent wasnt dont doesnt didnt wont nicht kein keine keinen nie pas jamais aucun aucune nunca jamás ningún ninguna".split())
 REPORTS = frozenset("said says say wrote writes called calls calling told tells claimed claims quoted quote quotes reported reports according alleged sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split())
+AUXILIARIES = frozenset("will ll shall gonna going should must want wanna could would let werde wirst wird vais va voy vas".split())
+INTENSIFIERS = frozenset("utter utterly complete completely total totally absolute absolutely fucking damn bloody such so very real really".split())
+HARMLESS = frozenset("can cans bin bins bag bags truck collection disposal fish nose proof resistant bracket".split())
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, AUXILIARY, INTENSIFIER, HARMLESS_HEAD, MATCHED_THREAT, LATE_TARGET, TAKEN_BACK = range(13)
+#: Marks that transducers put on a symbol, added to it.
+NEGATED, REPORTED, TARGETED = 16, 32, 64
 MATCHES = ("insult", "targeted_insult", "negated_insult", "reported_insult", "threat", "targeted_threat", "negated_threat", "reported_threat")
 FEATURES = (*MATCHES, "strongest", "clauses", "density")
-PRIOR = np.array([3.0, 3.5, 0.6, 0.6, 0.5, 2.0, 0.2, 0.2, 3.0, 1.0, 0.5])
+PRIOR = np.array([3.0, 3.5, 0.6, 0.6, 0.5, 3.0, 0.2, 0.2, 3.0, 1.0, 0.5])
 PRIOR_BIAS = -3.0
+NEGATION_REACH, TARGET_REACH, OBJECT_REACH, AUXILIARY_REACH = 3, 4, 3, 3
 
 _WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 
-
-class Machine:
-    """A deterministic machine over the symbols: step[state][symbol] is the next state."""
-
-    def __init__(self, step: list[list[int]]):
-        self.step = step
-
-    @classmethod
-    def reach(cls, symbol: int, words: int) -> Machine:
-        """State k > 0: `symbol` was seen, and k more words are in its reach."""
-        return cls([[words if s == symbol else max(0, k - 1) for s in range(6)] for k in range(words + 1)])
-
-    @classmethod
-    def latch(cls, symbol: int) -> Machine:
-        """State 1 from the first `symbol` on."""
-        return cls([[int(k == 1 or s == symbol) for s in range(6)] for k in range(2)])
-
-    def __mul__(self, other: Machine) -> Machine:
-        """The product: both machines run at once; state = own state * size of the other + its state."""
-        n = len(other.step)
-        return Machine([[self.step[a][s] * n + other.step[b][s] for s in range(6)] for a in range(len(self.step)) for b in range(n)])
-
-
-NEGATION_REACH, TARGET_REACH = 3, 4
-GRAMMAR = Machine.reach(NEGATION, NEGATION_REACH) * Machine.latch(REPORT) * Machine.reach(TARGET, TARGET_REACH)
-
-
-def _emission(state: int) -> int:
-    """The kind of match (0 plain, 1 targeted, 2 negated, 3 reported) of an insult or threat met in a state."""
-    state, target = divmod(state, TARGET_REACH + 1)
-    negated, reported = divmod(state, 2)
-    return 2 if negated else 3 if reported else 1 if target else 0
-
-
-EMISSION = [_emission(s) for s in range(len(GRAMMAR.step))]
+#: What a transducer does at a symbol in a state: (next state, symbol written, weight).
+Arc = tuple[int, int, float]
+
+
+def negation(state: int, symbol: int) -> Arc:
+    """State: how many words the last negation still reaches."""
+    if symbol in (NEGATION,):
+        return NEGATION_REACH, symbol, 1.0
+    if symbol in (INSULT, THREAT) and state:
+        return state - 1, symbol + NEGATED, 0.3
+    return max(0, state - 1), symbol, 1.0
+
+
+def report(state: int, symbol: int) -> Arc:
+    """State: 1 after a reporting verb, + 2 within quotation marks."""
+    if symbol == REPORT:
+        return state | 1, symbol, 1.0
+    if symbol == QUOTE:
+        return state ^ 2, symbol, 1.0
+    if symbol % 16 in (INSULT, THREAT) and state:
+        return state, symbol + REPORTED, 0.4
+    return state, symbol, 1.0
+
+
+def threat(state: int, symbol: int) -> Arc:
+    """State 0: a clause's start; 1: nothing; 2 to 4: words that an auxiliary still reaches; above: a threat waits for its target.
+
+    A waiting state holds the threat's marks, whether it is meant, and the words left: 5 + left + 4 * meant + 8 * (marks / 16).
+    """
+    marks, kind = symbol // 16, symbol % 16
+    if kind == THREAT:
+        meant = state == 0 or 2 <= state <= 4
+        return 5 + OBJECT_REACH - 1 + 4 * meant + 8 * marks, OTHER, 1.0
+    if state >= 5:
+        left, meant, held = (state - 5) % 4, (state - 5) // 4 % 2, (state - 5) // 8
+        if kind == TARGET:
+            return 1, MATCHED_THREAT + 16 * held, (1.0 if meant else 0.3) * (0.3 if held & 1 else 1.0)
+        return (state - 1 if left else 1), symbol, 1.0
+    if kind == AUXILIARY:
+        return 1 + AUXILIARY_REACH, symbol, 1.0
+    return (state - 1 if state > 2 else 1), symbol, 1.0
+
+
+def insult(state: int, symbol: int) -> Arc:
+    """State 1, 2: words that an intensifier still reaches; 3: an insult came just before."""
+    kind = symbol % 16
+    if kind == INSULT:
+        return 3, symbol, 1.3 if state else 1.0
+    if kind == HARMLESS_HEAD and state == 3:
+        return 0, TAKEN_BACK, 1.0
+    if kind == INTENSIFIER:
+        return 2, symbol, 1.0
+    return (state - 1 if state in (1, 2) else 0), symbol, 1.0
+
+
+def target(state: int, symbol: int) -> Arc:
+    """State: words that the last target still reaches + 8 * words in which a target may still follow an unmarked insult."""
+    reach, late = state % 8, state // 8
+    kind, marks = symbol % 16, symbol // 16
+    after = max(0, reach - 1) + 8 * max(0, late - 1)
+    if kind == INSULT:
+        if reach and not marks:
+            return max(0, reach - 1), symbol + TARGETED, 1.2
+        return max(0, reach - 1) + 8 * (0 if marks else 2), symbol, 1.0
+    if kind == TARGET:
+        return TARGET_REACH, LATE_TARGET if late else symbol, 1.2 if late else 1.0
+    return after, symbol, 1.0
+
+
+class Composition:
+    """Transducers in a row: each reads what the one before writes. Transitions are computed when first met."""
+
+    def __init__(self, *machines: Callable[[int, int], Arc]):
+        self.machines = machines
+        self.start = (0,) * len(machines)
+        self.arcs: dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], int, float]] = {}
+
+    def step(self, state: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], int, float]:
+        found = self.arcs.get((state, symbol))
+        if found is None:
+            after, weight, written_ = [], 1.0, symbol
+            for machine, own in zip(self.machines, state, strict=True):
+                new, written_, w = machine(own, written_)
+                after.append(new)
+                weight *= w
+            found = self.arcs[state, symbol] = (tuple(after), written_, weight)
+        return found
+
+
+GRAMMAR = Composition(negation, report, threat, insult, target)
+
+
+def kind_of(symbol: int) -> int | None:
+    """The place in MATCHES of a written symbol; None where it is no match."""
+    base = symbol % 16
+    if base not in (INSULT, MATCHED_THREAT):
+        return None
+    if symbol & NEGATED:
+        return 2 + 4 * (base != INSULT)
+    if symbol & REPORTED:
+        return 3 + 4 * (base != INSULT)
+    return 5 if base == MATCHED_THREAT else 1 if symbol & TARGETED else 0
 
 
 class Lexicon:
     """Insult words and word beginnings with their weights, as one symbol table."""
 
+    FIXED = ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (AUXILIARIES, AUXILIARY), (INTENSIFIERS, INTENSIFIER), (HARMLESS, HARMLESS_HEAD))
+
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = {**dict.fromkeys(INSULTS, 1.0), **words}, stems
         self.lengths = sorted({len(s) for s in stems})
+        self.symbols = {w: symbol for group, symbol in reversed(self.FIXED) for w in group}
         self.finder = ahocorasick.Automaton()
         for key in {*self.words, *THREATS, *stems}:
             self.finder.add_word(key, 1)
@@ -108,9 +196,30 @@ class Lexicon:
         for n in self.lengths:
             if word[:n] in self.stems:
                 return INSULT, self.stems[word[:n]]
-        if word in THREATS:
-            return THREAT, 1.0
-        return (TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS or not word.isalpha() else OTHER), 0.0
+        return self.symbols.get(word, OTHER if word.isalpha() else QUOTE), 1.0
+
+    def clause(self, words: list[str], known: dict[str, tuple[int, float]] | None = None) -> np.ndarray:
+        """The weights of a clause's matches by their kind."""
+        known = {} if known is None else known
+        out = np.zeros(len(MATCHES))
+        state, last, held = GRAMMAR.start, 0, 0.0
+        for word in words:
+            if word not in known:
+                known[word] = self.symbol(word)
+            symbol, own = known[word]
+            state, written_, weight = GRAMMAR.step(state, symbol)
+            kind = kind_of(written_)
+            if kind is not None:
+                out[kind] += own * weight
+                last, held = kind, own * weight
+            elif written_ == LATE_TARGET:
+                out[last] -= held
+                last, held = 1, held * weight
+                out[last] += held
+            elif written_ == TAKEN_BACK:
+                out[last] -= held
+                held = 0.0
+        return np.maximum(out, 0)
 
     def matches(self, text: str) -> np.ndarray:
         """The features of one text."""
@@ -119,44 +228,31 @@ class Lexicon:
         if not self.may_match(low):
             return out
         known: dict[str, tuple[int, float]] = {}
-        step, words_seen = GRAMMAR.step, 0
-        for clause in _CLAUSE.split(low):
-            words = _WORD.findall(clause)
+        words_seen = 0
+        for part in _CLAUSE.split(low):
+            words = _WORD.findall(part)
             words_seen += len(words)
-            if not self.may_match(clause):
+            if not self.may_match(part):
                 continue
-            state, found = 0, 0.0
-            open_at, open_kind, open_weight = -9, 0, 0.0
-            for i, word in enumerate(words):
-                if word not in known:
-                    known[word] = self.symbol(word)
-                symbol, weight = known[word]
-                if symbol in (INSULT, THREAT):
-                    kind = EMISSION[state] + 4 * (symbol == THREAT)
-                    out[kind] += weight
-                    open_at, open_kind, open_weight = i, kind, weight
-                    found = max(found, weight * (0.3 if kind % 4 >= 2 or symbol == THREAT else 1.0))
-                elif symbol == TARGET and i - open_at <= 2 and open_kind % 4 == 0:
-                    out[open_kind] -= open_weight
-                    out[open_kind + 1] += open_weight
-                    open_kind += 1
-                state = step[state][symbol]
-            out[8] = max(out[8], found)
-            out[9] += found > 0
-        out[:8] = np.log1p(np.maximum(out[:8], 0))
+            found = self.clause(words, known)
+            score = float(found.sum())
+            out[:8] += found
+            out[8] = max(out[8], min(score, 3.0))
+            out[9] += score >= 0.5
+        out[:8] = np.log1p(out[:8])
         out[10] = min(1.0, 20 * out[9] / max(1, words_seen))
         out[9] = math.log1p(out[9])
         return out
 
 
 def _tokens(text: str) -> set[str]:
-    """The words of a text and, marked by a star, their beginnings of 4 to 7 letters."""
+    """The words of a text and, marked by a star, their beginnings of 4 letters or more."""
     words = set(re.findall(r"[^\W\d_]{3,}", text.lower()))
-    return words | {f"{w[:n]}*" for w in words for n in range(4, min(8, len(w)))}
+    return words | {f"{w[:n]}*" for w in words for n in range(4, len(w))}
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """The tokens that occur in toxic documents only, more often than chance would make them; at most CANDIDATES words and stems."""
+    """The tokens that occur in toxic documents only, more often than chance would make them. The sample bounds their number."""
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
@@ -165,7 +261,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         keys = [*seen[1], *(k for k in seen[0] if k not in seen[1])]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["token", "pos", "neg"])
 
-    sample = sample.dropDuplicates(["text"])  # copies would count one document's rare words many times
+    sample = sample.groupBy("text").agg(F.max("label").alias("label"))  # copies would count one document's rare words many times
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     pos, neg = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
     if not pos or not neg:
@@ -180,7 +276,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         levels = own.where(f"pos + neg <= {LEVELS}").groupBy((F.col("pos") + F.col("neg")).alias("k")).agg(F.count("*").alias("all"), F.sum((F.col("neg") == 0).cast("int")).alias("pure")).collect()
         wrong = {r["k"] for r in levels if r["pure"] and r["all"] * base ** r["k"] > FALSE_SHARE * r["pure"]}
         least = max([2, *wrong]) + 1 + 6 * stem
-        best = own.where((F.col("pos") >= least) & (F.col("neg") <= F.lit(PURE) * F.col("pos"))).orderBy(F.desc("pos"), "token").limit(CANDIDATES).collect()
+        best = own.where((F.col("pos") >= least) & (F.col("neg") <= F.lit(PURE) * F.col("pos"))).select("token").collect()  # tokens of at most MAX_LABELLED texts
         lexicon[stem] = {r["token"].rstrip("*"): 1.0 for r in best}
     return Lexicon(lexicon[False], lexicon[True])
 

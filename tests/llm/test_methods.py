@@ -508,11 +508,81 @@ def test_grammar_tells_matches_apart():
     kind = lambda t: {n for n, v in zip(toxicity.MATCHES, lexicon.matches(t), strict=False) if v > 0}
     assert kind("What an idiot.") == {"insult"} and kind("You are an idiot.") == {"targeted_insult"} and kind("idiot, you!") == {"targeted_insult"}
     assert kind("He is not an idiot.") == {"negated_insult"} and kind("She said the clown left") == {"reported_insult"} and kind("Not. An idiot.") == {"insult"}
-    assert kind("I will kill time") == {"threat"} and kind("loweischaft") == {"insult"} and kind("a clean text") == set()
+    assert kind("I will kill time") == set() and kind("I will kill you") == {"targeted_threat"} and kind("I will not kill any of you") == {"negated_threat"} and kind('"I will kill you", it read') == {"reported_threat"}
+    assert kind("loweischaft") == {"insult"} and kind("a clean text") == set() and kind("the trash can is full") == set() and kind("we feed clown fish") == set()
+    weight = lambda t: lexicon.matches(t)[0]
+    assert weight("utter idiot") > weight("idiot") and weight("a stupid clown") > weight("stupid. clown")
+    assert lexicon.matches("I will hurt you")[5] > lexicon.matches("those who hurt you")[5] > 0
     model = toxicity.Model(lexicon, toxicity.PRIOR, toxicity.PRIOR_BIAS)
     assert model.score("You are an idiot") > model.score("an idiot") > 0.5 > model.score("not an idiot") > model.score("hello")
 
 
+#: Toxic and clean with the same words: only their order differs.
+PAIRS = (
+    ("you are an idiot and not clever", "you are not an idiot and clever"), ("that idiot said she left", "she said that idiot left"), ("I will hurt you", "you will I hurt"),
+    ("not now I think I will kill you", "now I think I will not kill you"), ("we can trash you", "you we trash can"), ("you scum I never wrote", "I never wrote you scum"),
+)
+
+
+def test_order_decides_where_words_are_equal():
+    lexicon = toxicity.Lexicon({}, {})
+    model = toxicity.Model(lexicon, toxicity.PRIOR, toxicity.PRIOR_BIAS)
+    flat = lambda t: sum(lexicon.symbol(w)[0] in (toxicity.INSULT, toxicity.THREAT) for w in t.lower().split())
+    for toxic, clean in PAIRS:
+        assert sorted(toxic.split()) == sorted(clean.split()) and flat(toxic) == flat(clean) > 0  # a list of words can't tell them apart
+        assert model.score(toxic) > 0.5 > model.score(clean), (toxic, clean)
+
+
+def test_composition_equals_rewriting_one_after_another():
+    rng = random.Random(5)
+    machines = (toxicity.negation, toxicity.report, toxicity.threat, toxicity.insult, toxicity.target)
+    for _ in range(400):
+        symbols = [rng.randrange(10) for _ in range(rng.randrange(1, 14))]
+        tape, weights = list(symbols), [1.0] * len(symbols)
+        for machine in machines:
+            state = 0
+            for k, x in enumerate(tape):
+                state, tape[k], w = machine(state, x)
+                weights[k] *= w
+        state, got = toxicity.GRAMMAR.start, []
+        for x in symbols:
+            state, out, w = toxicity.GRAMMAR.step(state, x)
+            got.append((out, pytest.approx(w)))
+        assert list(zip(tape, weights, strict=True)) == got
+
+
+def test_one_row_a_labelled_id(spark):
+    docs = spark.createDataFrame([(1, f"t{k}") for k in range(50)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = sorted((r["doc_id"], r["label"], r["text"]) for r in quality.labelled_sample(docs, labels, "quality", F.lit(True), 10).collect())
+    assert got == [(1, 1, "t0"), (2, 0, "b"), (3, 1, None)]
+
+
+def test_quality_features_equal_plain_counts(docs):
+    texts = [r["text"] for r in docs.collect()] + ["", None, "a", "A A a\n\nA A a\n!", "é1 | é1"]
+    got = quality.features(pa.array(texts))
+    for row, text in zip(got, texts, strict=True):
+        raw, words = (text or "").encode(), [w.encode() for w in WORD.findall(text or "")]
+        n, size = max(1, len(words)), max(1, len(raw))
+        share = lambda kinds: sum(c in kinds for c in raw) / size
+        low = [w.lower() for w in words]  # bytes: A-Z only
+        lines = [tuple(x.split()) for x in re.split(rb"\n", b"\n".join(raw.lower().split(b"\n")))]
+        lines = [x for x in ([w for w in re.findall(rb"[^\x20\x09-\x0D]+", x.lower())] for x in raw.split(b"\n")) if x]
+        seen, again = set(), 0
+        for x in lines:
+            key = tuple(sorted(x))  # a line's hash is the sum of its words'
+            again += key in seen
+            seen.add(key)
+        want = {
+            "log_words": math.log1p(len(words)), "word_length": sum(map(len, words)) / n / 10, "log_lines": math.log1p(raw.count(b"\n") + (len(raw) > 0)), "upper": share(range(65, 91)), "digits": share(range(48, 58)),
+            "symbols": share(b"#$%&*+/<=>@[\\]^_`{|}~"), "commas": share(b","), "ends": share(b".!?"), "high": share(range(128, 256)), "repeats": sum(a == b for a, b in zip(low, low[1:])) / n,
+            "repeats2": sum(a == b for a, b in zip(low, low[2:])) / n, "distinct": len(set(low)) / n, "top_word": max(collections.Counter(low).values(), default=0) / n, "long_words": sum(len(w) > 15 for w in words) / n,
+            "repeated_lines": again / max(1, len(lines)),
+        }
+        for name, value in want.items():
+            assert row[quality.NAMES.index(name)] == pytest.approx(value), (name, text)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as pipeline
 
