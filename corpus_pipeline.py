@@ -24,8 +24,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
-    return mixing.sampled_documents(docs)
+    """Documents as often as the mixture of sources takes them; those that the quality classifier scores higher are likelier."""
+    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.sampled_documents(docs, quality.weigher(model) if model else mixing.plain_share)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,11 +18,12 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder will do in local mode (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/loamline-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/loamline-shared"
     return base.rstrip("/")
 
 
@@ -38,13 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     path = getattr(df, "_loamline_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
 
 
 def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:

@@ -5,7 +5,7 @@ features is minimised, so a document's score is a strength. The threshold is a q
 documents, placed at the share of bad ones, and the strengths are mapped to (0, 1) such that the threshold lies at `cut`.
 
 The model is fitted on the driver from at most MAX_LABELLED labelled documents, those with the smallest hash of their id, whatever
-the corpus holds; all counts of a text cover the whole text. Scoring is one pass without a shuffle.
+the corpus holds; all counts of a text cover the whole text, however long. Scoring is one pass without a shuffle. Equal strengths get equal scores.
 
 A null text counts as empty; empty texts get the score of their features, all zero. Labels that are null are not used. Without
 labels of both classes every score is 0.5. Repeated rows get equal scores; extra columns are ignored; an empty table
@@ -14,16 +14,17 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import free_names, map_slices
 from .textbytes import per_document, text_bytes, word_bounds, word_hashes
 
 MAX_LABELLED, PAIRS_EACH, CUT = 20_000, 20, 0.7
-SCORE = "quality_score"
 
 
 def _flags(chars: bytes | range) -> np.ndarray:
@@ -152,26 +153,30 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, mos
     return BradleyTerry.fit(x[order], y[order])
 
 
-def scored(docs: DataFrame, model: BradleyTerry | None, columns: list[str], schema: str) -> DataFrame:
+def weigher(model: BradleyTerry | None) -> Callable[[pa.Array], np.ndarray]:
+    """The score of each text, for operators that weigh documents by quality; 0.5 for all without a model."""
+    return lambda texts: model.score(features(texts)) if model else np.full(len(texts), 0.5)
+
+
+def scored(docs: DataFrame, model: BradleyTerry | None, columns: list[str], schema: str, score: str) -> DataFrame:
     """`columns` of docs (text among them or not) with the score of each text."""
     read = columns if "text" in columns else [*columns, "text"]
-    at = read.index("text")
+    at, weigh = read.index("text"), weigher(model)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.score(features(batch.column(at))) if model else np.full(batch.num_rows, 0.5)
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score)], [*columns, SCORE])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(weigh(batch.column(at)))], [*columns, score])
 
-    return map_slices(docs.select(*read), "text", measure, f"{schema}, {SCORE} double")
+    return map_slices(docs.select(*read), "text", measure, f"{schema}, `{score}` double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    out = scored(docs, train(docs, labels, parts, part), ["doc_id"], "doc_id long")
-    return out.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= CUT).cast("int").alias("predicted"))
+    out = scored(docs, train(docs, labels, parts, part), ["doc_id"], "doc_id long", "score")
+    return out.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
-    model = train(docs, labels, parts, part)
+    """The rows of docs that the classifier accepts, with all their columns, whatever their names."""
+    model, score = train(docs, labels, parts, part), free_names(docs.columns, "quality_score")[0]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return scored(docs, model, docs.columns, fields).where(F.col(SCORE) >= CUT).select(docs.columns)
+    return scored(docs, model, docs.columns, fields, score).where(F.col(score) >= CUT).select(docs.columns)

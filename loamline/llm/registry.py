@@ -26,7 +26,9 @@ def op3_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return mixing.mix_sources(docs, weigh=quality.weigher(model) if model else mixing.plain_share).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,20 @@ def test_odd(odd, labels, name):
     out = RUNS[name](odd, labels).collect()
     if name in ("op1", "op2", "op3", "op4", "op6", "op9"):
         assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r["doc_id"]) for r in odd.collect())
+    if name in ("good", "copies", "near", "mixed"):  # the caller's columns come back as they were, whatever they are called
+        assert RUNS[name](odd, labels).columns == odd.columns and {tuple(r) for r in out} <= {tuple(r) for r in odd.collect()}
+    if name == "op5":
+        assert {r["doc_id"] for r in out} == {r["doc_id"] for r in odd.collect()} and sum(r["start"] == 0 for r in out) == odd.count()
+    if name == "op10":
+        assert out == []  # no two documents share 50 words
+
+
+def test_cut_texts_keep_clashing_columns(odd):
+    passage = " ".join(f"w{i}" for i in range(90))
+    docs = odd.withColumn("text", F.concat(F.col("text"), F.lit(" " + passage)))
+    left = chunk_dedup.without_repeats(docs, chunk_dedup.repeated_spans(docs))
+    assert left.columns == odd.columns and left.drop("text").exceptAll(odd.drop("text")).count() == 0 and left.count() == odd.count()
+    assert max(left.where("text is not null").select(F.length("text")).collect())[0] >= 300_000
 
 
 def test_no_labels_is_neutral(odd, labels):
@@ -69,11 +83,39 @@ def test_index_persists(spark, tmp_path):
     exact_dedup.exact_groups(first, index).collect()
     index.close()
     again = exact_dedup.DigestIndex(spark, path, buckets=4)  # a new session would name the same files
-    out = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(later, again).collect()}
-    assert out == {9: (1, False), 8: (8, True), 7: (8, False)} and again.rows().count() == 3
-    fresh = first.select(F.col("text").cast("binary").alias(exact_dedup.DIGEST)).join(again.rows().hint("merge"), exact_dedup.DIGEST, "left_anti")
+    out = {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in exact_dedup.exact_groups(later, again).collect()}
+    assert out == {9: (1, False, 2), 8: (8, True, 2), 7: (8, False, 2)} and again.rows().count() == 3
+    fresh = first.select(F.col("text").cast("binary").alias(exact_dedup.DIGEST)).join(spark.table(again.table).select(exact_dedup.DIGEST).hint("merge"), exact_dedup.DIGEST, "left_anti")
     plan = fresh._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange") == 1
+    again.close()
+
+
+def test_index_takes_a_batch_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id long, text string")
+    run = lambda index, batch=None: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs, index, batch).collect())
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    once = [(1, 1, 1, True), (2, 3, 2, False), (3, 3, 2, True)]
+    assert run(index, "monday") == once
+    assert run(index, "monday") == once  # the same batch after a failure: the same answer
+    assert run(index, "tuesday") == [(1, 1, 2, False), (2, 3, 4, False), (3, 3, 4, False)]  # the same rows as another batch: all known
+    assert run(index, "tuesday") == [(1, 1, 2, False), (2, 3, 4, False), (3, 3, 4, False)]
+    index.close()
+
+
+def test_hot_text_of_an_old_batch(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    exact_dedup.exact_groups(spark.createDataFrame([(1, "a")], "doc_id long, text string"), index).collect()
+    many = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    out = exact_dedup.exact_groups(many, index).collect()
+    assert {(r["keep_id"], r["group_size"], r["kept"]) for r in out} == {(1, 1001, False)} and len(out) == 1000
+    index.close()
+
+
+def test_no_table_is_left(spark, odd):
+    exact_dedup.exact_groups(odd).collect()
+    exact_dedup.drop_exact_copies(odd).collect()
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_")] == []
 
 
 def test_near_nulls(odd):
@@ -104,6 +146,23 @@ def test_mixed_targets(odd):
     assert mixing.sampled_documents(odd).columns == odd.columns
 
 
+def test_buckets_are_even_whatever_the_weights(spark):
+    rows = spark.range(60_000).select(F.lit("sx").alias("name"), F.lit(60_000).alias("rows"), F.greatest(F.lit(1e-18), -F.log(F.rand(3)) / F.when(F.col("id") % 3 == 0, 0.05).when(F.col("id") % 3 == 1, 0.11).otherwise(0.9)).alias("key"))
+    held = mixing.bucketed(rows).groupBy("cell", "part").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("cell", "part").collect()
+    assert sum(r["n"] for r in held) == 60_000 and max(r["n"] for r in held) < 3 * mixing.ROWS_A_BUCKET
+    assert all(a["high"] <= b["low"] for a, b in zip(held, held[1:], strict=False))
+
+
+def test_weights_may_come_from_the_classifier(spark, labels, odd):
+    import numpy as np
+
+    weigh = lambda texts: np.array([0.9 if t and "fox" in t else 0.0 for t in texts.to_pylist()])
+    got = {r["doc_id"]: r["weight"] for r in mixing.measured(odd, weigh).collect()}
+    assert got[1] == 0.9 and got[3] == mixing.LEAST_WEIGHT
+    model = quality.train(odd, labels)
+    assert len(mixing.sampled_documents(odd, quality.weigher(model)).columns) == len(odd.columns)
+
+
 def test_spans_ignore_words_of_one_document(spark):
     passage = " ".join(f"unique{i * 37 % 101}word" for i in range(70))
     docs = spark.createDataFrame([(1, "alpha beta gamma. " + passage), (2, "other words stand here first, " + passage + " and after"), (3, passage[:120] * 2), (4, None)], "doc_id long, text string")
