@@ -6,14 +6,14 @@ is the chain of styles (tag with classes and ids) from the root, told by a 64-bi
 The style tree merges the pages of a host by these paths, and a second one the pages of all hosts. In a tree, a path that stands in m
 pages has
 
-* content importance: the mean over its different sentences of 1 - log(c) / log(m), where c pages hold the sentence: 1 where each page
-  has sentences of its own, 0 where all share theirs. Each different sentence counts once, and pages with the same texts under the
-  same paths count once, so copies of an article don't look like furniture;
+* content importance: the mean over its different texts (blocks, divided at separators like "·") of 1 - log(c) / log(m), where c pages hold
+  the text: 1 where each page has texts of its own, 0 where all share theirs. Each different text counts once, and pages with the
+  same texts under the same paths count once, so copies of an article don't look like furniture;
 * presentation importance: the entropy of the style sequences of its children, as a share of log(m), which counts the more,
   the more of them there are (1 - 0.9^l for l sequences).
 
 The importance of a path is the greater of its content importance and of both together. A branch is removed where it is under LOW of the
-importance of the path that holds the most different sentences by words, which is the article's, in the host's tree or, at MIN_PAGES pages or
+importance of the path that holds the most different text by words, which is the article's, in the host's tree or, at MIN_PAGES pages or
 more, in that of all hosts; inside an article element only branches of a named style go, so that plain paragraphs and headings
 stay even where pages repeat them. Beside the tree, the markup itself removes
 
@@ -64,7 +64,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/a-zA-Z][^>]*>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-SENTENCE = re.compile(r"(?:[.!?;:]+ )|[·|•\u00a9»]")
+PARTS = re.compile(r" *[·|•©»]+ *")
 
 MIN_PAGES, LOW = 5, 0.8
 READ, NAMED_FURNITURE, UNREAD = 0, 1, 2
@@ -201,7 +201,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, page (a digest of its texts and paths), blocks and nodes of every page: blocks have path, named, dropped, article, sentences (digest and words) and text; nodes a path and the digest of its children's styles."""
+    """page_id, url, host (its digest), page (a digest of its texts and paths), row, blocks and nodes of every page: blocks have path, named, dropped, article, parts (digest and words) and text; nodes a path and the digest of its children's styles."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, keys, sizes, node_sizes = [], [], [], []
@@ -209,10 +209,10 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             blocks, children = parse(html or "")
             seen = [(b, t) for b in blocks if b.dropped != UNREAD and (t := b.text())]
-            hosts.append(host_of(url))
+            hosts.append(digest(host_of(url)))
             keys.append(digest(*sorted(digest(b.path, t) for b, t in seen)))
             for _, t in seen:
-                parts = [x for x in SENTENCE.split(t) if x] or [t]
+                parts = [x for x in PARTS.split(t) if x] or [t]
                 value += [digest(x) for x in parts]
                 words += [x.count(" ") + 1 for x in parts]
                 counts.append(len(parts))
@@ -226,24 +226,23 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             node += children
             shape += [digest(*c) for c in children.values()]
         offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-        sentence = pa.StructArray.from_arrays([pa.array(value, pa.int64()), pa.array(words, pa.int32())], ["value", "words"])
+        part = pa.StructArray.from_arrays([pa.array(value, pa.int64()), pa.array(words, pa.int32())], ["value", "words"])
         plain = [pa.array(x, k) for x, k in zip((path, named, dropped, article), (pa.int64(), pa.bool_(), pa.int32(), pa.bool_()), strict=True)]
-        block = pa.StructArray.from_arrays([*plain, pa.ListArray.from_arrays(offsets(counts), sentence), pa.array(texts, pa.string())], ["path", "named", "dropped", "article", "sentences", "text"])
+        block = pa.StructArray.from_arrays([*plain, pa.ListArray.from_arrays(offsets(counts), part), pa.array(texts, pa.string())], ["path", "named", "dropped", "article", "parts", "text"])
         nodes = pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(shape, pa.int64())], ["path", "value"])
         lists = [pa.ListArray.from_arrays(offsets(n), x) for n, x in ((sizes, block), (node_sizes, nodes))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), *lists], ["page_id", "url", "host", "page", "blocks", "nodes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), *lists], ["page_id", "url", "host", "page", "blocks", "nodes"])
 
-    schema = "page_id long, url string, host string, page long, blocks array<struct<path: long, named: boolean, dropped: int, article: boolean, sentences: array<struct<value: long, words: int>>, text: string>>, nodes array<struct<path: long, value: long>>"
-    return map_slices(pages.select("page_id", "url", "html"), "html", emit, schema, 4 << 20)
+    schema = "page_id long, url string, host long, page long, blocks array<struct<path: long, named: boolean, dropped: int, article: boolean, parts: array<struct<value: long, words: int>>, text: string>>, nodes array<struct<path: long, value: long>>"
+    rows = map_slices(pages.select("page_id", "url", "html"), "html", emit, schema, 4 << 20)
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def _importances(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, path, pages, words (of its different sentences), content, presentation and importance from (by, page, path, kind, value, words) rows."""
-    pages = rows.where("kind = 0").select(*by, "path", "page").distinct().groupBy(*by, "path").agg(F.count("*").alias("pages"))
-    each = rows.groupBy(*by, "path", "kind", "value").agg(F.count("*").alias("c"), F.max("words").alias("words"))
+def _importances(counts: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+    """by, path, pages, words (of its different texts), content, presentation and importance from (by, path, kind, value, words, c) rows and the pages of each path."""
     text, shape = F.col("kind") == 0, F.col("kind") == 1
     c, log = F.col("c"), F.log("c")
-    sums = each.groupBy(*by, "path").agg(
+    sums = counts.groupBy(*by, "path").agg(
         F.avg(F.when(text, log)).alias("_log"), F.sum(F.when(text, F.col("words"))).alias("words"), F.sum(F.when(shape, c)).alias("_n"), F.sum(F.when(shape, c * log)).alias("_spread"), F.count(F.when(shape, 1)).alias("_l")
     )
     share = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
@@ -251,18 +250,34 @@ def _importances(rows: DataFrame, by: list[str]) -> DataFrame:
     presentation = F.when((F.col("pages") > 1) & (F.col("_n") > 0), share((F.log("_n") - F.col("_spread") / F.col("_n")) / F.log("pages"))).otherwise(0.0)
     kept = F.pow(F.lit(0.9), F.col("_l"))
     both = (1 - kept) * F.col("presentation") + kept * F.col("content")
-    found = pages.join(sums, [*by, "path"]).withColumns({"content": content, "presentation": presentation})
+    found = held.join(sums, [*by, "path"]).withColumns({"content": content, "presentation": presentation})
     return found.select(*by, "path", "pages", "words", "content", "presentation", F.greatest("content", both).alias("importance"))
 
 
+def _marked(blocks: DataFrame, by: list[str], name: str) -> DataFrame:
+    """blocks with a flag: of the rows that agree in `by`, the one with the smallest row number has it."""
+    rows = blocks.withColumn("_key", F.xxhash64(*by))
+    again = rows.groupBy("_key").agg(F.min("row").alias("_first"), F.count("*").alias("n")).where("n > 1")
+    again = written(again, "copied-pages")
+    joined = rows.join(F.broadcast(again.drop("n")), "_key", "left") if small_enough(again) else join_skewed(rows, again, "_key", "n", "left")
+    return joined.withColumn(name, F.coalesce(F.col("row") == F.col("_first"), F.lit(True)).cast("int")).drop("_key", "_first")
+
+
 def style_tree(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The importances of the paths of each host, and of those of all hosts, both written."""
-    texts = blocks.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", F.explode("b.sentences").alias("s")).select("host", "page", "path", F.lit(0).alias("kind"), "s.value", "s.words")
-    shapes = blocks.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.path", F.lit(1).alias("kind"), "n.value", F.lit(0).alias("words"))
-    rows = written(texts.unionByName(shapes).distinct(), "styles")
-    tree = written(_importances(rows, ["host"]), "host-tree")
-    whole = written(_importances(rows.drop("host").distinct(), []), "whole-tree")
-    discard(rows)
+    """The importances of the paths of each host, and of those of all hosts, both written. blocks is a written table."""
+    marked = _marked(_marked(blocks.select("host", "page", "row", "blocks", "nodes"), ["host", "page"], "own"), ["page"], "first").where("own = 1")
+    paths = F.array_distinct(F.transform("blocks", lambda b: b["path"]))
+    held = marked.select("host", "first", F.explode(paths).alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("first").alias("firsts"))
+    held = written(held, "held")
+    texts = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.transform(b["parts"], lambda p: F.struct(b["path"].alias("path"), F.lit(0).alias("kind"), p["value"].alias("value"), p["words"].alias("words"))))))
+    shapes = F.transform("nodes", lambda n: F.struct(n["path"].alias("path"), F.lit(1).alias("kind"), n["value"].alias("value"), F.lit(0).alias("words")))
+    nodes = marked.select("host", "first", F.explode(F.concat(texts, shapes)).alias("e")).select("host", "first", "e.*")
+    counts = written(nodes.groupBy("host", "path", "kind", "value").agg(F.count("*").cast("int").alias("c"), F.sum("first").cast("int").alias("firsts"), F.max("words").alias("words")), "counts")
+    tree = written(_importances(counts.drop("firsts"), held.drop("firsts"), ["host"]), "host-tree")
+    every = counts.where("firsts > 0").groupBy("path", "kind", "value").agg(F.sum("firsts").alias("c"), F.max("words").alias("words"))
+    whole = written(_importances(every, held.where("firsts > 0").groupBy("path").agg(F.sum("firsts").alias("pages")), []), "whole-tree")
+    discard(counts)
+    discard(held)
     return tree, whole
 
 

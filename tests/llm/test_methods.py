@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamline.llm import chunk_dedup, components, minhash, mixing, mpegts, packing, quality, site_style, toxicity, warc
+from loamline.llm.common import written
 from loamline.llm.textbytes import shingle_hashes, text_bytes, word_bounds, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,7 +298,7 @@ def test_main_text():
 
 
 def brute_tree(pages):
-    """path -> (pages, content) of one host's pages, by counting sentences page by page; equal pages count once."""
+    """path -> (pages, content) of one host's pages, by counting texts page by page; equal pages count once."""
     held, seen = collections.defaultdict(lambda: collections.defaultdict(set)), set()
     for i, html in enumerate(pages):
         blocks = [b for b in site_style.parse(html)[0] if b.dropped != site_style.UNREAD and b.text()]
@@ -306,7 +307,7 @@ def brute_tree(pages):
             continue
         seen.add(key)
         for b in blocks:
-            for x in site_style.SENTENCE.split(b.text()):
+            for x in site_style.PARTS.split(b.text()):
                 if x:
                     held[b.path][x].add(i)
     out = {}
@@ -319,10 +320,10 @@ def brute_tree(pages):
 def test_style_tree_equals_brute_force(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     pages = pages.unionByName(pages.limit(30).withColumn("page_id", F.col("page_id") + 5000))
-    tree, whole = site_style.style_tree(site_style.page_blocks(pages))
+    tree, whole = site_style.style_tree(written(site_style.page_blocks(pages), "blocks"))
     by = collections.defaultdict(list)
     for r in pages.collect():
-        by[site_style.host_of(r["url"])].append(r["html"])
+        by[site_style.digest(site_style.host_of(r["url"]))].append(r["html"])
     got = {(r["host"], r["path"]): (r["pages"], pytest.approx(r["content"])) for r in tree.collect()}
     assert {(h, p): v for h, own in by.items() for p, v in brute_tree(own).items()} == got
     assert {r["path"]: (r["pages"], pytest.approx(r["content"])) for r in whole.collect()} == brute_tree([h for own in by.values() for h in own])
@@ -331,8 +332,8 @@ def test_style_tree_equals_brute_force(spark, small):
 def test_style_tree_finds_what_repeats(spark):
     pages = [(i, f"http://h{i % 2}.x/{i}", f"<div class=a><p>Story {i} told</p></div><div class=b>Follow us</div><div class=c>Part {i % 2}</div>", 0) for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, host int")
-    tree, whole = site_style.style_tree(site_style.page_blocks(df))
-    own, every = ({r["path"]: r for r in t.collect()} for t in (tree.where("host = 'h0.x'"), whole))
+    tree, whole = site_style.style_tree(written(site_style.page_blocks(df), "blocks"))
+    own, every = ({r["path"]: r for r in t.collect()} for t in (tree.where(F.col("host") == site_style.digest("h0.x")), whole))
     at = site_style.path_key
     assert own[at("/div.a/p")]["content"] == 1 and own[at("/div.b")]["content"] == pytest.approx(0) and own[at("/div.b")]["pages"] == 20
     assert every[at("/div.c")]["content"] == pytest.approx(1 - math.log(20) / math.log(40))
