@@ -94,7 +94,7 @@ def planted(seed=3, groups=6, size=40):
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(spark, docs, width, percent, monkeypatch):
-    monkeypatch.setattr(minhash.node_members, "__defaults__", (12,))  # branch and block on small data
+    monkeypatch.setattr(minhash.candidate_groups, "__defaults__", (12,))  # branch, deal and compare across on small data
     monkeypatch.setattr(minhash, "GROUP_ROWS", 10)
     rows = [(100_000 + i, t) for i, t in planted()] + [(r["doc_id"], r["text"]) for r in docs.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
