@@ -2,11 +2,15 @@
 
 `mux` stores bytes as the 8-bit samples (8000 a second) of one private elementary stream: a program association table, a
 program map table and one PES packet a second, each with a presentation timestamp and, on its first transport packet, a
-clock reference and the random access flag. `demux` reads any stream of that kind back: it follows the two tables, checks
-their CRCs and the continuity counters, drops repeated packets, joins the packet payloads and splits them at unit starts.
+clock reference and the random access flag. `demux` reads streams back, those of other writers too: it joins table sections over packets and
+checks their CRCs, follows the association table to a program and its map to an elementary stream (the first of each, or those asked for),
+checks the continuity counters (a packet that announces a discontinuity is none), drops repeated packets, joins the packet
+payloads and splits them at unit starts.
 
-A null or empty text has the smallest payload, 64 zero bytes. Equal texts give equal streams. Repeated rows give repeated
-rows; extra columns are ignored; an empty table gives an empty result.
+The media column is a table: mux_documents' rows are written to the shared folder and read from there by demux_streams.
+
+A null or empty text has the smallest payload, 64 zero bytes; very long ones are stored whole. Equal texts give equal streams. Repeated
+rows give repeated rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,45 +92,72 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(packets: np.ndarray, pid: np.ndarray, wanted: int) -> bytes:
-    """The body of the first table section on a PID, CRC checked."""
-    for packet in packets[pid == wanted]:
-        if packet[1] & 0x40 and packet[3] & 0x10:
-            data = packet[4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0) :].tobytes()
-            section = data[1 + data[0] :]
-            length = 3 + ((section[1] & 0x0F) << 8 | section[2])
-            if length <= len(section) and crc32_mpeg(section[:length]) == 0:
-                return section[8 : length - 4]
-    raise ValueError(f"no whole table on PID {wanted}")
+def _payload(packet: np.ndarray) -> bytes:
+    return packet[4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0) :].tobytes() if packet[3] & 0x10 else b""
 
 
-def demux(stream: bytes) -> dict:
-    """payload, stream type, packet and unit counts, continuity errors, and (pts, payload offset) of the random access points."""
+def _section_body(packets: np.ndarray, pid: np.ndarray, wanted: int, table_id: int) -> bytes:
+    """The body of the first whole section of a table on a PID, CRC checked; sections may span packets."""
+    data = None
+    for packet in packets[pid == wanted]:
+        part = _payload(packet)
+        if packet[1] & 0x40 and part:  # a section starts after the pointer; what is before it ends the one at hand
+            pieces = [(data or b"") + part[1 : 1 + part[0]], part[1 + part[0] :]] if data is not None else [part[1 + part[0] :]]
+        elif data is not None:
+            pieces = [data + part]
+        else:
+            continue
+        for data in pieces:
+            while len(data) >= 3 and data[0] != 0xFF:
+                length = 3 + ((data[1] & 0x0F) << 8 | data[2])
+                if length > len(data):
+                    break
+                if data[0] == table_id and crc32_mpeg(data[:length]) == 0:
+                    return data[8 : length - 4]
+                data = data[length:]
+    raise ValueError(f"no whole table {table_id} on PID {wanted}")
+
+
+def streams_of(packets: np.ndarray, pid: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """The (stream type, PID) lists of each program."""
+    table, out = _section_body(packets, pid, 0, 0), {}
+    for i in range(0, len(table), 4):
+        if number := table[i] << 8 | table[i + 1]:  # number 0 names the network table
+            body = _section_body(packets, pid, (table[i + 2] & 0x1F) << 8 | table[i + 3], 2)
+            at, out[number] = 4 + ((body[2] & 0x0F) << 8 | body[3]), []
+            while at < len(body):
+                out[number].append((body[at], (body[at + 1] & 0x1F) << 8 | body[at + 2]))
+                at += 5 + ((body[at + 3] & 0x0F) << 8 | body[at + 4])
+    return out
+
+
+def demux(stream: bytes, program: int | None = None, stream_pid: int | None = None) -> dict:
+    """payload, stream type, packet and unit counts, continuity errors, unit timestamps, and (pts, payload offset) of the random access points of one elementary stream."""
     if len(stream) % PACKET:
         raise ValueError("a transport stream holds whole packets")
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != 0x47).any():
         raise ValueError("lost synchronisation")
     pid = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
-    programs = _sections(packets, pid, 0)
-    map_pid = next((programs[i + 2] & 0x1F) << 8 | programs[i + 3] for i in range(0, len(programs), 4) if programs[i] or programs[i + 1])
-    body = _sections(packets, pid, map_pid)
-    at = 4 + ((body[2] & 0x0F) << 8 | body[3])
-    kind, data_pid = body[at], (body[at + 1] & 0x1F) << 8 | body[at + 2]
+    programs = streams_of(packets, pid)
+    found = [s for number, streams in programs.items() if program in (None, number) for s in streams if stream_pid in (None, s[1])]
+    if not found:
+        raise ValueError("no such program or stream")
+    kind, data_pid = found[0]
 
     own = packets[(pid == data_pid) & (packets[:, 3] & 0x10 > 0)]
     if len(own) > 1:  # a packet may be sent twice
         again = np.concatenate([[False], (own[1:, 3] & 15 == own[:-1, 3] & 15) & (own[1:, 4:] == own[:-1, 4:]).all(1)])
         own = own[~again]
     counters = (own[:, 3] & 15).astype(np.int64)
-    errors = int(((np.diff(counters) - 1) % 16 != 0).sum())
     adapted = own[:, 3] & 0x20 > 0
     begin = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
+    flags = np.where(adapted & (begin > 5), own[:, 5], 0)
+    errors = int((((np.diff(counters) - 1) % 16 != 0) & (flags[1:] & 0x80 == 0)).sum())
     data = own[np.arange(PACKET) >= begin[:, None]].tobytes()
     ends = np.cumsum(PACKET - begin)
     first = np.flatnonzero(own[:, 1] & 0x40)
-    access = adapted & (begin > 5) & (own[:, 5] & 0x40 > 0)
-    units, points, size = [], [], 0
+    units, points, times, size = [], [], [], 0
     for k, i in enumerate(first):
         a, b = int(ends[i] - (PACKET - begin[i])), int(ends[first[k + 1] - 1]) if k + 1 < len(first) else len(data)
         unit = data[a:b]
@@ -135,12 +166,19 @@ def demux(stream: bytes) -> dict:
         length, head = int.from_bytes(unit[4:6], "big"), 9 + unit[8]
         if unit[7] & 0x80:
             t = unit[9:14]
-            pts = (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 254) << 14 | t[3] << 7 | t[4] >> 1
-            if access[i]:
-                points.append((pts, size))
+            times.append((t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 254) << 14 | t[3] << 7 | t[4] >> 1)
+            if flags[i] & 0x40:
+                points.append((times[-1], size))
         units.append(unit[head : 6 + length if length else len(unit)])
         size += len(units[-1])
-    return {"payload": b"".join(units), "stream_type": kind, "packets": len(packets), "units": len(units), "continuity_errors": errors, "access_points": points}
+    return {"payload": b"".join(units), "stream_type": kind, "packets": len(packets), "units": len(units), "continuity_errors": errors, "times": times, "access_points": points}
+
+
+def feature_of(got: dict) -> str:
+    times, payload = got["times"], got["payload"]
+    span = f"{times[0]}..{times[-1]}" if times else "none"
+    mean = np.frombuffer(payload, np.uint8).mean() if payload else 0.0
+    return f"mpegts type={got['stream_type']} packets={got['packets']} units={got['units']} continuity_errors={got['continuity_errors']} access_points={len(got['access_points'])} pts={span} mean={mean:.3f}"
 
 
 def padded(text: bytes, block: int = 64) -> bytes:
@@ -171,8 +209,7 @@ def demux_streams(streams: DataFrame) -> DataFrame:
                 media = value.as_buffer()
                 got = demux(media)
                 payload, points = got["payload"], got["access_points"]
-                feature = f"mpegts type={got['stream_type']} packets={got['packets']} units={got['units']} continuity_errors={got['continuity_errors']} access_points={len(points)} pts={points[0][0]}..{points[-1][0]} mean={np.frombuffer(payload, np.uint8).mean():.3f}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, [{"pts": p, "byte_offset": o} for p, o in points]))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(got), [{"pts": p, "byte_offset": o} for p, o in points]))
             cols = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), ACCESS]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_points"]

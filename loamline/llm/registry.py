@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunk_dedup, exact_dedup, minhash, mixing, mpegts, packing, quality, site_style, toxicity, warc
+from .common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mpegts.demux_streams(mpegts.mux_documents(_table(spark, sf_dir, "documents")))
+    out = mpegts.demux_streams(written(mpegts.mux_documents(_table(spark, sf_dir, "documents")), "media"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

@@ -231,13 +231,56 @@ def test_transport_stream_round_trip(n):
         mpegts.demux(b"\x00" + stream[1:])
 
 
-def test_media_query(docs):
-    out = {r["doc_id"]: r for r in mpegts.demux_streams(mpegts.mux_documents(docs)).collect()}
+def packet_of(pid, counter, data, start=False, flags=None):
+    """One transport packet; an adaptation field takes up what data leaves."""
+    head = b"\x47" + ((0x4000 if start else 0) | pid).to_bytes(2, "big")
+    room = 184 - len(data)
+    if flags is None and not room:
+        return head + bytes([0x10 | counter & 15]) + data
+    return head + bytes([0x30 | counter & 15, room - 1]) + (bytes([flags or 0]) + b"\xff" * (room - 2) if room > 1 else b"") + data
+
+
+def other_stream():
+    """What another writer may send: two programs, a map table over two packets, no random access flags, an announced discontinuity, a network entry."""
+    section = mpegts._section(0, b"\x00\x01\xc1\x00\x00" + b"\x00\x00\xe0\x10" + b"\x00\x01\xe1\x00" + b"\x00\x02\xe2\x00")
+    out = [packet_of(0, 0, (b"\x00" + section).ljust(184, b"\xff"), start=True)]
+    for number, pid, stream, text in ((1, 0x100, 0x101, b""), (2, 0x200, 0x201, b"d" * 230)):
+        info = b"\x83" + bytes([len(text)]) + text if text else b""
+        long = mpegts._section(2, number.to_bytes(2, "big") + b"\xc1\x00\x00" + (0xE000 | stream).to_bytes(2, "big") + b"\xf0\x00" + b"\x06" + (0xE000 | stream).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info)
+        data = b"\x00" + long
+        out += [packet_of(pid, k, data[a : a + 184].ljust(184, b"\xff"), start=k == 0) for k, a in enumerate(range(0, len(data), 184))]
+    for stream, body in ((0x101, b"first"), (0x201, b"second")):
+        unit = b"\x00\x00\x01\xbd" + (len(body) + 3).to_bytes(2, "big") + b"\x80\x00\x00" + body
+        out += [packet_of(stream, 3, unit, start=True), packet_of(stream, 9, unit, start=True, flags=0x80), packet_of(stream, 12, unit, start=True)]
+    return b"".join(out)
+
+
+def test_streams_of_other_writers(spark):
+    stream = other_stream()
+    got = mpegts.demux(stream)
+    assert (got["payload"], got["continuity_errors"], got["access_points"], got["times"]) == (b"first" * 3, 1, [], [])
+    assert mpegts.demux(stream, program=2)["payload"] == mpegts.demux(stream, stream_pid=0x201)["payload"] == b"second" * 3
+    with pytest.raises(ValueError, match="no such"):
+        mpegts.demux(stream, program=3)
+    rows = spark.createDataFrame([(1, 15, bytearray(stream))], "doc_id long, n_bytes long, media binary")
+    assert "access_points=0 pts=none" in mpegts.demux_streams(rows).first()["feature"]
+
+
+def test_media_query(spark, docs, small):
+    from loamline.llm import registry
+
+    out = {r["doc_id"]: r for r in registry.op6_transport_streams(spark, small).collect()}
     for r in docs.collect():
         raw = r["text"].encode()
         payload = mpegts.padded(raw)
+        media = mpegts.mux(payload)
         got = out[r["doc_id"]]
         assert (got["n_bytes"], got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (got["media_bytes"], got["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        units = -(-len(payload) // 8000)
+        # by the format: two tables, and a unit of n bytes with its 14 of head takes 176 bytes of its first packet and 184 of each more
+        packets = 2 + sum(1 + -(-max(0, min(8000, len(payload) - 8000 * k) + 14 - 176) // 184) for k in range(units))
+        assert got["feature"] == f"mpegts type=6 packets={packets} units={units} continuity_errors=0 access_points={units} pts=0..{(units - 1) * 90000} mean={sum(payload) / len(payload):.3f}"
 
 
 # archives
