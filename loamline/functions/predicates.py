@@ -47,11 +47,11 @@ def overlaps(start: Column, end: Column, since: Column, until: Column) -> Column
     return (start < until) & ((end > since) | ((start == end) & (start >= since)))
 
 
-def sender(df: DataFrame, wanted: str, id_col: str, name_col: str) -> Column:
-    """The id where the rows in scope have it, else a substring of the name."""
-    if df.where(F.col(id_col).cast("string") == wanted).limit(1).count():
-        return F.col(id_col).cast("string") == wanted
-    return contains(F.col(name_col), wanted)
+def sent_by(df: DataFrame, wanted: str, id_col: str, name_col: str) -> DataFrame:
+    """The rows whose sender id is the wanted one, where the rows in scope have that id, else those whose sender's name contains it. Both are decided in one plan."""
+    same = F.col(id_col).cast("string") == wanted
+    exists = df.agg(F.coalesce(F.max(same), F.lit(False)).alias("_known"))  # one row
+    return df.crossJoin(F.broadcast(exists)).where(F.when(F.col("_known"), same).otherwise(contains(F.col(name_col), wanted))).drop("_known")
 
 
 def known(flag: Column, other: Column) -> Column:

@@ -63,8 +63,8 @@ def matches(words: Column, terms: list[Term]) -> Column:
 
 
 def normal_subject(subject: Column) -> Column:
-    """Without repeated reply and forward marks, in lower case."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(subject)), r"^((re|fw|fwd|aw|wg|sv)[ \t]*:\s*)+", ""))
+    """Without repeated reply and forward marks."""
+    return F.regexp_replace(subject, r"(?i)^\s*((re|fw|fwd|aw|wg|sv)[ \t]*:\s*)*|\s+$", "")
 
 
 def normal_message_id(value: Column) -> Column:
@@ -123,8 +123,8 @@ def scrubbed(text: Column) -> Column:
     """Without bearer tokens, web tokens, signatures and values of secret keys."""
     out = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [removed]")
     out = F.regexp_replace(out, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", "[removed]")
-    out = F.regexp_replace(out, r"(?i)([?&]sig=)[^&\s]+", "$1[removed]")
-    return F.regexp_replace(out, r'(?i)((?:token|secret|password|api_key)"?\s*[:=]\s*"?)[^"\s,}]+', "$1[removed]")
+    out = F.regexp_replace(out, r'(?i)([?&](?:sig|tempauth)=)[^&\s"]+', "$1[removed]")
+    return F.regexp_replace(out, r'(?i)((?:token|secret|password|api_key|authorization)"?\s*[:=]\s*"?)[^"\s,}]+', "$1[removed]")
 
 
 def duration_text(seconds: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 20) -> DataFrame:
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loamline-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"{tempfile.gettempdir()}/loamline-checkpoints")
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = both.union(both.select("y", "x")).where("x <> y").distinct().checkpoint()
     labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("c")).withColumnRenamed("x", "node").checkpoint()

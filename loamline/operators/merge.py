@@ -118,5 +118,6 @@ def admit(observations: DataFrame, published: DataFrame, keys: list[str], digest
 
 
 def current_and_last_good(observations: DataFrame, keys: list[str], at: str, good: Column, value: str) -> DataFrame:
-    """The newest value of a key and the newest that is good."""
-    return observations.groupBy(*keys).agg(F.max_by(value, F.col(at)).alias("current"), F.max_by(value, F.when(good, F.col(at))).alias("last_good"))
+    """The newest value of a key and the newest that is good; of equally new ones the greatest."""
+    order = F.struct(at, value)
+    return observations.groupBy(*keys).agg(F.max_by(value, order).alias("current"), F.max_by(value, F.when(good, order)).alias("last_good"))

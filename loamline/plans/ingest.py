@@ -111,7 +111,7 @@ def account_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH a AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) AS "start", CASE WHEN o_orderstatus = 'P' THEN 1 END AS cancelled, o_orderkey % 100 AS clock FROM orders WHERE o_orderkey % 3 <> 0),
-    b AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) + 3600000000 * (o_orderkey % 5) AS "start", CASE WHEN o_orderstatus = 'F' THEN 0 END AS cancelled, (o_orderkey * 7) % 100 AS clock FROM orders WHERE o_orderkey % 4 <> 0),
+    b AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) + 3600000000 * (o_orderkey % 5) AS "start", CASE WHEN o_orderstatus = 'F' THEN 0 END AS cancelled, (o_orderkey * 7) % 100 AS clock FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 3 = 0),
     m AS (SELECT k, CASE WHEN a.clock IS NULL OR coalesce(b.clock - a.clock > 5, false) THEN coalesce(b."start", a."start") ELSE coalesce(a."start", b."start") END AS "start",
       CASE WHEN a.clock IS NULL OR coalesce(b.clock - a.clock > 5, false) THEN coalesce(b.cancelled, a.cancelled) ELSE coalesce(a.cancelled, b.cancelled) END AS cancelled FROM a FULL JOIN b USING (k))
     SELECT k, "start", "start" + 5400000000 AS "end" FROM m WHERE coalesce(cancelled, 0) = 0 AND "start" < epoch_us(TIMESTAMP '1996-02-01') AND "start" + 5400000000 > epoch_us(TIMESTAMP '1996-01-01')"""
@@ -120,7 +120,7 @@ def agenda(spark: SparkSession, sf: str) -> DataFrame:
     """The merged events of a range. Overlap and visibility are judged after the merge, on what the event became."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), micros("o_orderdate").alias("start"), "o_orderstatus")
     a = o.where("k % 3 <> 0").select("k", "start", F.when(F.col("o_orderstatus") == "P", 1).alias("cancelled"), (F.col("k") % 100).alias("clock"))
-    b = o.where("k % 4 <> 0").select("k", (F.col("start") + F.col("k") % 5 * 3_600_000_000).alias("start"), F.when(F.col("o_orderstatus") == "F", 0).alias("cancelled"), (F.col("k") * 7 % 100).alias("clock"))
+    b = o.where("k % 4 <> 0 OR k % 3 = 0").select("k", (F.col("start") + F.col("k") % 5 * 3_600_000_000).alias("start"), F.when(F.col("o_orderstatus") == "F", 0).alias("cancelled"), (F.col("k") * 7 % 100).alias("clock"))
     m = merge.two_sources(a, b, ["k"], "clock", ["start", "cancelled"], 5).withColumn("end", F.col("start") + 5_400_000_000)
     low, high = (micros(F.lit(d).cast("timestamp_ntz")) for d in ("1996-01-01", "1996-02-01"))
     return m.where(P.overlaps(F.col("start"), F.col("end"), low, high) & (F.coalesce("cancelled", F.lit(0)) == 0)).select("k", "start", "end")

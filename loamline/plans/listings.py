@@ -62,7 +62,7 @@ def name_match(spark: SparkSession, sf: str) -> DataFrame:
 def sender_filter(spark: SparkSession, sf: str) -> DataFrame:
     """'00001' is no customer's id, so it is a part of the name."""
     c = table(spark, sf, "customer")
-    return c.where(P.sender(c, "00001", "c_custkey", "c_name")).select("c_custkey", "c_name")
+    return P.sent_by(c, "00001", "c_custkey", "c_name").select("c_custkey", "c_name")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE text LIKE '%\\%\\%\\%%' ESCAPE '\\'")
@@ -226,13 +226,15 @@ def all_day_look(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, trim(regexp_replace(lower(trim(s)), '^((re|fw|fwd|aw|wg|sv)[ \t]*:\\s*)+', '')) AS subject FROM
-    (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Re: FW: ' WHEN 1 THEN 'AW : sv:' WHEN 2 THEN 'Regarding: ' ELSE '' END || substr(text, 1, 40) AS s FROM documents)"""
+    """SELECT doc_id, sha256(regexp_replace(regexp_replace(s, '^\\s*((re|fw|fwd|aw|wg|sv)[ \t]*:\\s*)*', '', 'i'), '\\s+$', '')) AS digest, starts_with(s, 'R') AS marked FROM
+    (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Re: FW: ' WHEN 1 THEN ' AW : sv:' WHEN 2 THEN 'Regarding: ' ELSE '' END || text AS s FROM documents)"""
 )
 def subject_norm(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as subjects, told by their digest."""
     k = F.col("doc_id") % 4
-    mark = F.when(k == 0, "Re: FW: ").when(k == 1, "AW : sv:").when(k == 2, "Regarding: ").otherwise("")
-    return table(spark, sf, "documents").select("doc_id", T.normal_subject(F.concat(mark, F.substring("text", 1, 40))).alias("subject"))
+    mark = F.when(k == 0, "Re: FW: ").when(k == 1, " AW : sv:").when(k == 2, "Regarding: ").otherwise("")
+    s = table(spark, sf, "documents").select("doc_id", F.concat(mark, "text").alias("s"))
+    return s.select("doc_id", F.sha2(T.normal_subject(F.col("s")), 256).alias("digest"), F.col("s").startswith("R").alias("marked"))
 
 
 @query("SELECT doc_id, lower(regexp_replace(trim(s), '^<(.*)>$', '\\1')) AS message_id FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ' <' || upper(source) || '.' || doc_id || '@X> ' ELSE source || '@y' END AS s FROM documents)")
@@ -267,12 +269,15 @@ def link_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)((?:token|secret|password|api_key)"?\\s*[:=]\\s*"?)[^"\\s,}]+', '\\1[removed]', 'g'), '(?i)([?&]sig=)[^&\\s]+', '\\1[removed]', 'g') AS text FROM documents
-    WHERE text LIKE '%token%' OR text LIKE '%api_key%' OR text LIKE '%password%'"""
+    """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?i)bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [removed]', 'g'), 'eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]*', '[removed]', 'g'),
+      '(?i)([?&](?:sig|tempauth)=)[^&\\s"]+', '\\1[removed]', 'g'), '(?i)((?:token|secret|password|api_key|authorization)"?\\s*[:=]\\s*"?)[^"\\s,}]+', '\\1[removed]', 'g') AS text
+    FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' Authorization: BEARER abc.def' WHEN 1 THEN ' {"Password": "x y"}' WHEN 2 THEN ' http://h/?a=1&SIG=q%2F&b=2' WHEN 3 THEN ' eyJhbGciOiJI.eyJzdWIi.sig_' ELSE ' SECRET=1' END AS s FROM documents)"""
 )
 def scrub_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.col("text")
-    return table(spark, sf, "documents").where(text.contains("token") | text.contains("api_key") | text.contains("password")).select("doc_id", T.scrubbed(text).alias("text"))
+    """Every document, with one more secret of each kind at its end, scrubbed."""
+    k = F.col("doc_id") % 5
+    more = F.when(k == 0, " Authorization: BEARER abc.def").when(k == 1, ' {"Password": "x y"}').when(k == 2, " http://h/?a=1&SIG=q%2F&b=2").when(k == 3, " eyJhbGciOiJI.eyJzdWIi.sig_").otherwise(" SECRET=1")
+    return table(spark, sf, "documents").select("doc_id", T.scrubbed(F.concat("text", more)).alias("text"))
 
 
 @query("SELECT event_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS text FROM (SELECT event_id, event_id * 37 % 9000 AS s FROM events)")

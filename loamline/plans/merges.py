@@ -32,19 +32,19 @@ def upsert_versions(spark: SparkSession, sf: str) -> DataFrame:
     return merge.fold_statements(statements(spark, sf), KEYS, "version", "arrival", "deleted_at", ["body"])
 
 
-def _batch(s: DataFrame, day: F.Column) -> DataFrame:
-    return merge.fold_statements(s.where(day), KEYS, "version", "arrival", "deleted_at", ["body"])
-
-
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The first half of all arrivals is stored, the second comes as a batch."""
     s = statements(spark, sf)
-    return merge.upsert(_batch(s, F.col("arrival") < 6000), _batch(s, F.col("arrival") >= 9000), KEYS, "version", "deleted_at", ["body"])
+    half = s.agg(F.floor(F.max("arrival") / 2).alias("half"))  # one row
+    s = s.crossJoin(F.broadcast(half))
+    stored, batch = (merge.fold_statements(s.where(side), KEYS, "version", "arrival", "deleted_at", ["body"]) for side in ("arrival <= half", "arrival > half"))
+    return merge.upsert(stored, batch, KEYS, "version", "deleted_at", ["body"])
 
 
 _FOLD = """{0}m AS (SELECT user_id, event_type, max(version) AS version FROM s WHERE {1} GROUP BY 1, 2),
   {0} AS (SELECT user_id, event_type, version, max_by(deleted_at, arrival) FILTER (deleted_at IS NOT NULL) AS deleted_at, max_by(body, arrival) AS body FROM s JOIN {0}m USING (user_id, event_type, version) WHERE {1} GROUP BY 1, 2, 3)"""
 _MERGED = (
-    _ST + ", " + _FOLD.format("o", "arrival < 6000") + ", " + _FOLD.format("n", "arrival >= 9000")
+    _ST + ", " + _FOLD.format("o", "arrival <= (SELECT max(event_id) // 2 FROM events)") + ", " + _FOLD.format("n", "arrival > (SELECT max(event_id) // 2 FROM events)")
     + """, j AS (SELECT user_id, event_type, o.version AS ov, o.deleted_at AS od, o.body AS ob, n.version AS nv, CASE WHEN o.deleted_at IS NOT NULL AND n.deleted_at IS NULL AND n.version <= o.version THEN o.deleted_at ELSE n.deleted_at END AS nd, n.body AS nb FROM o FULL JOIN n USING (user_id, event_type)),
     x AS (SELECT *, CASE WHEN nv IS NULL THEN 'kept' WHEN ov IS NULL THEN 'new' WHEN nv < ov OR (nb IS NOT DISTINCT FROM ob AND nd IS NOT DISTINCT FROM od) THEN 'unchanged' WHEN nd IS NOT NULL AND od IS NULL THEN 'deleted' ELSE 'edited' END AS change FROM j),
     r AS (SELECT user_id, event_type, change, CASE WHEN change IN ('kept', 'unchanged') THEN ov ELSE nv END AS version, CASE WHEN change IN ('kept', 'unchanged') THEN od ELSE nd END AS deleted_at, CASE WHEN change IN ('kept', 'unchanged') THEN ob ELSE nb END AS body FROM x)"""
@@ -78,7 +78,7 @@ def clocked_capture(spark: SparkSession, sf: str) -> DataFrame:
     return merge.capture(u, ["user_id"], "clock", {"subject": F.length("subject"), "note": F.length("note")})
 
 
-_TWO = """WITH a AS (SELECT doc_id AS k, n_chars AS clock, nullif(lang, 'fr') AS lang, source FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS k, 2 * (doc_id % 3000) AS clock, lang, nullif(source, 'src1') AS source FROM documents WHERE doc_id % 4 <> 0),
+_TWO = """WITH a AS (SELECT doc_id AS k, n_chars AS clock, nullif(lang, 'fr') AS lang, source FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS k, 2 * (doc_id % 3000) AS clock, lang, nullif(source, 'src1') AS source FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 3 = 0),
   j AS (SELECT k, coalesce(b.clock - a.clock > 5, false) OR a.clock IS NULL AS bb, a.lang AS al, b.lang AS bl, a.source AS asrc, b.source AS bs FROM a FULL JOIN b USING (k))"""
 
 
@@ -91,7 +91,7 @@ def two_source_merge(spark: SparkSession, sf: str) -> DataFrame:
     """One entity from two sources: the later clock is the base, gaps are filled, differences named."""
     d = table(spark, sf, "documents")
     a = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), F.col("n_chars").alias("clock"), F.nullif("lang", F.lit("fr")).alias("lang"), "source")
-    b = d.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("k"), (F.col("doc_id") % 3000 * 2).alias("clock"), "lang", F.nullif("source", F.lit("src1")).alias("source"))
+    b = d.where("doc_id % 4 <> 0 OR doc_id % 3 = 0").select(F.col("doc_id").alias("k"), (F.col("doc_id") % 3000 * 2).alias("clock"), "lang", F.nullif("source", F.lit("src1")).alias("source"))
     return merge.two_sources(a, b, ["k"], "clock", ["lang", "source"], 5)
 
 
@@ -127,7 +127,7 @@ def admit_digest(spark: SparkSession, sf: str) -> DataFrame:
     return merge.admit(d, d.where("doc_id % 2 = 0"), ["source"], "digest").select("doc_id", "digest")
 
 
-@query("SELECT user_id, max_by(event_id, epoch_us(ts)) AS current, max_by(event_id, epoch_us(ts)) FILTER (event_type <> 'error') AS last_good FROM events GROUP BY user_id")
+@query("SELECT user_id, max_by(event_id, (epoch_us(ts), event_id)) AS current, max_by(event_id, (epoch_us(ts), event_id)) FILTER (event_type <> 'error') AS last_good FROM events GROUP BY user_id")
 def current_last_good(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("t", micros("ts"))
     return merge.current_and_last_good(e, ["user_id"], "t", F.col("event_type") != "error", "event_id")
@@ -171,13 +171,14 @@ def folder_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id - 1 - doc_id % 5 AS b FROM documents WHERE doc_id % 4 <> 0 AND doc_id > 6), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT doc_id AS a, greatest(doc_id - 1 - doc_id % 5, doc_id // 40 * 40) AS b FROM documents), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(node, seen) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen WHERE s.b < r.node OR true)
     SELECT node, min(seen) AS component FROM r GROUP BY node"""
 )
 def reply_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Threads as components of reply links."""
-    edges = table(spark, sf, "documents").where("doc_id % 4 <> 0 AND doc_id > 6").select(F.col("doc_id").alias("a"), (F.col("doc_id") - 1 - F.col("doc_id") % 5).alias("b"))
+    """Threads as components of reply links: a document answers one of the five before it, the first of every forty answers none."""
+    first = F.floor(F.col("doc_id") / 40) * 40
+    edges = table(spark, sf, "documents").select(F.col("doc_id").alias("a"), F.greatest(F.col("doc_id") - 1 - F.col("doc_id") % 5, first).alias("b"))
     return graph.components(edges, "a", "b", rounds=40)
 
 

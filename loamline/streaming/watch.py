@@ -2,10 +2,14 @@
 
 State lives in published table versions and the query's checkpoint, so a restart goes on where it stopped. There is no
 watermark: a statement counts by its version, however late it comes.
+
+A batch first writes its changes as a feed table under its own number, then publishes the parts of the table that it touches, then hands
+the feed over. A batch that is repeated after a failure finds its feed and reads the changes from there, so none is lost.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +21,11 @@ from ..sources import archive
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loamline-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/loamline-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,21 +45,28 @@ def watch(
 ):
     """Start the query that merges each batch into the published table `name` and hands its changes to `emit`.
 
-    The first batch is a silent baseline unless emit_initial. A batch that is repeated after a failure finds its rows
-    stored already and emits nothing twice. Without a trigger the query ends when the source is read up.
+    The first batch is a silent baseline unless emit_initial. `emit` gets each batch's changes and its number; a batch whose emit failed is handed
+    over again, under the same number and with the same changes. Without a trigger the query ends when the source is read up.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        feed = f"{root}/_feeds/{name}/batch={number}"
+        folded = merge.fold_statements(batch, keys, version, arrival, deleted, content).persist()
+        parts = [r[0] for r in folded.select(archive.part_of(keys)).distinct().collect()]  # at most PARTS
         known = archive.versions(spark, root, name)
-        folded = merge.fold_statements(batch, keys, version, arrival, deleted, content)
-        stored = archive.current(spark, root, name) if known else folded.limit(0)
+        stored = archive.current(spark, root, name, parts=parts) if known else folded.limit(0)
         merged = merge.upsert(stored, folded, keys, version, deleted, content).persist()
-        if not merged.where("change <> 'kept' AND change <> 'unchanged'").isEmpty():
-            archive.publish(merged.drop("change"), root, name)
-            if known or emit_initial:
-                emit(merge.change_feed(merged), number)
+        changes = merge.change_feed(merged)
+        if not archive.finished(spark, feed):
+            (changes if known or emit_initial else changes.limit(0)).write.mode("overwrite").parquet(feed)
+        if not changes.isEmpty():
+            archive.publish_parts(merged.drop("change"), root, name, keys, parts)
         merged.unpersist()
+        folded.unpersist()
+        told = spark.read.schema(changes.schema).parquet(feed)
+        if not told.isEmpty():
+            emit(told, number)
 
     writer = source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()

@@ -134,7 +134,7 @@ def test_predicates(spark):
 
 def test_text_forms(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(T.normal_subject(F.lit(" RE: Fwd : aw:Hello"))) == "hello"
+    assert one(T.normal_subject(F.lit(" RE: Fwd : aw:Hello"))) == "Hello"
     assert one(T.normal_message_id(F.lit(" <A@b> "))) == "a@b"
     assert one(T.bounded(F.lit("äöüß"), 3)) == "äö…"
     assert one(T.composed_name(F.lit("T"), F.lit(""))) == "T" and one(T.composed_name(F.lit("T"), F.lit("C"))) == "T › C"
@@ -146,11 +146,26 @@ def test_text_forms(spark):
 
 def test_sql_gate(spark, small):
     assert guarded(spark, small, "SELECT 1 AS one FROM region;", ["region"], 2).count() == 2
-    for bad in ("DROP TABLE region", "WITH a AS (SELECT 1) INSERT INTO region SELECT * FROM a", "-- x\nCREATE TABLE t AS SELECT 1"):
+    for bad in ("DROP TABLE region", "WITH a AS (SELECT 1) INSERT INTO region SELECT * FROM a", "-- x\nCREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "SELECT reflect('java.lang.System', 'getenv', 'PATH')", "SELECT java_method('java.lang.System', 'nanoTime')",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/part.parquet`", "SELECT * FROM part", "SELECT (SELECT count(*) FROM part) AS n FROM region", "SELECT * FROM region WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)", "WITH a AS (SELECT * FROM part) SELECT * FROM a",
+        "SELECT input_file_name() FROM region", "SELECT * FROM read_files('/etc')", "SET spark.sql.shuffle.partitions=1", "CACHE TABLE region", "SELECT transform(named_struct('a', reflect('java.lang.System', 'gc')).a) FROM region"):
         with pytest.raises(ReadOnlyError):
             guarded(spark, small, bad, ["region"])
 
 
+def test_sql_gate_lets_reading_pass(spark, small):
+    texts = (
+        "WITH r AS (SELECT * FROM region) SELECT r_name, row_number() OVER (ORDER BY r_name) AS n FROM r WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT n_name, CASE WHEN n_nationkey > 3 THEN 1 ELSE 2 END FROM nation",
+        "SELECT upper(trim(n_name)) AS a, count(DISTINCT n_regionkey) FILTER (WHERE n_nationkey > 1) AS c FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1 HAVING count(*) > 0 ORDER BY 1 LIMIT 3",
+        "SELECT r_name, (SELECT max(n_name) FROM nation WHERE n_regionkey = r_regionkey) AS last FROM region", "SELECT get_json_object('{}', '$.a') AS a, date_trunc('day', current_timestamp()) AS d",
+        "SELECT e FROM region LATERAL VIEW explode(sequence(1, 3)) t AS e", "EXPLAIN SELECT * FROM region",
+    )
+    for text in texts:
+        assert guarded(spark, small, text, ["region", "nation"]).count() > 0
+    assert guarded(spark, small, "SELECT a.n_name FROM nation a CROSS JOIN nation b", ["nation"], 7).count() == 7
+    assert [t.name for t in spark.catalog.listTables() if t.name in ("region", "nation")] == []
+
+
 def test_publish(spark, tmp_path):
     root = str(tmp_path)
     assert archive.current(spark, root, "people").count() == 0

@@ -1,5 +1,7 @@
 """The watch loop over a landing folder."""
 
+import pytest
+
 from loamline.sources import archive
 from loamline.streaming.watch import counted, landing, newest_versions, since, watch
 
@@ -31,6 +33,51 @@ def test_watch_emits_changes_once(spark, tmp_path):
     assert seen[-1] == (2, "deleted") and archive.current(spark, root, "messages").where("k = 2").first()["deleted_at"] == 77
 
 
+def test_a_failed_sink_loses_no_change(spark, tmp_path):
+    land, root, seen = str(tmp_path / "land"), str(tmp_path / "root"), []
+    fail = [False]
+
+    def put(*rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(land)
+
+    def emit(changes, number):
+        if fail[0]:
+            fail[0] = False
+            raise RuntimeError("the sink is down")
+        seen.extend(sorted((number, r["k"], r["change"]) for r in changes.collect()))
+
+    def go():
+        watch(landing(spark, land, SCHEMA), root, "messages", ["k"], "version", "deleted_at", ["body"], emit, str(tmp_path / "ck"), "arrival").awaitTermination()
+
+    put(*((k, 1, None, "a", k) for k in range(100)))
+    go()
+    put((1, 2, None, "b", 101), (500, 1, None, "new", 102))
+    fail[0] = True
+    with pytest.raises(Exception, match="sink is down"):
+        go()
+    assert seen == []
+    go()
+    assert seen == [(1, 1, "edited"), (1, 500, "new")]
+    go()
+    assert len(seen) == 2
+    found = {r["k"]: r["body"] for r in archive.current(spark, root, "messages").collect()}
+    assert len(found) == 101 and found[1] == "b" and found[500] == "new" and found[7] == "a"
+    newest = archive.versions(spark, root, "messages")[-1]
+    assert len(list((tmp_path / "root" / "messages" / f"v={newest}").glob("_part=*"))) <= 2  # only the parts that changed are written again
+    old = archive.current(spark, root, "messages", version=archive.versions(spark, root, "messages")[0])
+    assert old.count() == 100 and old.where("k = 1").first()["body"] == "a"
+
+
+def test_two_writers_take_different_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+    archive.check_version(spark, root)
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda k: archive.publish(spark.range(k), root, "t"), range(4)))
+    assert len(set(numbers)) == 4 and archive.versions(spark, root, "t") == sorted(numbers)
+
+
 def test_cursor(spark):
     df = spark.range(5)
     new, cursor = since(df, 2, "id")
