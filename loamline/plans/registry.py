@@ -22,6 +22,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import feeds, ingest, listings, merges, rollups, searches  # noqa: F401
+    from . import feeds, ingest, listings, mailbox, merges, rollups, searches  # noqa: F401
 
     return QUERIES, ORACLES
