@@ -191,9 +191,10 @@ def children_nested(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_orderkey", F.size("lines").cast("long").alias("children"), F.array_join(line, ",").alias("lines"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority LIKE '1%')")
 def anti_missing(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a finished order of the first priority."""
+    o = table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 

@@ -28,13 +28,13 @@ def observed(spark: SparkSession, sf: str) -> DataFrame:
 _OBS = "WITH o AS (SELECT p_partkey AS id, p_size % 4 AS source_id, p_partkey % 3 AS capture_id, p_brand AS application, p_name AS title, CASE WHEN p_partkey % 5 > 0 THEN p_partkey * 1000 END AS modified_at FROM part)"
 
 
-@query(_OBS + f" SELECT id FROM o WHERE capture_id = source_id % 3 AND application LIKE 'Brand%' AND application = (SELECT min(p_brand) FROM part) AND list_contains({_TOKENS.format('title')}, 'part') AND modified_at >= 20000 AND modified_at < 1800000")
+@query(_OBS + f" SELECT id FROM o WHERE capture_id = source_id % 3 AND application LIKE 'Brand%' AND application = (SELECT min(p_brand) FROM part) AND list_contains({_TOKENS.format('title')}, 'widget') AND modified_at >= 20000 AND modified_at < 1800000")
 def document_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Observations of the current captures, by application, words and window."""
     o = observed(spark, sf)
     captures = o.select("source_id", "capture_id", (F.col("capture_id") == F.col("source_id") % 3).alias("is_current")).distinct()
     least = o.agg(F.min("application").alias("_least"))  # one row
-    rows = O.documents(o, captures, text="PART", since=F.lit(20_000), until=F.lit(1_800_000))
+    rows = O.documents(o, captures, text="WIDGET", since=F.lit(20_000), until=F.lit(1_800_000))
     return rows.crossJoin(F.broadcast(least)).where("application = _least").select("id")
 
 

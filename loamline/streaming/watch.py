@@ -10,6 +10,7 @@ the feed over. A batch that is repeated after a failure finds its feed and reads
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -83,6 +84,48 @@ def since(changes: DataFrame, cursor: int, order: str) -> tuple[DataFrame, int]:
     return new, new.agg(F.max(order)).first()[0] or cursor
 
 
+def wait_since(read: Callable[[], DataFrame], cursor: int, order: str, timeout: float, pause: float = 0.2) -> tuple[DataFrame, int, bool]:
+    """The changes after a cursor as soon as there are any, the next cursor, and whether the time ran out before. `read` gives the feed as it stands."""
+    until = time.monotonic() + timeout
+    while True:
+        new, after = since(read(), cursor, order)
+        if after != cursor:
+            return new, after, False
+        if time.monotonic() >= until:
+            return new, cursor, True
+        time.sleep(min(pause, max(0.0, until - time.monotonic())))
+
+
+def json_lines(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink of change feeds: a folder of JSON Lines for each batch, which a repeated batch overwrites with the same lines."""
+
+    def emit(changes: DataFrame, number: int) -> None:
+        changes.select(F.to_json(F.struct(*changes.columns)).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
+
+    return emit
+
+
+def joined_back(changes: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes with the full item that each is about; a deleted one shows the item as last stored."""
+    return changes.select(*keys, "change").join(items, keys, "left")
+
+
+def changed_sources(prints: DataFrame, seen: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """Sources whose fingerprint isn't the one of their last run: the others need no read."""
+    return prints.join(seen.select(key, fingerprint), [key, fingerprint], "left_anti")
+
+
+def each_source(sources: dict[str, Callable[[], None]]) -> dict[str, str]:
+    """Run each source's sync; one that fails doesn't keep the others from being committed. The failed ones, with their error, are to be tried again."""
+    failed = {}
+    for name, run in sources.items():
+        try:
+            run()
+        except Exception as e:  # a source's own failure, whatever it is
+            failed[name] = str(e).splitlines()[0] if str(e) else type(e).__name__
+    return failed
+
+
 def _to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is and return what its last batch left, written as Parquet by the executors and read again."""
     spark, path = stream.sparkSession, _shared(stream.sparkSession, "result")

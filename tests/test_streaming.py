@@ -3,7 +3,7 @@
 import pytest
 
 from loamline.sources import archive
-from loamline.streaming.watch import counted, landing, newest_versions, since, watch
+from loamline.streaming.watch import changed_sources, counted, each_source, joined_back, json_lines, landing, newest_versions, since, wait_since, watch
 
 SCHEMA = "k long, version long, deleted_at long, body string, arrival long"
 
@@ -84,6 +84,40 @@ def test_cursor(spark):
     assert new.count() == 2 and cursor == 4 and since(df, 9, "id")[1] == 9
 
 
+def test_cursor_wait(spark):
+    reads = []
+
+    def read():
+        reads.append(1)
+        return spark.range(3 if len(reads) < 3 else 5)
+
+    new, cursor, late = wait_since(read, 2, "id", 30, 0.01)
+    assert (new.count(), cursor, late, len(reads)) == (2, 4, False, 3)
+    assert wait_since(lambda: spark.range(3), 9, "id", 0.05)[1:] == (9, True)
+
+
+def test_json_lines_feed_is_idempotent(spark, tmp_path):
+    emit = json_lines(str(tmp_path / "feed"))
+    changes = spark.createDataFrame([(1, "new"), (2, "edited")], "k long, change string")
+    for _ in range(2):
+        emit(changes, 4)
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "feed" / "batch=4")).collect()) == ['{"k":1,"change":"new"}', '{"k":2,"change":"edited"}']
+    full = joined_back(changes, spark.createDataFrame([(1, "a"), (3, "c")], "k long, body string"), ["k"])
+    assert sorted((r["k"], r["change"], r["body"]) for r in full.collect()) == [(1, "new", "a"), (2, "edited", None)]
+
+
+def test_unchanged_and_failed_sources(spark):
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "source string, fingerprint string")
+    seen = spark.createDataFrame([("a", "1"), ("b", "old")], "source string, fingerprint string")
+    assert sorted(r["source"] for r in changed_sources(now, seen, "source", "fingerprint").collect()) == ["b", "c"]
+    done = []
+
+    def broken():
+        raise ValueError("locked\nby another")
+
+    assert each_source({"x": lambda: done.append("x"), "y": broken, "z": lambda: done.append("z")}) == {"y": "locked"} and done == ["x", "z"]
+
+
 def test_results_are_files_not_driver_rows(spark, small):
     for out in (newest_versions(spark, f"{small}/events.parquet"), counted(spark, f"{small}/events.parquet")):
         assert out.inputFiles() and out.count() > 0
