@@ -62,6 +62,17 @@ def matches(words: Column, terms: list[Term]) -> Column:
     return reduce(lambda a, b: a & b, found)
 
 
+def may_match(text: Column | str, terms: list[Term]) -> Column:
+    """Whether the letters of every word occur at all: cheaper than tokens, true wherever `matches` is, so it goes before it."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    return reduce(lambda a, b: a & b, [low.contains(w) for term in terms for w in term.words], F.lit(True))
+
+
+def found(text: Column | str, terms: list[Term]) -> Column:
+    """Whether a text matches all terms; only texts that may match are cut into tokens."""
+    return F.coalesce(may_match(text, terms), F.lit(False)) & matches(tokens(text), terms)
+
+
 def normal_subject(subject: Column) -> Column:
     """Without repeated reply and forward marks."""
     return F.regexp_replace(subject, r"(?i)^\s*((re|fw|fwd|aw|wg|sv)[ \t]*:\s*)*|\s+$", "")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, parse_query, tokens
+from ..functions.text import found, may_match, parse_query, tokens
 from .ranking import newest_per
 
 
@@ -16,10 +18,10 @@ def search(df: DataFrame, text: str, columns: list[str], filtered: bool = False)
         if not filtered:
             raise ValueError("a search needs a word or a filter")
         return df
-    found = matches(tokens(columns[0]), terms)
+    hit = found(columns[0], terms)
     for c in columns[1:]:
-        found = found | matches(tokens(c), terms)
-    return df.where(found)
+        hit = hit | found(c, terms)
+    return df.where(hit)
 
 
 def collapse(hits: DataFrame, part: list[str], order: str, fields: list[str]) -> DataFrame:
@@ -37,19 +39,21 @@ def _count(word: str) -> Column:
 
 
 def bm25(df: DataFrame, key: str, column: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key and score of the rows that have every term: term and document frequencies are aggregates, the corpus sums one row."""
+    """key and score of the rows that have every term. One pass counts all rows' tokens for the corpus sums (one row); only rows that may hold a term are cut into tokens."""
     words = sorted({w for t in parse_query(text) for w in t.words})
-    rows = df.select(key, tokens(column).alias("_w")).select(key, F.size("_w").alias("_n"), *(_count(w).alias(f"_f{i}") for i, w in enumerate(words)))
-    stats = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(words))))
+    holds = reduce(lambda x, y: x | y, [F.lower(F.col(column)).contains(w) for w in words])
+    length = F.coalesce(F.regexp_count(F.col(column), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("_n")
+    some = df.where(holds).select(key, tokens(column).alias("_w")).select(key, F.size("_w").alias("_n"), *(_count(w).alias(f"_f{i}") for i, w in enumerate(words)))
+    sums = df.select(length).agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"))
+    held = some.agg(*(F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(words))))
     score = F.lit(0.0)
     for i in range(len(words)):
         idf = F.log((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5) + 1)
         f = F.col(f"_f{i}")
         score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_avg")))
-    hit = F.lit(True)
-    for i in range(len(words)):
-        hit = hit & (F.col(f"_f{i}") > 0)
-    return rows.where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
+    every = df.where(may_match(column, parse_query(text))).select(key, tokens(column).alias("_w")).select(key, F.size("_w").alias("_n"), *(_count(w).alias(f"_f{i}") for i, w in enumerate(words)))
+    hit = reduce(lambda x, y: x & y, [F.col(f"_f{i}") > 0 for i in range(len(words))])
+    return every.where(hit).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(held)).select(key, score.alias("score"))  # one row each
 
 
 def federated(parts: dict[str, DataFrame], limit: int) -> tuple[DataFrame, DataFrame]:

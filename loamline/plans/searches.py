@@ -28,8 +28,7 @@ def search_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_W + " SELECT doc_id, lang FROM d WHERE len(list_filter(w, lambda x: starts_with(x, 'worth'))) > 0 OR len(list_filter(w, lambda x: starts_with(x, 'licen'))) > 0")
 def search_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    w = T.tokens("text")
-    return table(spark, sf, "documents").where(T.matches(w, T.parse_query("worth*")) | T.matches(w, T.parse_query("licen*"))).select("doc_id", "lang")
+    return table(spark, sf, "documents").where(T.found("text", T.parse_query("worth*")) | T.found("text", T.parse_query("licen*"))).select("doc_id", "lang")
 
 
 @query(
@@ -39,8 +38,7 @@ def search_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def search_collapse(spark: SparkSession, sf: str) -> DataFrame:
     """One hit a conversation: its first matching turn and how many match."""
     c = table(spark, sf, "conversations")
-    w = T.tokens("text")
-    hits = c.where(T.matches(w, T.parse_query("the")) | T.matches(w, T.parse_query("de")))
+    hits = c.where(T.found("text", T.parse_query("the")) | T.found("text", T.parse_query("de")))
     return S.collapse(hits, ["conv_id"], "turn", ["role"])
 
 
