@@ -69,5 +69,24 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+_OP7 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
+q AS (SELECT *, array_to_string(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) >> s) & 31) + 1 AS BIGINT), 1)).list_aggregate('string_agg', '')), '') AS payload_digest FROM g)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM q
+"""
+
+_OP9 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.root, s.doc_id) AS component_id, coalesce(c.root, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON c.node = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2}
+    return {"op2_exact_dedup": _OP2, "op7_warc_segments": _OP7, "op9_chosen_path": _OP9}
