@@ -60,8 +60,10 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, how: str =
     the others meet in a shuffle where none is large. right should be a written table: it is read three times.
     Null keys match nothing. The columns of right other than key are added; n is dropped.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
-    limit = max(64, total // HOT_PARTS)
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    limit = max(64, (total or 0) // HOT_PARTS)
+    if (most or 0) <= limit:  # no key is hot
+        return left.join(right.drop(n), key, how)
     hot = right.where(F.col(n) > limit).drop(n)
     cold = right.where(F.col(n) <= limit).drop(n)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)

@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by large-star and small-star steps."""
 
 from __future__ import annotations
 
@@ -9,39 +9,38 @@ from pyspark.sql import functions as F
 from .common import discard, join_skewed, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first())
-
-
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of (a, b) edges but the roots; a root is the smallest node of its component.
 
-    Each round is a few aggregations and skew-safe joins over an edge table that is written to the shared folder. A round links every
-    node to the smallest neighbour of its neighbour, so paths shrink by halves and the table ends as stars.
+    Each round is a few aggregations and skew-safe joins over an edge table that is written to the shared folder. A large star links a node's bigger
+    neighbours to its smallest one, so paths shrink by halves; it is needed while there are paths. A small star links a node's smaller
+    neighbours, and itself, to the smallest of them; it is needed while a node has several. Without either the table is stars.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small"))
-    now = written(pairs.distinct(), "edges")
-    before = _state(now)
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct(), "edges")
     for _ in range(rounds):
-        if not before[0]:
-            break
-        # large star: a node's bigger neighbours move to its smallest one
-        lowest = now.groupBy("big").agg(F.min("small").alias("low"))
+        own = written(now.groupBy("big").agg(F.min("small").alias("low"), F.count("*").alias("n")), "lowest")
         uses = now.groupBy("small").agg(F.count("*").alias("n"))
-        step = written(uses.join(lowest.withColumnRenamed("big", "small"), "small", "left").select("small", "n", F.coalesce("low", "small").alias("low")), "large")
-        moved = written(join_skewed(now, step, "small", "n").select("big", F.col("low").alias("small")).distinct(), "edges")
-        # small star: a node's smaller neighbours, and itself, move to the smallest of them
-        own = written(moved.groupBy("big").agg(F.min("small").alias("low"), F.count("*").alias("n")), "small")
-        linked = join_skewed(moved, own, "big", "n").where("small <> low").select(F.col("small").alias("big"), F.col("low").alias("small"))
-        after = written(linked.unionByName(own.select("big", F.col("low").alias("small"))).distinct(), "edges")
-        for old in (now, step, moved, own):
-            discard(old)
-        now, state = after, _state(after)
-        if state == before:
+        step = written(uses.join(own.select(F.col("big").alias("small"), "low"), "small", "left").select("small", "n", F.coalesce("low", "small").alias("low")), "large")
+        paths, several = not step.where("low <> small").isEmpty(), not own.where("n > 1").isEmpty()
+        old = [own, step]
+        if not paths and not several:
             break
-        before = state
+        if paths:
+            old.append(now)
+            now = written(join_skewed(now, step, "small", "n").select("big", F.col("low").alias("small")).distinct(), "edges")
+            if several:
+                own = written(now.groupBy("big").agg(F.min("small").alias("low"), F.count("*").alias("n")), "lowest")
+                old.append(own)
+        if several:
+            old.append(now)
+            linked = join_skewed(now, own, "big", "n").where("small <> low").select(F.col("small").alias("big"), F.col("low").alias("small"))
+            now = written(linked.unionByName(own.select("big", F.col("low").alias("small"))).distinct(), "edges")
+        for df in old:
+            discard(df)
     else:
         raise RuntimeError("components did not settle")
+    for df in old:
+        discard(df)
     return now.select(F.col("big").alias("node"), F.col("small").alias("root"))
 
 

@@ -113,14 +113,16 @@ def dealt(rows: DataFrame, parts: str) -> DataFrame:
     return own.unionByName(pivots).distinct()
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """(key, doc) of tasks in which all docs of a key meet that are in different components, from (key, doc, component, load) rows; a task has loads of about 2.
+def across(rows: DataFrame) -> DataFrame | None:
+    """(key, doc) of tasks in which all docs of a key meet that are in different components, from (key, doc, component, load) rows; a task has loads of about 2. None where each key is one component.
 
     A component with a load of 1 or more has parts of its own, which don't meet each other; smaller ones share parts.
     """
     loads = written(rows.groupBy("key", "component").agg(F.sum("load").alias("load")), "loads")
     small = F.col("load") < 1
-    keys = loads.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.when(small, F.col("load"))).alias("rest")).where("n > 1").drop("n")
+    keys = written(loads.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.when(small, F.col("load"))).alias("rest")).where("n > 1").drop("n"), "split-keys")
+    if keys.isEmpty():
+        return None
     many = written(loads.join(keys, "key").select("key", "component", small.alias("shared"), F.when(small, F.ceil("rest")).otherwise(F.ceil("load")).alias("parts")), "parts")
     part_of = lambda number: F.xxhash64(F.when(~F.col("shared"), F.col("component")), number)
     shared_part = part_of(F.pmod(F.xxhash64("component"), F.col("parts")))
@@ -221,12 +223,17 @@ def candidate_groups(classes: DataFrame, percent: int, node: int = NODE) -> Data
     large = large.withColumn("parts", F.ceil(F.col("size") / (node / 2)))
     links = connected(candidate_links(small.unionByName(dealt(large, "parts")), classes, percent))
     named = large.select("key", "doc").join(links.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("component"), F.lit(2 / node).alias("load"))
-    more = candidate_links(across(written(named, "large-nodes")), classes, percent)
+    tasks = across(written(named, "large-nodes"))
+    if tasks is None:
+        return links
+    more = written(candidate_links(tasks, classes, percent), "more-candidates")
+    if more.isEmpty():
+        return links
     return connected(more.unionByName(links.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def verified_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): spanning forests of the exact links within candidate groups (node, root)."""
+    """(node, root): the components of the exact links within candidate groups (node, root)."""
     members = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(sizes, F.col("node") == F.col("doc")).drop("node"), "members")
     load = F.greatest(F.lit(2 / GROUP_ROWS), F.col("n_bytes") * F.lit(2 / GROUP_BYTES)).alias("load")
     total = members.select("root", load).groupBy("root").agg(F.count("*").alias("n"), F.sum("load").alias("whole"))
@@ -257,11 +264,16 @@ def verified_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, width:
 
     large = rows.where("parts > 1")
     if large.isEmpty():
-        return meet(rows.select("key", "doc"))
-    links = written(meet(rows.where("parts = 1").select("key", "doc").unionByName(dealt(large, "parts"))), "links")
-    known = connected(links)
+        return connected(meet(rows.select("key", "doc")))
+    known = connected(meet(rows.where("parts = 1").select("key", "doc").unionByName(dealt(large, "parts"))))
     named = large.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("component"), "load")
-    return links.unionByName(meet(across(written(named, "large-groups"))))
+    tasks = across(written(named, "large-groups"))
+    if tasks is None:
+        return known
+    more = written(meet(tasks), "more-links")
+    if more.isEmpty():
+        return known
+    return connected(more.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -270,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     some = rows.where("n > 0")
     classes = written(some.groupBy("set_key").agg(F.min("doc").alias("doc"), F.count("*").alias("rows"), F.first("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
     candidates = candidate_groups(classes, percent)
-    links = connected(verified_links(docs, candidates, classes.select("doc", "n_bytes"), width, percent))
+    links = verified_links(docs, candidates, classes.select("doc", "n_bytes"), width, percent)
     # rows of one doc_id with different sets tie their classes together
     named = classes.join(links.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.col("rows").alias("n"), F.coalesce("root", "doc").alias("component"))
     found = join_skewed(some.select("doc", F.col("n").alias("n_shingles"), "set_key"), written(named, "components"), "set_key", "n").drop("set_key")
