@@ -1,4 +1,10 @@
-"""A corpus pipeline: quality, exact dedup, near dedup, mixing, packing. Part of the subpackage llm."""
+"""A corpus pipeline: quality, exact dedup, near dedup, mixing, packing. Part of the subpackage llm.
+
+Stages take whole tables and whole texts. A null text counts as empty: the classifier scores it like an empty one, exact dedup keeps one of all empty
+texts, near dedup links none of them, and mixing, which takes words, takes none. Very long texts are treated like others. Of tied or repeated rows
+exact dedup keeps one, the one with the largest doc_id (any one of fully equal rows); near dedup keeps the smallest doc_id of a group. Extra
+columns, whatever their names, are carried to the last stage but one. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
