@@ -124,15 +124,18 @@ def across(rows: DataFrame) -> DataFrame | None:
     if keys.isEmpty():
         return None
     many = written(loads.join(keys, "key").select("key", "component", small.alias("shared"), F.when(small, F.ceil("rest")).otherwise(F.ceil("load")).alias("parts")), "parts")
-    part_of = lambda number: F.xxhash64(F.when(~F.col("shared"), F.col("component")), number)
-    shared_part = part_of(F.pmod(F.xxhash64("component"), F.col("parts")))
-    parts = many.where("shared").select("key", shared_part.alias("part"), F.lit(None).cast("long").alias("whole")).distinct()
-    own = many.where("not shared").select("key", "component", "shared", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("number"))
-    parts = written(parts.unionByName(own.select("key", part_of(F.col("number")).alias("part"), F.col("component").alias("whole"))), "part-list")
-    others = parts.select("key", F.col("part").alias("other"), F.col("whole").alias("other_whole"))
-    task = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("task")
-    pairs = parts.join(others, "key").where(F.coalesce(F.col("whole") != F.col("other_whole"), F.lit(True))).select("key", "part", task)
-    placed = rows.join(many, ["key", "component"]).select("key", "doc", F.when(F.col("shared"), shared_part).otherwise(part_of(F.pmod(F.xxhash64("doc"), F.col("parts")))).alias("part"))
+    part_of = lambda whole, number: F.xxhash64(whole, number)
+    # what meets what: components with parts of their own, and all small ones of a key as one; pairs are made of these before their parts are numbered
+    own = many.where("not shared").select("key", F.col("component").alias("whole"), "parts")
+    units = own.unionByName(many.where("shared").groupBy("key").agg(F.max("parts").alias("parts")).withColumn("whole", F.lit(None).cast("long")))
+    others = units.select("key", F.col("whole").alias("other_whole"), F.col("parts").alias("other_parts"))
+    pairs = units.join(others, "key").where(F.coalesce(F.col("whole") != F.col("other_whole"), F.lit(True)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = pairs.withColumn("number", numbers("parts")).withColumn("other_number", numbers("other_parts"))
+    pairs = pairs.select("key", part_of(F.col("whole"), F.col("number")).alias("part"), part_of(F.col("other_whole"), F.col("other_number")).alias("other"))
+    pairs = pairs.select("key", "part", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("task"))
+    part = F.when(F.col("shared"), part_of(F.lit(None).cast("long"), F.pmod(F.xxhash64("component"), F.col("parts")))).otherwise(part_of(F.col("component"), F.pmod(F.xxhash64("doc"), F.col("parts"))))
+    placed = rows.join(many, ["key", "component"]).select("key", "doc", part.alias("part"))
     return placed.join(pairs, ["key", "part"]).select(F.col("task").alias("key"), "doc")
 
 
