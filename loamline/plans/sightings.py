@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..functions.times import micros
 from ..operators import sources as O
 from ..operators.index import SearchIndex
 from ..sources.archive import table
+from ..sources.scratch import folder
 from .registry import query
 
 _TOKENS = "list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -108,8 +106,7 @@ def title_search(spark: SparkSession, sf: str) -> DataFrame:
 )
 def search_kept_index(spark: SparkSession, sf: str) -> DataFrame:
     """All documents are indexed; then a third is removed and a third changed; the search reads the index alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    index = SearchIndex(spark, f"{base.rstrip('/')}/search-index-{uuid.uuid4().hex}")
+    index = SearchIndex(spark, folder(spark, "search-index"))
     d = table(spark, sf, "documents").select("doc_id", "text")
     index.add(d, "doc_id", "text", 1)
     index.add(d.where("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" license license"))).alias("text")), "doc_id", "text", 2)
