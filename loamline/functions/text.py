@@ -36,10 +36,21 @@ def parse_query(text: str) -> list[Term]:
     return out
 
 
+def token_line(text: Column | str) -> Column:
+    """Lower-case runs of letters and digits with one space between them."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
+    return F.filter(F.split(token_line(text), " "), lambda x: x != "")
+
+
+def pattern_of(term: Term) -> str:
+    """A pattern that lower-case text contains where its tokens hold the term: the words between other characters, the last of a prefix open at its end."""
+    ends = "" if term.kind == "prefix" else r"(?![\p{L}\p{N}])"
+    return r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(term.words) + ends
 
 
 def _any_starts(words: Column, prefix: str) -> Column:
@@ -63,14 +74,18 @@ def matches(words: Column, terms: list[Term]) -> Column:
 
 
 def may_match(text: Column | str, terms: list[Term]) -> Column:
-    """Whether the letters of every word occur at all: cheaper than tokens, true wherever `matches` is, so it goes before it."""
+    """Whether the letters of every word occur at all, longest word first: cheaper than patterns, true wherever they are, so it goes before them."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
-    return reduce(lambda a, b: a & b, [low.contains(w) for term in terms for w in term.words], F.lit(True))
+    words = sorted({w for term in terms for w in term.words}, key=lambda w: (-len(w), w))
+    return reduce(lambda a, b: a & b, [low.contains(w) for w in words], F.lit(True))
 
 
 def found(text: Column | str, terms: list[Term]) -> Column:
-    """Whether a text matches all terms; only texts that may match are cut into tokens."""
-    return F.coalesce(may_match(text, terms), F.lit(False)) & matches(tokens(text), terms)
+    """Whether a text matches all terms, as `matches` does on its tokens, but on the text itself. No terms match nothing."""
+    if not terms:
+        return F.lit(False)
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    return F.coalesce(reduce(lambda a, b: a & b, [low.rlike(pattern_of(t)) for t in terms], may_match(text, terms)), F.lit(False))
 
 
 def normal_subject(subject: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import found, may_match, parse_query, tokens
+from ..functions.text import Term, found, may_match, parse_query, pattern_of
 from .ranking import newest_per
 
 
@@ -34,26 +34,21 @@ def dedupe(hits: DataFrame, digest: str, *order: Column) -> DataFrame:
     return newest_per(hits, [digest], *order)
 
 
-def _count(word: str) -> Column:
-    return F.size(F.filter("_w", lambda x: x == word))
-
-
 def bm25(df: DataFrame, key: str, column: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key and score of the rows that have every term. One pass counts all rows' tokens for the corpus sums (one row); only rows that may hold a term are cut into tokens."""
+    """key and score of the rows that have every term. One pass counts all rows' tokens and the rows with each word (sums of one row); the other scores the rows that have all words."""
     words = sorted({w for t in parse_query(text) for w in t.words})
-    holds = reduce(lambda x, y: x | y, [F.lower(F.col(column)).contains(w) for w in words])
-    length = F.coalesce(F.regexp_count(F.col(column), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("_n")
-    some = df.where(holds).select(key, tokens(column).alias("_w")).select(key, F.size("_w").alias("_n"), *(_count(w).alias(f"_f{i}") for i, w in enumerate(words)))
-    sums = df.select(length).agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"))
-    held = some.agg(*(F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(words))))
+    low = F.lower(F.col(column))
+    length = F.coalesce(F.regexp_count(F.col(column), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
+    pattern = {w: pattern_of(Term("word", (w,))) for w in words}
+    has = [F.coalesce(low.contains(w) & low.rlike(pattern[w]), F.lit(False)) for w in words]
+    sums = df.select(length.alias("_n"), *(h.alias(f"_h{i}") for i, h in enumerate(has))).agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.count_if(f"_h{i}").alias(f"_d{i}") for i in range(len(words))))
+    rows = df.where(reduce(lambda x, y: x & y, [may_match(column, parse_query(text)), *has])).select(key, length.alias("_n"), *(F.regexp_count(low, F.lit(pattern[w])).alias(f"_f{i}") for i, w in enumerate(words)))
     score = F.lit(0.0)
     for i in range(len(words)):
         idf = F.log((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5) + 1)
         f = F.col(f"_f{i}")
         score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_avg")))
-    every = df.where(may_match(column, parse_query(text))).select(key, tokens(column).alias("_w")).select(key, F.size("_w").alias("_n"), *(_count(w).alias(f"_f{i}") for i, w in enumerate(words)))
-    hit = reduce(lambda x, y: x & y, [F.col(f"_f{i}") > 0 for i in range(len(words))])
-    return every.where(hit).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(held)).select(key, score.alias("score"))  # one row each
+    return rows.crossJoin(F.broadcast(sums)).select(key, score.alias("score"))  # one row
 
 
 def federated(parts: dict[str, DataFrame], limit: int) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,8 @@
 State lives in published table versions and the query's checkpoint, so a restart goes on where it stopped. There is no
 watermark: a statement counts by its version, however late it comes.
 
-A batch first writes its changes as a feed table under its own number, then publishes the parts of the table that it touches, then hands
-the feed over. A batch that is repeated after a failure finds its feed and reads the changes from there, so none is lost.
+A batch first writes its changes as a feed table under its own number, then commits the parts of the table that it touches together with that number, then hands
+the feed over. A batch that is repeated after a failure finds its number committed and reads the changes from its feed, so none is lost; where it was not committed, both are made anew.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..operators.index import SearchIndex
 from ..sources import archive
 
 
@@ -30,6 +31,11 @@ def _shared(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def index_key(keys: list[str]) -> Column:
+    """How the search index names a row: its keys, joined by a separator."""
+    return F.concat_ws("\x1f", *keys)
+
+
 def watch(
     source: DataFrame,
     root: str,
@@ -43,11 +49,14 @@ def watch(
     arrival: str,
     emit_initial: bool = False,
     trigger: str | None = None,
+    index: SearchIndex | None = None,
+    index_columns: tuple[str, ...] = (),
 ):
     """Start the query that merges each batch into the published table `name` and hands its changes to `emit`.
 
     The first batch is a silent baseline unless emit_initial. `emit` gets each batch's changes and its number; a batch whose emit failed is handed
-    over again, under the same number and with the same changes. Without a trigger the query ends when the source is read up.
+    over again, under the same number and with the same changes. Other writers may change the table meanwhile: a batch is merged again with the parts they
+    touched. A search index is kept along, by index_key() of the keys and over the named columns. Without a trigger the query ends when the source is read up.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -55,17 +64,22 @@ def watch(
         feed = f"{root}/_feeds/{name}/batch={number}"
         folded = merge.fold_statements(batch, keys, version, arrival, deleted, content).persist()
         parts = [r[0] for r in folded.select(archive.part_of(keys)).distinct().collect()]  # at most PARTS
-        known = archive.versions(spark, root, name)
-        stored = archive.current(spark, root, name, parts=parts) if known else folded.limit(0)
-        merged = merge.upsert(stored, folded, keys, version, deleted, content).persist()
-        changes = merge.change_feed(merged)
-        if not archive.finished(spark, feed):
-            (changes if known or emit_initial else changes.limit(0)).write.mode("overwrite").parquet(feed)
-        if not changes.isEmpty():
-            archive.publish_parts(merged.drop("change"), root, name, keys, parts)
-        merged.unpersist()
+        shape = merge.change_feed(merge.upsert(folded.limit(0), folded, keys, version, deleted, content)).schema
+
+        def merged(stored: DataFrame | None) -> DataFrame | None:
+            """The parts' rows after this batch; what changes goes to the feed before they are committed."""
+            rows = merge.upsert(folded.limit(0) if stored is None else stored, folded, keys, version, deleted, content).persist()
+            changes = merge.change_feed(rows)
+            (changes if stored is not None or emit_initial else changes.limit(0)).write.mode("overwrite").parquet(feed)
+            if index is not None:  # taken in before the rows are committed: a batch that is repeated writes the same generation again
+                text = [F.when(F.col(deleted).isNull(), F.col(c)).alias(c) for c in index_columns]
+                index.add(changes.select(index_key(keys).alias("key"), *text), "key", list(index_columns), number)
+            return rows.drop("change") if not changes.isEmpty() else None
+
+        if number > (-1 if (last := archive.done(spark, root, name, checkpoint)) is None else last):  # else committed before a failure: only the feed is handed over again
+            archive.update(spark, root, name, keys, parts, merged, (checkpoint, number))
         folded.unpersist()
-        told = spark.read.schema(changes.schema).parquet(feed)
+        told = spark.read.schema(shape).parquet(feed)
         if not told.isEmpty():
             emit(told, number)
 

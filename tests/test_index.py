@@ -1,9 +1,13 @@
 """The kept search index and event merges by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.operators import calendar, mail
+from loamline.functions import text as T
+from loamline.operators import calendar, mail, search
+from loamline.operators import index as index_module
 from loamline.operators.index import SearchIndex
 
 
@@ -18,11 +22,50 @@ def test_index_follows_upserts(spark, tmp_path):
     index.add(rows((1, "blue fox"), (2, None), (4, "red")), "k", "body", 2)  # the same batch again
     assert found("blue") == [("1", 1)]
     index.compact(3)
-    assert found("red") == [("4", 1)] and found("blue") == [("1", 1)] and index.postings().where("generation = 3" if "generation" in index.postings().columns else "true").count() == 3
+    assert found("red") == [("4", 1)] and found("blue") == [("1", 1)] and index.postings().count() == 3 and index._generations() == [3]
+    index.add(rows((4, "green")), "k", "body", 4)
+    assert found("red") == [] and found("gre*") == [("4", 1)]
     with pytest.raises(ValueError, match="word"):
         index.search(" - ")
-    scan = index.postings(["red"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in scan and "part#" in scan.split("PartitionFilters")[1]
+    scan = index.search("gre*")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(token,gre)" in scan and "positions" not in scan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_no_index_yet(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "none"))
+    assert index.search("word").count() == 0
+    index.add(spark.createDataFrame([], "k long, body string"), "k", "body", 1)
+    assert index.search("word").count() == 0
+
+
+WORDS = ["alpha", "beta", "alphabet", "Beta", "beta-alpha", "x", "é", "ÉTÉ", "日本", "a1", "_", "..."]
+
+
+def test_search_equals_the_scan(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: rng.choice([None, "", " ".join(rng.choices(WORDS, k=rng.randint(1, 12)))])
+    rows = {k: (k, text(), text()) for k in range(120)}
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    schema = "k long, body string, title string"
+    index.add(spark.createDataFrame(list(rows.values()), schema), "k", ["body", "title"], 1)
+    for generation in (2, 3):
+        changed = [(k, text(), text()) for k in rng.sample(range(150), 30)]
+        rows |= {r[0]: r for r in changed}
+        index.add(spark.createDataFrame(changed, schema), "k", ["body", "title"], generation)
+    now = spark.createDataFrame(list(rows.values()), schema)
+    for q in ("alpha", '"alpha beta"', "alph*", '"beta alpha" x', "beta-alph*", "alpha alpha", "é*", "日*", '"x x"', "a1 alph* x", '"beta alpha beta"'):
+        want = sorted(str(r["k"]) for r in search.search(now, q, ["body", "title"]).collect())
+        assert sorted(r["id"] for r in index.search(q).collect()) == want, q
+        by_tokens = now.where(T.matches(T.tokens("body"), T.parse_query(q)) | T.matches(T.tokens("title"), T.parse_query(q)))
+        assert sorted(str(r["k"]) for r in by_tokens.collect()) == want, q
+
+
+def test_rarest_word_goes_first(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index_module, "BROADCAST_ROWS", 3)
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    index.add(spark.range(50).select(F.col("id").alias("k"), F.when(F.col("id") % 25 == 0, "the rare word").otherwise("the word").alias("body")), "k", "body", 1)
+    found = index.search('rare "the rare"')
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString() and sorted(r["id"] for r in found.collect()) == ["0", "25"]
 
 
 def event(spark, **values):

@@ -1,7 +1,9 @@
 """The watch loop over a landing folder."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from loamline.operators.index import SearchIndex
 from loamline.sources import archive
 from loamline.streaming.watch import changed_sources, counted, each_source, joined_back, json_lines, landing, newest_versions, since, wait_since, watch
 
@@ -78,6 +80,103 @@ def test_two_writers_take_different_versions(spark, tmp_path):
     assert len(set(numbers)) == 4 and archive.versions(spark, root, "t") == sorted(numbers)
 
 
+ROWS = "k long, who string"
+
+
+def _table(spark, root):
+    rows = spark.range(200).select(F.col("id").alias("k"), F.lit("start").alias("who"))
+    archive.publish_parts(rows, root, "t", ["k"], list(range(archive.PARTS)), 0)
+    return {r["k"]: r["p"] for r in rows.select("k", archive.part_of(["k"]).alias("p")).collect()}
+
+
+def _set(who, k):
+    return lambda stored: stored.select("k", F.when(F.col("k") == k, F.lit(who)).otherwise(F.col("who")).alias("who"))
+
+
+def _held(spark, root):
+    return {r["k"]: r["who"] for r in archive.current(spark, root, "t").collect()}
+
+
+def test_interleaved_writers_keep_both_changes(spark, tmp_path):
+    root = str(tmp_path)
+    parts = _table(spark, root)
+    other = next(k for k in parts if parts[k] != parts[1])
+    base = archive.versions(spark, root, "t")[-1]
+    mine = archive.current(spark, root, "t", base, [parts[1]])  # read before the other writer commits
+    archive.update(spark, root, "t", ["k"], [parts[other]], _set("other", other))
+    archive.publish_parts(_set("mine", 1)(mine), root, "t", ["k"], [parts[1]], base)  # other parts: rebased
+    held = _held(spark, root)
+    assert held[1] == "mine" and held[other] == "other" and len(held) == 200
+
+
+def test_writers_of_one_part_merge_again(spark, tmp_path):
+    root = str(tmp_path)
+    parts = _table(spark, root)
+    twin = next(k for k in parts if parts[k] == parts[1] and k != 1)
+    base = archive.versions(spark, root, "t")[-1]
+    mine = archive.current(spark, root, "t", base, [parts[1]])
+    archive.update(spark, root, "t", ["k"], [parts[1]], _set("other", twin))
+    with pytest.raises(archive.Conflict):
+        archive.publish_parts(_set("mine", 1)(mine), root, "t", ["k"], [parts[1]], base)
+    assert _held(spark, root)[1] == "start" and not list((tmp_path / "t").glob("_staged*"))
+    tries = []
+
+    def merge(stored):
+        tries.append(1)
+        if len(tries) == 1:  # another writer commits between the read and the commit
+            archive.update(spark, root, "t", ["k"], [parts[1]], _set("third", twin))
+        return _set("mine", 1)(stored)
+
+    archive.update(spark, root, "t", ["k"], [parts[1]], merge)
+    held = _held(spark, root)
+    assert len(tries) == 2 and held[1] == "mine" and held[twin] == "third" and len(held) == 200
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+    parts = _table(spark, root)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: archive.update(spark, root, "t", ["k"], [parts[k]], _set(f"w{k}", k)), range(8)))
+    held = _held(spark, root)
+    assert [held[k] for k in range(8)] == [f"w{k}" for k in range(8)] and len(held) == 200
+    known = archive.versions(spark, root, "t")
+    assert known == list(range(1, 10))  # a chain without gaps
+    archive.prune(spark, root, "t", keep=1)
+    assert _held(spark, root) == held and archive.versions(spark, root, "t")[-1] == 9
+
+
+def test_a_claim_left_behind_is_taken_over(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    parts = _table(spark, root)
+    assert archive._claim(spark, root, "t", 1)  # a writer that died before its commit
+    monkeypatch.setattr(archive, "LEASE", -1.0)
+    archive.update(spark, root, "t", ["k"], [parts[1]], _set("mine", 1))
+    assert _held(spark, root)[1] == "mine"
+
+
+def test_parts_of_a_whole_version_are_refused(spark, tmp_path):
+    archive.publish(spark.createDataFrame([(1, "a")], ROWS), str(tmp_path), "t")
+    with pytest.raises(ValueError, match="whole"):
+        archive.publish_parts(spark.createDataFrame([(1, "b")], ROWS), str(tmp_path), "t", ["k"], [3])
+
+
+def test_the_index_follows_the_watch(spark, tmp_path):
+    land, root = str(tmp_path / "land"), str(tmp_path / "root")
+    index = SearchIndex(spark, str(tmp_path / "index"))
+
+    def put(*rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(land)
+        watch(landing(spark, land, SCHEMA), root, "messages", ["k"], "version", "deleted_at", ["body"], lambda *_: None, str(tmp_path / "ck"), "arrival", index=index, index_columns=("body",)).awaitTermination()
+
+    found = lambda q: sorted(r["id"] for r in index.search(q).collect())
+    put((1, 1, None, "red fox", 1), (2, 1, None, "red dog", 2))
+    assert found("red") == ["1", "2"] and found('"red fox"') == ["1"]
+    put((1, 2, None, "blue fox", 3), (2, 1, 5, "red dog", 4), (3, 1, None, "redder", 5))
+    assert found("red") == [] and found("red*") == ["3"] and found("fox blue") == ["1"]
+
+
 def test_cursor(spark):
     df = spark.range(5)
     new, cursor = since(df, 2, "id")
