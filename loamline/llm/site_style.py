@@ -12,10 +12,11 @@ pages has
 * presentation importance: the entropy of the style sequences of its children, as a share of log(m), which counts the more,
   the more of them there are (1 - 0.9^l for l sequences).
 
-The importance of a path is the greater of its content importance and of both together. A branch is removed where it is under LOW of the
-importance of the path that holds the most different text by words, which is the article's, in the host's tree or, at MIN_PAGES pages or
-more, in that of all hosts; inside an article element only branches of a named style go, so that plain paragraphs and headings
-stay even where pages repeat them. Beside the tree, the markup itself removes
+The importance of a path is the greater of its content importance and of both together. It is weighed by its evidence: 1 - (1 - 1/m)(1 - importance), so one page
+says nothing and every further one more, without a bound where it sets in. A branch is removed where its weighed importance is under LOW of that of the path which holds
+the most different text by words, which is the article's, in the host's tree or in that of all hosts. The markup is the prior: inside an article element
+headings, paragraphs, lists, tables and the like are article text, however many pages repeat them; only text that stands directly in a generic element of a
+named style (a div of the site's own) goes there, and only under INSIDE of the main path. Beside the tree, the markup itself removes
 
 * what no reader sees (scripts, styles, forms, comments in the markup, hidden elements),
 * branches whose tag, role, class or id names page furniture: menus, headers, footers, side bars, notices, adverts, reader comments,
@@ -25,7 +26,8 @@ The tree is needed where markup says nothing: generic elements with names of the
 the removed paths are joined to the pages of their host.
 
 Null or empty html gives an empty text; a null url counts as the host ''. Repeated rows give repeated rows; extra columns are ignored; an
-empty table gives an empty result. Very long pages are treated like others: nothing is cut at any length or depth.
+empty table gives an empty result. Very long pages are treated like others: nothing is cut at any length or depth. Of tied main paths (equally much text) the one with the greater
+digest counts; equal pages of a host count once, so ties among rows change nothing.
 """
 
 from __future__ import annotations
@@ -38,19 +40,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_skewed, map_slices, matching, small_enough, written
+from .common import discard, join_skewed, map_slices, small_enough, written
 
 # Element names of the HTML standard and common names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe object svg math canvas audio video select option button textarea input form datalist dialog title".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe object svg annotation annotation-xml canvas audio video select option button textarea input form datalist dialog title".split())
 FURNITURE = frozenset("nav footer aside menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+GENERIC = frozenset("center details dir div fieldset header hgroup section summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar alert dialog form".split())
 NAMES = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|"
@@ -66,7 +69,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 
 PARTS = re.compile(r" *[·|•©»]+ *")
 
-MIN_PAGES, LOW = 5, 0.8
+LOW, INSIDE = 0.8, 0.4
 READ, NAMED_FURNITURE, UNREAD = 0, 1, 2
 
 
@@ -90,7 +93,7 @@ def path_key(path: str) -> int:
 
 
 class Block:
-    """A run of text in one block element: its style path, whether that ends in a named style, whether it is furniture or unseen, and whether an article holds it."""
+    """A run of text in one block element: its style path, whether its element is a generic one of a named style, whether it is furniture or unseen, and whether an article holds it."""
 
     __slots__ = ("article", "dropped", "named", "parts", "path")
 
@@ -183,7 +186,9 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
                 style = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '0', names).split()))}"
         if tag in BLOCKS:
             current = None
-        _, path, _, dropped, article = stack[-1]
+        _, path, named, dropped, article = stack[-1]
+        if tag in BLOCKS:
+            named = names != "" and tag in GENERIC
         children.setdefault(path, []).append(style)
         if hidden or tag in UNSEEN:
             dropped = UNREAD
@@ -192,7 +197,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, list[str]]]:
         article = article or tag in ("article", "main") or role in ("main", "article")
         if tag in VOID or (attributes or "").endswith("/"):
             continue
-        stack.append((tag, digest(path, style), names != "", dropped, article))
+        stack.append((tag, digest(path, style), named, dropped, article))
         opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -281,22 +286,32 @@ def style_tree(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tree, whole
 
 
-def low_paths(tree: DataFrame, whole: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """(host, path) of the branches to remove: under `low` of the importance of the path with the most text, on their host or on all hosts."""
-    enough = F.col("pages") >= min_pages
-    main = F.max_by("importance", F.struct("words", "path")).alias("main")
-    own = tree.where(enough).join(tree.where(enough).groupBy("host").agg(main), "host").where(F.col("importance") < low * F.col("main")).select("host", "path")
-    best = whole.where(enough).agg(main).first()["main"]
-    everywhere = written(whole.where(enough & (F.col("importance") < low * (best or 0.0))).select("path"), "low-everywhere")
-    return own.unionByName(matching(tree, everywhere, ["path"]).select("host", "path")).distinct()
+def weighed(importance: Column, pages: Column) -> Column:
+    """An importance by its evidence: 1 on one page, nearer to what was found the more pages there are."""
+    return 1 - (1 - 1 / pages) * (1 - importance)
+
+
+def low_paths(tree: DataFrame, whole: DataFrame) -> DataFrame:
+    """host, path and inside (whether it goes within articles, too) of the branches to remove: under LOW or INSIDE of the importance of the path with the most text, on their host or on all hosts."""
+    main = F.max_by("weight", F.struct("words", "path")).alias("main")
+    tree, whole = (t.withColumn("weight", weighed(F.col("importance"), F.col("pages"))) for t in (tree, whole))
+    low = lambda main: (F.col("weight") < LOW * main, (F.col("weight") < INSIDE * main).alias("inside"))
+    under, inside = low(F.col("main"))
+    own = tree.join(tree.groupBy("host").agg(main), "host").where(under).select("host", "path", inside)
+    under, inside = low(F.lit(whole.agg(main).first()["main"] or 0.0))
+    everywhere = written(whole.where(under).select("path", inside), "low-everywhere")
+    found = tree.select("host", "path").join(F.broadcast(everywhere) if small_enough(everywhere) else everywhere, "path").select("host", "path", "inside")
+    return own.unionByName(found).groupBy("host", "path").agg(F.max("inside").alias("inside"))
 
 
 def main_text(blocks: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars from blocks with the removed paths of their host in `low`."""
+    """page_id, url, text and n_chars from blocks with the removed paths of their host in `low`, those of them that go inside articles in `inside`."""
+    paths = F.transform("blocks", lambda b: b["path"])
+    own = blocks.withColumns({c: F.coalesce(F.array_intersect(paths, F.col(c)), F.array().cast("array<long>")) for c in ("low", "inside")})  # the page's few of the host's many
     framed = F.exists("blocks", lambda b: b["article"] & (b["dropped"] == READ))
-    rare = lambda b: F.coalesce(F.array_contains("low", b["path"]), F.lit(False)) & (~b["article"] | b["named"])
+    rare = lambda b: F.when(b["article"], b["named"] & F.array_contains("inside", b["path"])).otherwise(F.array_contains("low", b["path"]))
     kept = F.filter("blocks", lambda b: (b["dropped"] == READ) & (b["article"] | ~framed) & ~rare(b))
-    out = blocks.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
+    out = own.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -304,7 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     blocks = written(page_blocks(pages), "blocks")
     low = written(low_paths(*style_tree(blocks)), "low-paths")
-    lists = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # as long as the paths of one host
+    lists = low.groupBy("host").agg(F.collect_list("path").alias("low"), F.collect_list(F.when(F.col("inside"), F.col("path"))).alias("inside"))  # as long as the paths of one host
     if small_enough(low):  # 8 bytes each, beside a host name a list
         joined = blocks.join(F.broadcast(lists), "host", "left")
     else:

@@ -396,7 +396,7 @@ def test_the_tree_decides_where_markup_is_silent(spark, monkeypatch):
     told = {r["page_id"]: plain_text(r["html"]) for r in pages.collect()}
     silent = pages.withColumn("html", html)
     assert {r["page_id"]: r["text"] for r in site_style.extract(silent).collect()} == told
-    monkeypatch.setattr(site_style, "low_paths", lambda tree, whole: tree.select("host", "path").limit(0))
+    monkeypatch.setattr(site_style, "low_paths", lambda tree, whole: tree.select("host", "path", F.lit(False).alias("inside")).limit(0))
     without = {r["page_id"]: r["text"] for r in site_style.extract(silent).collect()}
     assert all(len(without[i]) > len(t) for i, t in told.items())
 
@@ -417,6 +417,20 @@ def test_copies_of_a_page_are_no_furniture(spark, frame):
     assert {r["page_id"]: r["text"] for r in out} == {i: text for i, (_, text) in enumerate(texts)}
 
 
+REPEATS = '<article><h2 class="t">Methods</h2><p class="c">Story {0} of this page</p><p class="c">We thank our readers.</p><table><tr><td class="k">Size<td class="k">{0} cm</table><ul class="l"><li>Always</li><li>item {0}</li></ul><div class="xk">Follow us</div><p>The law is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here, {0}</p></article>'
+
+
+@pytest.mark.parametrize("n", [1, 4, 8, 40])
+def test_article_text_stays_however_often_it_repeats(spark, monkeypatch, n):
+    """Headings, paragraphs, table cells and list items of articles are never furniture; the tree alone removes a repeated element of the site's own, which without it stays."""
+    pages = spark.createDataFrame([(i, f"http://h.x/{i}", REPEATS.format(i)) for i in range(n)] + [(1000 + i, f"http://o{i}.y/", f"<p>else {i}") for i in range(9)], "page_id long, url string, html string")
+    texts = lambda: {r["page_id"]: r["text"] for r in site_style.extract(pages.where("page_id < 1000")).collect()}
+    want = lambda i, more: "\n\n".join(["Methods", f"Story {i} of this page", "We thank our readers.", "Size", f"{i} cm", "Always", f"item {i}", *more, f"The law is E=m here, {i}"])
+    assert texts() == {i: want(i, ["Follow us"] if n == 1 else []) for i in range(n)}
+    monkeypatch.setattr(site_style, "low_paths", lambda tree, whole: tree.select("host", "path", F.lit(False).alias("inside")).limit(0))
+    assert texts() == {i: want(i, ["Follow us"]) for i in range(n)}
+
+
 # chunks
 
 
