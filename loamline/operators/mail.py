@@ -119,26 +119,49 @@ def threads(mail: DataFrame, recipients: DataFrame, seeds: DataFrame, cap: int =
     return kept.select("seed", "id", position.alias("position"), F.element_at(F.array(*map(F.lit, ("conversation", "reply_chain", "subject"))), F.col("rank") + 1).alias("grouping"), "truncated")
 
 
+def _rekeyed(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """account, was and detail_key of messages that come back under another detail key: told by a Message-ID that one message on each side has, of those that no detail key matches."""
+    keys = ["account", "detail_key"]
+
+    def once(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+        left = rows.where("message_id <> ''").select(*keys, "message_id").join(others.select(*keys), keys, "left_anti")
+        return left.groupBy("account", "message_id").agg(F.count("*").alias("_n"), F.min("detail_key").alias(name)).where("_n = 1").drop("_n")
+
+    return once(stored, batch, "was").join(once(batch, stored, "detail_key"), ["account", "message_id"]).select("account", "was", "detail_key")
+
+
 def commit(stored: DataFrame, batch: DataFrame, content: list[str], state: list[str]) -> DataFrame:
-    """stored merged with a batch of messages, with `change`: new, updated or unchanged, null where the batch hasn't the message.
+    """stored merged with a batch of messages, with `was` (the detail key it had) and `change`: new, updated, replaced or unchanged, null where the batch hasn't the message.
 
-    A message is the stored one with its Message-ID in its account, else with its detail key, and takes the batch's detail key. Content only fills what is empty; the
-    state follows the later state_seen_at. A batch has a message once.
+    A message is the stored one with its detail key in its account. Else it is the stored one with its Message-ID, if that one isn't in the batch itself and both sides have the Message-ID once; it
+    then takes the batch's detail key. Where key and Message-IDs disagree, another message has taken over the key: it replaces what was stored.
+    Otherwise content only fills what is empty, and the state follows the later state_seen_at. A batch has a detail key once.
     """
-    named = lambda df: df.withColumn("_key", F.when(F.col("message_id") != "", F.concat(F.lit("m"), "message_id")).otherwise(F.concat(F.lit("k"), F.col("detail_key").cast("string"))))
     fields = ["detail_key", "message_id", "state_seen_at", *content, *state]
-    side = lambda df, mark: named(df).select("account", "_key", *(F.col(c).alias(f"{mark}{c}") for c in fields), F.lit(True).alias(f"{mark}in"))
-    both = side(stored, "_o_").join(side(batch, "_n_"), ["account", "_key"], "full")
+    side = lambda df, mark: df.select("account", F.col("was"), *(F.col(c).alias(f"{mark}{c}") for c in fields), F.lit(True).alias(f"{mark}in"))
+    known = batch.join(_rekeyed(stored, batch), ["account", "detail_key"], "left").withColumn("was", F.coalesce("was", "detail_key"))
+    both = side(stored.withColumn("was", F.col("detail_key")), "_o_").join(side(known, "_n_"), ["account", "was"], "full")
     old, new = (lambda c: F.col(f"_o_{c}")), (lambda c: F.col(f"_n_{c}"))
-    later = F.coalesce(new("state_seen_at") > old("state_seen_at"), old("in").isNull())
-    out = {"detail_key": F.coalesce(new("detail_key"), old("detail_key")), "message_id": F.coalesce(old("message_id"), new("message_id")), "state_seen_at": F.when(later, new("state_seen_at")).otherwise(old("state_seen_at"))}
-    out |= {c: F.coalesce(F.nullif(old(c), F.lit("")), new(c), old(c)) for c in content}
+    replaced = F.coalesce((old("message_id") != "") & (new("message_id") != "") & (old("message_id") != new("message_id")), F.lit(False))
+    later = replaced | F.coalesce(new("state_seen_at") > old("state_seen_at"), old("in").isNull())
+    filled = lambda c: F.when(replaced, new(c)).otherwise(F.coalesce(F.nullif(old(c), F.lit("")), new(c), old(c)))
+    out = {"detail_key": F.coalesce(new("detail_key"), old("detail_key")), "message_id": filled("message_id"), "state_seen_at": F.when(later, new("state_seen_at")).otherwise(old("state_seen_at"))}
+    out |= {c: filled(c) for c in content}
     out |= {c: F.when(later, new(c)).otherwise(old(c)) for c in state}
     moved = F.lit(False)
     for c, value in out.items():
         moved = moved | ~value.eqNullSafe(old(c))
-    change = F.when(new("in").isNull(), F.lit(None)).when(old("in").isNull(), "new").when(moved, "updated").otherwise("unchanged")
-    return both.select("account", *(v.alias(c) for c, v in out.items()), change.alias("change"))
+    change = F.when(new("in").isNull(), F.lit(None)).when(old("in").isNull(), "new").when(replaced, "replaced").when(moved, "updated").otherwise("unchanged")
+    return both.select("account", *(v.alias(c) for c, v in out.items()), F.when(old("in"), old("detail_key")).alias("was"), change.alias("change"))
+
+
+def commit_children(stored: DataFrame, batch: DataFrame, committed: DataFrame) -> DataFrame:
+    """The recipients or attachments (account, detail_key and more) of committed messages, under their new keys: a new or replaced message has the batch's, any other its stored ones, or the batch's where none is stored."""
+    kept = committed.where("was IS NOT NULL AND (change IS NULL OR change <> 'replaced')").select("account", F.col("was").alias("_was"), F.col("detail_key").alias("_now"))
+    mine = stored.join(kept, (stored["account"] == kept["account"]) & (stored["detail_key"] == kept["_was"])).select(stored["account"], F.col("_now").alias("detail_key"), *(stored[c] for c in stored.columns if c not in ("account", "detail_key")))
+    read = committed.where("change IS NOT NULL").select("account", "detail_key")
+    theirs = batch.join(read, ["account", "detail_key"], "left_semi").join(mine.select("account", "detail_key").distinct(), ["account", "detail_key"], "left_anti")
+    return mine.unionByName(theirs.select(mine.columns))
 
 
 def correspondents(mail: DataFrame, recipients: DataFrame) -> DataFrame:

@@ -118,21 +118,46 @@ def mail_thread(spark: SparkSession, sf: str) -> DataFrame:
     return M.threads(m, recipients(spark, sf), m.where("id % 100 = 0 OR id % 100 = 33").select("id"), cap=5)
 
 
+_SIDES = """, named AS (SELECT account, id, is_read, CASE WHEN id % 7 = 0 THEN '' WHEN id % 11 = 0 THEN 'shared' || id // 22 ELSE 'm' || id END AS mid FROM mail),
+  s AS (SELECT account, id AS detail_key, mid AS message_id, id % 50 AS state_seen_at, CASE WHEN id % 3 = 0 THEN '' ELSE 'body ' || id END AS body, is_read FROM named WHERE NOT is_read OR id % 4 >= 2),
+  n AS (SELECT account, CASE WHEN id % 3 = 1 THEN id ELSE id + 1000000 END AS detail_key, CASE WHEN id % 5 = 0 AND mid <> '' THEN mid || 'x' WHEN id % 13 = 0 THEN '' ELSE mid END AS message_id, id % 70 AS state_seen_at, 'new ' || id AS body, id % 2 = 0 AS is_read FROM named WHERE id % 4 < 2),
+  so AS (SELECT account, message_id, min(detail_key) AS was FROM s WHERE message_id <> '' AND NOT EXISTS (SELECT 1 FROM n WHERE n.account = s.account AND n.detail_key = s.detail_key) GROUP BY 1, 2 HAVING count(*) = 1),
+  no AS (SELECT account, message_id, min(detail_key) AS detail_key FROM n WHERE message_id <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE n.account = s.account AND n.detail_key = s.detail_key) GROUP BY 1, 2 HAVING count(*) = 1),
+  r AS (SELECT account, was, detail_key FROM so JOIN no USING (account, message_id)), k AS (SELECT n.*, coalesce(r.was, n.detail_key) AS was FROM n LEFT JOIN r USING (account, detail_key)),
+  j AS (SELECT coalesce(s.account, k.account) AS account, s.message_id AS sm, k.message_id AS nm, s.detail_key AS sd, k.detail_key AS nd, s.state_seen_at AS st, k.state_seen_at AS nt, s.body AS sb, k.body AS nb, s.is_read AS sr, k.is_read AS nr,
+    coalesce(s.message_id <> '' AND k.message_id <> '' AND s.message_id <> k.message_id, false) AS swap FROM s FULL JOIN k ON k.account = s.account AND k.was = s.detail_key),
+  l AS (SELECT *, swap OR coalesce(nt > st, sd IS NULL) AS later FROM j),
+  o AS (SELECT *, coalesce(nd, sd) AS detail_key, CASE WHEN swap THEN nm ELSE coalesce(nullif(sm, ''), nm, sm) END AS message_id, CASE WHEN later THEN nt ELSE st END AS state_seen_at, CASE WHEN swap THEN nb ELSE coalesce(nullif(sb, ''), nb, sb) END AS body, CASE WHEN later THEN nr ELSE sr END AS is_read FROM l),
+  c AS (SELECT account, detail_key, message_id, state_seen_at, body, is_read, sd AS was, CASE WHEN nd IS NULL THEN NULL WHEN sd IS NULL THEN 'new' WHEN swap THEN 'replaced'
+    WHEN detail_key IS DISTINCT FROM sd OR message_id IS DISTINCT FROM sm OR state_seen_at IS DISTINCT FROM st OR body IS DISTINCT FROM sb OR is_read IS DISTINCT FROM sr THEN 'updated' ELSE 'unchanged' END AS change FROM o)"""
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Unread messages and half of the others are stored; another read brings half of the mailbox, a third of it under the same detail keys, some with another Message-ID or none."""
+    m, k = mail(spark, sf), F.col("id")
+    mid = F.when(k % 7 == 0, "").when(k % 11 == 0, F.concat(F.lit("shared"), F.floor(k / 22).cast("string"))).otherwise(F.concat(F.lit("m"), k.cast("string")))
+    other = F.when((k % 5 == 0) & (mid != ""), F.concat(mid, F.lit("x"))).when(k % 13 == 0, "").otherwise(mid)
+    stored = m.where(~F.col("is_read") | (k % 4 >= 2)).select("account", k.alias("detail_key"), mid.alias("message_id"), (k % 50).alias("state_seen_at"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("body "), k.cast("string"))).alias("body"), "is_read")
+    batch = m.where(k % 4 < 2).select("account", F.when(k % 3 == 1, k).otherwise(k + 1_000_000).alias("detail_key"), other.alias("message_id"), (k % 70).alias("state_seen_at"), F.concat(F.lit("new "), k.cast("string")).alias("body"), (k % 2 == 0).alias("is_read"))
+    return stored, batch
+
+
+@query(_MAIL + _SIDES + " SELECT * FROM c")
+def mail_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """Another read of half of the mailbox: matched by detail key, then by Message-ID, some replaced."""
+    return M.commit(*_sides(spark, sf), ["body"], ["is_read"])
+
+
 @query(
-    _MAIL + """, s AS (SELECT account, id AS detail_key, message_id, id % 50 AS state_seen_at, CASE WHEN id % 3 = 0 THEN '' ELSE 'body ' || id END AS body, is_read FROM mail WHERE NOT is_read),
-  n AS (SELECT account, id + 1000000 AS detail_key, message_id, id % 70 AS state_seen_at, 'new ' || id AS body, id % 2 = 0 AS is_read FROM mail WHERE id % 4 < 2),
-  j AS (SELECT coalesce(s.account, n.account) AS account, s.message_id AS sm, n.message_id AS nm, s.detail_key AS sd, n.detail_key AS nd, s.state_seen_at AS st, n.state_seen_at AS nt, s.body AS sb, n.body AS nb, s.is_read AS sr, n.is_read AS nr,
-    coalesce(n.state_seen_at > s.state_seen_at, s.message_id IS NULL) AS later FROM s FULL JOIN n ON n.account = s.account AND n.message_id = s.message_id),
-  o AS (SELECT *, coalesce(nd, sd) AS detail_key, coalesce(sm, nm) AS message_id, CASE WHEN later THEN nt ELSE st END AS state_seen_at, coalesce(nullif(sb, ''), nb, sb) AS body, CASE WHEN later THEN nr ELSE sr END AS is_read FROM j)
-  SELECT account, detail_key, message_id, state_seen_at, body, is_read, CASE WHEN nm IS NULL THEN NULL WHEN sm IS NULL THEN 'new'
-    WHEN detail_key IS DISTINCT FROM sd OR state_seen_at IS DISTINCT FROM st OR body IS DISTINCT FROM sb OR is_read IS DISTINCT FROM sr THEN 'updated' ELSE 'unchanged' END AS change FROM o"""
+    _MAIL + _SIDES + """, sk AS (SELECT account, detail_key, 'to ' || body AS address FROM s WHERE detail_key % 6 <> 0), nk AS (SELECT account, detail_key, 'cc ' || body AS address FROM n),
+  mine AS (SELECT sk.account, c.detail_key, address FROM sk JOIN c ON c.account = sk.account AND c.was = sk.detail_key WHERE change IS NULL OR change <> 'replaced')
+  SELECT * FROM mine UNION ALL SELECT nk.* FROM nk JOIN c USING (account, detail_key) WHERE change IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mine WHERE mine.account = nk.account AND mine.detail_key = nk.detail_key)"""
 )
-def mail_commit(spark: SparkSession, sf: str) -> DataFrame:
-    """Unread messages are stored; another read of half of the mailbox comes under new detail keys."""
-    m, k = mail(spark, sf), F.col("id")
-    stored = m.where(~F.col("is_read")).select("account", k.alias("detail_key"), "message_id", (k % 50).alias("state_seen_at"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("body "), k.cast("string"))).alias("body"), "is_read")
-    batch = m.where(k % 4 < 2).select("account", (k + 1_000_000).alias("detail_key"), "message_id", (k % 70).alias("state_seen_at"), F.concat(F.lit("new "), k.cast("string")).alias("body"), (k % 2 == 0).alias("is_read"))
-    return M.commit(stored, batch, ["body"], ["is_read"])
+def mail_commit_recipients(spark: SparkSession, sf: str) -> DataFrame:
+    """The recipients that the same commit leaves, under the messages' new keys."""
+    stored, batch = _sides(spark, sf)
+    kids = lambda df, word: df.select("account", "detail_key", F.concat(F.lit(word), "body").alias("address"))
+    return M.commit_children(kids(stored, "to ").where("detail_key % 6 <> 0"), kids(batch, "cc "), M.commit(stored, batch, ["body"], ["is_read"]))
 
 
 @query(

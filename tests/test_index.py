@@ -116,3 +116,17 @@ def test_folder_names_come_before_kinds(spark):
     assert keys("ARCHIVE") == [2] and keys("inbox") == [1] and keys("other") == [2] and keys("none") == []
     order = [r["kind"] for r in folders.select("kind", mail.kind_rank(F.col("kind")).alias("r")).orderBy("r").collect()]
     assert order == ["inbox", "archive", "other"]
+
+
+def test_mail_commit_matches_keys_then_message_ids(spark):
+    schema = "account string, detail_key long, message_id string, state_seen_at long, body string, is_read boolean"
+    go = lambda stored, batch: {(r["detail_key"], r["was"]): (r["message_id"], r["body"], r["is_read"], r["change"]) for r in mail.commit(spark.createDataFrame(stored, schema), spark.createDataFrame(batch, schema), ["body"], ["is_read"]).collect()}
+    assert go([("a", 1, "x", 1, "old", False)], [("a", 1, "", 2, "new", True)]) == {(1, 1): ("x", "old", True, "updated")}  # one key, no Message-ID: the same message
+    assert go([("a", 1, "x", 5, "old", False)], [("a", 1, "y", 2, "new", True)]) == {(1, 1): ("y", "new", True, "replaced")}  # the key was given to another message
+    assert go([("a", 1, "x", 1, "", False)], [("a", 9, "x", 1, "new", True)]) == {(9, 1): ("x", "new", False, "updated")}  # the same message under another key
+    assert go([("b", 1, "x", 1, "", False)], [("a", 9, "x", 1, "new", True)]) == {(1, 1): ("x", "", False, None), (9, None): ("x", "new", True, "new")}
+    twice = go([("a", 1, "x", 1, "one", False), ("a", 2, "x", 1, "two", False)], [("a", 9, "x", 1, "new", True)])
+    assert twice == {(1, 1): ("x", "one", False, None), (2, 2): ("x", "two", False, None), (9, None): ("x", "new", True, "new")}  # not unique: apart
+    taken = go([("a", 1, "x", 1, "one", False)], [("a", 1, "x", 1, "new", False), ("a", 9, "x", 1, "copy", True)])
+    assert taken == {(1, 1): ("x", "one", False, "unchanged"), (9, None): ("x", "copy", True, "new")}  # the stored one is in the batch itself
+    assert go([], []) == {}
