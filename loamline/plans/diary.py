@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..operators import calendar as C
+from ..operators.agenda import DayIndex
 from ..sources.archive import table
+from ..sources.scratch import cut, folder
 from .registry import query
 
 _HOUR, _DAY = 3_600_000_000, 86_400_000_000
 _ROWS = """SELECT o_orderkey AS key, {modified} AS last_modified, {fresh} AS fresh_at, CASE WHEN o_orderkey % {gone} = 0 THEN CAST(o_orderkey % 90 AS BIGINT) * 1000000 END AS removed_at, epoch_us(o_orderdate) + {shift} AS "start",
     epoch_us(o_orderdate) + {shift} + CASE WHEN o_orderkey % 3 = 0 THEN 86400000000 ELSE 3600000000 END AS "end", CASE o_orderkey % {flag} WHEN 0 THEN true WHEN 1 THEN false END AS all_day, epoch_us(o_orderdate) // 86400000000 AS start_date,
     epoch_us(o_orderdate) // 86400000000 + 1 AS end_date, CASE o_orderstatus WHEN '{status}' THEN true WHEN 'P' THEN false END AS cancelled, CASE WHEN o_orderkey % 2 = {detail} THEN CAST(o_orderkey % 7 AS BIGINT) END AS detail_as_of,
-    CASE WHEN o_orderkey % {text} = 0 THEN '' ELSE '{name}' || o_custkey END AS subject, CASE WHEN o_totalprice > {price} THEN true END AS online, CASE WHEN o_orderkey % {text} = 1 THEN '' ELSE '{name} body' END AS body FROM orders WHERE o_orderkey % {skip} <> 1"""
-A = {"modified": "CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 50 AS BIGINT) * 1000000 END", "fresh": "CAST(5 AS BIGINT)", "gone": 9, "shift": 0, "flag": 4, "status": "F", "detail": 0, "text": 3, "name": "A", "price": 200000, "skip": 6}
-B = {"modified": "CAST(o_orderkey % 55 AS BIGINT) * 1000000", "fresh": "CAST(o_orderkey % 8 AS BIGINT)", "gone": 15, "shift": 3600000000, "flag": 5, "status": "O", "detail": 1, "text": 4, "name": "B", "price": 150000, "skip": 7}
+    CASE WHEN o_orderkey % {text} = 0 THEN '' ELSE '{name}' || o_custkey END AS subject, CASE WHEN o_totalprice > {price} THEN true END AS online, CASE WHEN o_orderkey % {text} = 1 THEN '' ELSE '{name} body' END AS body FROM orders WHERE o_orderkey % {skip} <> 1 OR o_orderkey % {all} = 1"""
+A = {"modified": "CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 50 AS BIGINT) * 1000000 END", "fresh": "CAST(5 AS BIGINT)", "gone": 9, "shift": 0, "flag": 4, "status": "F", "detail": 0, "text": 3, "name": "A", "price": 200000, "skip": 6, "all": 10**15}
+B = {"modified": "CAST(o_orderkey % 55 AS BIGINT) * 1000000", "fresh": "CAST(o_orderkey % 8 AS BIGINT)", "gone": 15, "shift": 3600000000, "flag": 5, "status": "O", "detail": 1, "text": 4, "name": "B", "price": 150000, "skip": 7, "all": 6}
 _MERGED = f"""WITH a AS ({_ROWS.format(**A)}), b AS ({_ROWS.format(**B)}),
   j AS (SELECT key, a.key IS NOT NULL AS ia, b.key IS NOT NULL AS ib, a, b, greatest(a.removed_at, b.removed_at) AS gone_at FROM a FULL JOIN b USING (key)),
   r AS (SELECT *, gone_at IS NOT NULL AND NOT (coalesce(ia AND a.removed_at IS NULL AND a.last_modified > gone_at + 5000000, false) OR coalesce(ib AND b.removed_at IS NULL AND b.last_modified > gone_at + 5000000, false)) AS removed FROM j),
@@ -37,7 +39,7 @@ _MERGED = f"""WITH a AS ({_ROWS.format(**A)}), b AS ({_ROWS.format(**B)}),
 def _source(spark: SparkSession, sf: str, of: dict, modified: F.Column, fresh: F.Column) -> DataFrame:
     k, at = F.col("o_orderkey"), micros("o_orderdate")
     start = at + of["shift"]
-    return table(spark, sf, "orders").where(k % of["skip"] != 1).select(
+    return table(spark, sf, "orders").where((k % of["skip"] != 1) | (k % of["all"] == 1)).select(
         k.alias("key"), modified.alias("last_modified"), fresh.alias("fresh_at"), F.when(k % of["gone"] == 0, k % 90 * 1_000_000).alias("removed_at"), start.alias("start"), (start + F.when(k % 3 == 0, _DAY).otherwise(_HOUR)).alias("end"),
         F.when(k % of["flag"] == 0, True).when(k % of["flag"] == 1, False).alias("all_day"), F.floor(at / _DAY).alias("start_date"), (F.floor(at / _DAY) + 1).alias("end_date"),
         F.when(F.col("o_orderstatus") == of["status"], True).when(F.col("o_orderstatus") == "P", False).alias("cancelled"), F.when(k % 2 == of["detail"], k % 7).alias("detail_as_of"),
@@ -45,13 +47,20 @@ def _source(spark: SparkSession, sf: str, of: dict, modified: F.Column, fresh: F
     )
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
+def sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two calendars; every order is in one of them at least."""
     k = F.col("o_orderkey")
-    a = _source(spark, sf, A, F.when(k % 5 > 0, k % 50 * 1_000_000), F.lit(5).cast("long"))
-    b = _source(spark, sf, B, k % 55 * 1_000_000, k % 8)
+    return _source(spark, sf, A, F.when(k % 5 > 0, k % 50 * 1_000_000), F.lit(5).cast("long")), _source(spark, sf, B, k % 55 * 1_000_000, k % 8)
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return C.merge_events(a, b, ["key"], ["subject"], ["online"], ["body"])
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return merged(*sources(spark, sf))
+
+
 @query(_MERGED + " SELECT * FROM ev")
 def event_merge(spark: SparkSession, sf: str) -> DataFrame:
     """One event from two calendars by the rules of removal, base, filling, all-day blocks, details and overrides."""
@@ -67,12 +76,28 @@ def agenda_days(spark: SparkSession, sf: str) -> DataFrame:
     """An agenda: timed and all-day overlap, visibility, a needle in the texts, and its order."""
     from pyspark.sql import Window
 
-    rows = events(spark, sf).where("not removed").withColumns({"event_type": F.lit("single"), "response": F.lit(None).cast("string"), "organizer": F.col("body"), "location": F.lit(None).cast("string"), "principal": F.lit("p")})
+    rows = cut(events(spark, sf), "events").where("not removed").withColumns({"event_type": F.lit("single"), "response": F.lit(None).cast("string"), "organizer": F.col("body"), "location": F.lit(None).cast("string"), "principal": F.lit("p")})
     seen = rows.where(C.overlaps(F.lit(788_918_400_000_000), F.lit(790_560_000_000_000), F.lit(9131), F.lit(9150)) & C.visible("1"))
     order = C.agenda_order(F.col("start_date") * _DAY)
     return seen.select("key", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))  # one person's days: few rows
 
 
+@query(
+    _MERGED + """, v AS (SELECT *, greatest(CASE WHEN coalesce(all_day, false) THEN start_date ELSE "start" // 86400000000 END, 9131) AS day FROM ev
+    WHERE NOT removed AND NOT coalesce(cancelled, false) AND key % 23 <> 0 AND key % 29 <> 0 AND CASE WHEN coalesce(all_day, false) THEN start_date <= 9149 AND (end_date > 9131 OR start_date >= 9131) ELSE "start" < 790560000000000 AND ("end" > 788918400000000 OR "start" = 788918400000000) END)
+    SELECT key, day, CAST(row_number() OVER (PARTITION BY day ORDER BY CASE WHEN coalesce(all_day, false) THEN start_date * 86400000000 ELSE "start" END, coalesce(all_day, false) DESC, subject NULLS FIRST, key) AS INT) AS position FROM v"""
+)
+def agenda_two_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The agenda of nineteen days from stored rows: candidates by an index of days, their whole groups merged, masters, declined and cancelled events left out last."""
+    index = DayIndex(spark, folder(spark, "agenda"))
+    a, b = sources(spark, sf)
+    index.write({"a": a, "b": b})
+    k = F.col("key")
+    kinds = {"event_type": F.when(k % 23 == 0, "master").otherwise("single"), "response": F.when(k % 29 == 0, "declined"), "organizer": F.lit(None).cast("string"), "location": F.lit(None).cast("string"), "principal": F.lit("p")}
+    found = index.agenda(lambda x, y: merged(x, y).withColumns(kinds), ["a", "b"], 788_918_400_000_000, 790_560_000_000_000, C.visible())
+    return found.select("key", "day", "position")
+
+
 _LINKS = """links AS (SELECT 'a' || c_custkey AS account_id, 'p' || (c_custkey % 20) AS principal_id, CASE WHEN c_custkey % 4 = 0 THEN 1 END AS unlinked_at FROM customer WHERE c_custkey % 3 > 0)"""
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import memory
+from ..functions.times import micros
+from ..operators import batches, memory
 from ..sources.archive import table
 from ..sources.scratch import cut
 from .registry import query
@@ -75,3 +76,37 @@ def sync_replayed_counts(spark: SparkSession, sf: str) -> DataFrame:
 def sync_replayed_people(spark: SparkSession, sf: str) -> DataFrame:
     """The people of the later sync: read ones and those that skipped records named."""
     return _synced(spark, sf)[1].people
+
+
+_SINCE, _UNTIL = 883_612_800_000_000, 915_148_800_000_000  # 1998
+
+
+def _copies(spark: SparkSession, sf: str, source: str, at: int) -> DataFrame:
+    """Orders as a calendar's copies of events; one calendar knows global ids and lacks every third event, the other has these and every second one."""
+    k, start = F.col("o_orderkey"), micros("o_orderdate") + F.col("o_orderkey") % 4 * 3_600_000_000
+    teams = source == "teams"
+    rows = table(spark, sf, "orders").where(k % 3 != 0 if teams else (k % 3 == 0) | (k % 2 == 0))
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        F.lit(source).alias("source"), F.lit("a").alias("account_id"), F.concat(F.lit(source[0]), k.cast("string")).alias("source_id"), (F.concat(F.lit("G"), k.cast("string")) if teams else F.lit("")).alias("global_id"), F.lit("single").alias("event_type"),
+        F.concat(F.lit("S"), (F.col("o_custkey") % 20).cast("string")).alias("subject"), none("string").alias("location"), start.alias("start"), (start + F.when(k % 97 == 0, -1).otherwise(3_600_000_000)).alias("end"), none("boolean").alias("all_day"), none("long").alias("start_date"), none("long").alias("end_date"),
+        (F.col("o_orderstatus") == "F").alias("cancelled"), F.lit(at).cast("long").alias("clock"), F.lit(at).cast("long").alias("at"),
+    )
+
+
+@query(
+    f"""WITH o AS (SELECT *, 'S' || (o_custkey % 20) AS subject, epoch_us(o_orderdate) + o_orderkey % 4 * 3600000000 AS "start" FROM orders WHERE o_orderkey % 97 <> 0),
+    e AS (SELECT *, substr(sha256(lower(subject) || chr(0) || "start" || chr(0) || ("start" + 3600000000)), 1, 24) AS composite, 'G' || o_orderkey || '|' || "start" AS gkey FROM o),
+    t AS (SELECT * FROM e WHERE o_orderkey % 3 <> 0), m AS (SELECT *, count(*) OVER (PARTITION BY composite) AS own FROM e WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0),
+    g AS (SELECT composite, count(*) AS n, min(gkey) AS gkey FROM t GROUP BY 1)
+    SELECT 'teams' AS source, gkey AS event_key, subject, 'global' AS method, CASE WHEN "start" >= {_SINCE} AND "start" < {_UNTIL} THEN 2 END AS removed_at FROM t
+    UNION ALL SELECT 'mail', CASE WHEN own = 1 AND g.n = 1 THEN g.gkey WHEN own > 1 THEN composite || '#m' || o_orderkey ELSE composite END, subject, CASE WHEN own = 1 AND g.n = 1 THEN 'upgraded' WHEN g.n > 0 THEN 'ambiguous' ELSE 'composite' END, NULL FROM m LEFT JOIN g USING (composite)"""
+)
+def calendar_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Two calendars' batches: keys joined where both sides are unique, refused copies left out, and a later read of a year that no longer saw the first calendar's events."""
+    none = batches.Batch(_copies(spark, sf, "teams", 1), spark.createDataFrame([], "source string, account_id string, since long, until long, at long"), spark.createDataFrame([], "source string, account_id string, source_id string, at long"))
+    first, _ = batches.apply(batches.State.empty(spark), none, cut)
+    read = spark.createDataFrame([("teams", "a", _SINCE, _UNTIL, 2)], none.windows.schema)
+    state, _ = batches.apply(first, batches.Batch(_copies(spark, sf, "mail", 2), read, none.gone), cut)
+    rows = batches.with_removed(state.rows, state.reads)
+    return rows.join(state.matches.select("source", "account_id", "source_id", "method"), ["source", "account_id", "source_id"]).select("source", "event_key", "subject", "method", "removed_at")
