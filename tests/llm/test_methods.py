@@ -585,17 +585,52 @@ PAIRS = (
 def test_order_decides_where_words_are_equal():
     lexicon = toxicity.Lexicon({}, {})
     model = toxicity.Model(lexicon, toxicity.PRIOR, toxicity.PRIOR_BIAS)
-    flat = lambda t: sum(lexicon.symbol(w)[0] in (toxicity.INSULT, toxicity.THREAT) for w in t.lower().split())
+    flat = lambda t: sum(lexicon.symbol(w)[0] in toxicity.HARSH for w in t.lower().split())
     for toxic, clean in PAIRS:
         assert sorted(toxic.split()) == sorted(clean.split()) and flat(toxic) == flat(clean) > 0  # a list of words can't tell them apart
         assert model.score(toxic) > 0.5 > model.score(clean), (toxic, clean)
 
 
+SENTENCES = {
+    "insult": """You are an idiot|what a pathetic excuse you are|shut up, moron|he is a complete loser|you worthless scum|their plan was written by a clown, a real clown|stupid fool, go away|such a disgusting vermin|you absolute imbecile|they are garbage and you know it|nobody likes you, loser|she is dumb and so are you""",
+    "threat": """I will kill you|we are going to hurt you badly|he must strangle her|I shall hunt you down|we will smash your face|kill them all|they want to burn you|you will see, I will destroy you""",
+    "not_just": """You are not just an idiot|he is not only a loser|you are not merely stupid, you are a moron""",
+    "after_comma": """I never said you are smart, idiot|nobody said it was easy, moron|he told us about the trip, you clown""",
+    "negated": """You are not an idiot|she is never stupid|they are no losers|I would never hurt you|we do not kill them""",
+    "reported": """she said he is an idiot|he wrote that we are scum|the judge quoted "you are a loser" from the letter|they claimed I will kill you|according to him you are stupid""",
+    "harmless": """the trash can is full|take out the trash|we sort the garbage on Monday|the clown fish lives in the reef|a garbage truck came by|I will beat you at chess|she will destroy him in tennis|he emptied the trash today|foul smells from garbage bags""",
+    "lookalike": """the path is worth walking|it is worth the trip|we walked the path to the harbour|paths cross here|a worthy cause|the cloak is warm|disguise parties are fun|a stuffed bear|the mortar is dry""",
+}
+
+
+def test_sentences_by_kind(spark):
+    """The model trained at sf0.1, whose labelled texts hold no grammar: the machines carry what the labels cannot teach, and a grammar of insults alone does clearly worse."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    right = {}
+    for kind, text in SENTENCES.items():
+        wanted = kind in ("insult", "threat", "not_just", "after_comma")
+        scores = {t: model.score(t) for t in text.split("|")}
+        right[kind] = sum((v >= 0.5) == wanted for v in scores.values()) / len(scores)
+    assert all(v >= 0.85 for v in right.values()), right
+    flat = lambda t: any(model.lexicon.symbol(w)[0] in toxicity.HARSH for w in re.findall(r"[^\W\d_]+", t.lower()))
+    plain = {kind: sum(flat(t) == (kind in ("insult", "threat", "not_just", "after_comma")) for t in text.split("|")) / len(text.split("|")) for kind, text in SENTENCES.items()}
+    assert plain["negated"] == plain["reported"] == 0 and plain["harmless"] < 0.2
+
+
+def test_stems_need_several_words(spark):
+    toxic = [(i, f"abc xyz{w} {'pathetic' if i % 2 else ''} tail{i % 3}") for i, w in enumerate(["one", "two", "three", "four"] * 15)]
+    clean = [(100 + i, f"abc quiet tail{i % 3} words here {i}") for i in range(400)]
+    sample = spark.createDataFrame([(1, t) for _, t in toxic] + [(0, t) for _, t in clean], "label int, text string")
+    lexicon = toxicity.learn_lexicon(sample)
+    assert any(s.startswith("xyz") for s in lexicon.stems) and not any("pathetic".startswith(s) for s in lexicon.stems)
+
+
 def test_composition_equals_rewriting_one_after_another():
     rng = random.Random(5)
     machines = (toxicity.negation, toxicity.report, toxicity.threat, toxicity.insult, toxicity.target)
     for _ in range(400):
-        symbols = [rng.randrange(10) for _ in range(rng.randrange(1, 14))]
+        symbols = [rng.choice([*range(10), *range(13, 18)]) for _ in range(rng.randrange(1, 14))]
         tape, weights = list(symbols), [1.0] * len(symbols)
         for machine in machines:
             state = 0
