@@ -619,11 +619,11 @@ def test_sentences_by_kind(spark):
 
 
 def test_stems_need_several_words(spark):
-    toxic = [(i, f"abc xyz{w} {'pathetic' if i % 2 else ''} tail{i % 3}") for i, w in enumerate(["one", "two", "three", "four"] * 15)]
+    toxic = [(i, f"abc wxyz{w} {'pathetic' if i % 2 else ''} tail{i % 3}") for i, w in enumerate(["one", "two", "three", "four"] * 15)]
     clean = [(100 + i, f"abc quiet tail{i % 3} words here {i}") for i in range(400)]
     sample = spark.createDataFrame([(1, t) for _, t in toxic] + [(0, t) for _, t in clean], "label int, text string")
     lexicon = toxicity.learn_lexicon(sample)
-    assert any(s.startswith("xyz") for s in lexicon.stems) and not any("pathetic".startswith(s) for s in lexicon.stems)
+    assert "wxyz" in lexicon.stems and not any("pathetic".startswith(s) for s in lexicon.stems)
 
 
 def test_composition_equals_rewriting_one_after_another():
