@@ -345,3 +345,48 @@ def behind_conversations(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS ordinal FROM orders")
 def part_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.numbered(table(spark, sf, "orders"), ["o_custkey"], F.asc("o_orderdate"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey", "ordinal")
+
+
+_ISLANDS = """{0}b AS (SELECT *, max("end") OVER (PARTITION BY account, role ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({1}) WHERE "start" < "end"),
+    {0}i AS (SELECT *, sum(CASE WHEN before IS NULL OR "start" > before THEN 1 ELSE 0 END) OVER (PARTITION BY account, role ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM {0}b),
+    {0} AS (SELECT account, role, min("start") AS "start", max("end") AS "end" FROM {0}i GROUP BY account, role, island)"""
+_COVER = (
+    _E + f""", g AS (SELECT u.user_id AS account, r.role, {LOW} AS low, {HIGH} AS high, CASE u.user_id % 6 WHEN 0 THEN {LOW} - 1 WHEN 1 THEN {HIGH} - 1000 ELSE {HIGH} + 1 END AS now, r.role = 'inbox' OR u.user_id % 11 <> 0 AS synced,
+      CASE u.user_id % 7 WHEN 0 THEN 'partial' WHEN 1 THEN 'older_copy_only' ELSE 'exact' END AS copies, {LOW} + u.user_id % 10 * 100000000000 AS lacking_through, u.user_id % 13 = 0 AS failing, u.user_id % 17 = 0 AS stale, {HIGH} + (u.user_id % 3 - 1) * 1000000000 AS fresh_at, u.user_id % 4 * 3600000000 AS shift
+      FROM (SELECT DISTINCT user_id FROM e) u, (VALUES ('inbox'), ('sent')) r(role)),
+    reads AS (SELECT user_id AS account, CASE WHEN event_id % 2 = 0 THEN 'inbox' ELSE 'sent' END AS role, ts_us - event_id % 9 * 43200000000 AS "start", ts_us AS "end" FROM e WHERE event_type <> 'purchase' AND event_id % 5 <> 0), """
+    + _ISLANDS.format("ledger", "SELECT * FROM reads") + ", " + _ISLANDS.format("k", """SELECT l.account, l.role, l."start" + CASE WHEN l.role = 'sent' THEN g.shift ELSE 0 END AS "start", l."end" FROM ledger l JOIN g USING (account, role)""")
+    + ", " + _ISLANDS.format("v", """SELECT user_id AS account, CASE WHEN event_id % 2 = 0 THEN 'inbox' ELSE 'sent' END AS role, ts_us - 172800000000 AS "start", ts_us AS "end" FROM e WHERE event_type = 'purchase'""")
+    + ", " + _ISLANDS.format("p", f"""SELECT account, role, greatest("start", {LOW}) AS "start", least("end", {HIGH}) AS "end" FROM (SELECT * FROM k UNION ALL SELECT * FROM v)""")
+    + f""", gj AS (SELECT *, CASE WHEN lacking_through + 1000000 > low AND lacking_through + 1000000 < high THEN lacking_through + 1000000 ELSE high END AS judged FROM g),
+    ks AS (SELECT account, role, sum(greatest(0, least("end", {HIGH}) - greatest("start", {LOW}))) AS cached, max("end") AS cache_end FROM k GROUP BY 1, 2),
+    vs AS (SELECT account, role, sum(greatest(0, least("end", high) - greatest("start", low))) AS served, sum(greatest(0, least("end", judged) - greatest("start", low))) AS sj FROM v JOIN gj USING (account, role) GROUP BY 1, 2),
+    ps AS (SELECT account, role, min("start") AS cf, max("end") AS cu, sum("end" - "start") AS len FROM p GROUP BY 1, 2),
+    h AS (SELECT account, role, "end" AS h0, lead("start", 1, {HIGH}) OVER (PARTITION BY account, role ORDER BY "start") AS h1 FROM p UNION ALL SELECT g.account, g.role, {LOW}, coalesce(ps.cf, {HIGH}) FROM g LEFT JOIN ps USING (account, role)),
+    hs AS (SELECT h.account, h.role, bool_or(h0 < cache_end) AS hb, bool_or(h0 >= cache_end) AS ha FROM h LEFT JOIN ks USING (account, role) WHERE h0 < h1 GROUP BY 1, 2),
+    a AS (SELECT gj.*, coalesce(len, 0) AS len, coalesce(cached, 0) AS cached, coalesce(served, 0) AS served, cache_end, cf, cu, hb, ha, synced AND low < now AS asked, copies = 'partial' AND coalesce(sj, 0) < judged - low AS unsettled
+      FROM gj LEFT JOIN ks USING (account, role) LEFT JOIN vs USING (account, role) LEFT JOIN ps USING (account, role) LEFT JOIN hs USING (account, role))
+    SELECT account, role, CASE WHEN NOT asked OR len = 0 THEN 'not_covered' WHEN len = high - low AND NOT unsettled THEN 'covered' ELSE 'partial' END AS state, CASE WHEN asked AND len > 0 THEN cf END AS covered_from, CASE WHEN asked AND len > 0 THEN cu END AS covered_until,
+      CASE WHEN asked AND len > 0 THEN CASE WHEN cached = len AND served < len THEN 'cache' WHEN served = len AND cached < len THEN 'server' ELSE 'both' END END AS basis,
+      CASE WHEN NOT synced THEN 'folder_not_synced' WHEN NOT asked THEN 'future' ELSE concat_ws(',', CASE WHEN high > now THEN 'in_progress' END, CASE WHEN cache_end IS NULL AND len < high - low THEN 'no_complete_read' END,
+        CASE WHEN hb THEN CASE WHEN copies = 'older_copy_only' THEN 'only_older_cache_copy' ELSE 'before_cache' END END, CASE WHEN ha THEN CASE WHEN failing THEN 'source_failing' WHEN stale THEN 'after_cache_fresh' WHEN high > fresh_at THEN 'after_last_read' ELSE 'after_newest_mail' END END,
+        CASE WHEN unsettled THEN 'folder_copies_disagree' END) END AS reasons FROM a"""
+)
+
+
+@query(_COVER)
+def mail_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Each mailbox's coverage of a range by role: spans that complete reads recorded, the server's spans, the basis, and the reasons in their order."""
+    e = events(spark, sf)
+    role = F.when(F.col("event_id") % 2 == 0, "inbox").otherwise("sent")
+    reads = e.where("event_type <> 'purchase'").select(F.col("user_id").alias("account"), role.alias("role"), (F.col("ts_us") - F.col("event_id") % 9 * 43_200_000_000).alias("start"), F.col("ts_us").alias("end"), (F.col("event_id") % 5 != 0).alias("complete"))
+    half = F.col("end") % 2 == 0  # an earlier sync's reads, already in the ledger, and a later one's
+    ledger = coverage.record_spans(reads.limit(0), reads.where(half), ["account", "role"])
+    ledger = coverage.record_spans(ledger, reads.where(~half), ["account", "role"])
+    server = e.where("event_type = 'purchase'").select(F.col("user_id").alias("account"), role.alias("role"), (F.col("ts_us") - 172_800_000_000).alias("start"), F.col("ts_us").alias("end"))
+    u = F.col("account")
+    asked = e.select(F.col("user_id").alias("account")).distinct().withColumn("role", F.explode(F.array(F.lit("inbox"), F.lit("sent")))).withColumns({
+        "low": F.lit(LOW), "high": F.lit(HIGH), "now": F.when(u % 6 == 0, LOW - 1).when(u % 6 == 1, HIGH - 1000).otherwise(HIGH + 1), "synced": (F.col("role") == "inbox") | (u % 11 != 0), "copies": F.when(u % 7 == 0, "partial").when(u % 7 == 1, "older_copy_only").otherwise("exact"),
+        "lacking_through": LOW + u % 10 * 100_000_000_000, "failing": u % 13 == 0, "stale": u % 17 == 0, "fresh_at": HIGH + (u % 3 - 1) * 1_000_000_000, "shift": u % 4 * 3_600_000_000,
+    })
+    return coverage.mail_entries(asked, ledger, server).withColumn("reasons", F.array_join("reasons", ","))
