@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import short_id
 
+#: References that are held against every event's id one by one.
+PREFIX_REFS = 100
 SKEW, ALL_DAY_WINDOW = 5_000_000, 14 * 3_600_000_000
 
 
 def principals(links: DataFrame) -> DataFrame:
-    """(account_id, principal_id) of the active links; an account without one is its own principal."""
-    return links.where("unlinked_at IS NULL").select("account_id", "principal_id").distinct()
+    """(account_id, principal_id) of the active links, of several of one account the smallest; an account without one is its own principal."""
+    return links.where("unlinked_at IS NULL").groupBy("account_id").agg(F.min("principal_id").alias("principal_id"))
 
 
 def with_principal(rows: DataFrame, links: DataFrame, account: str = "account_id") -> DataFrame:
@@ -150,8 +152,14 @@ def find_events(events: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame
     """ref, principal, key, match and candidates: events whose key or id a text is, else those whose id begins with it; of several at most `most` are listed."""
     own = events.select("principal", "key").distinct().withColumn("id", short_id("ev_", 10, F.col("principal"), F.col("key")))
     exact = refs.join(own, F.col("ref") == F.col("key")).unionByName(refs.join(own, F.col("ref") == F.col("id"))).distinct().withColumn("match", F.lit("exact"))
-    sized = own.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(4), F.lit(12)), lambda n: F.substring("id", F.lit(1), n))))
-    begins = refs.join(sized, F.col("ref") == F.col("_p")).drop("_p").withColumn("match", F.lit("prefix")).join(exact.select("ref").distinct(), "ref", "left_anti")
+    short = refs.where(F.length("ref").between(4, 12))
+    few = short.limit(PREFIX_REFS + 1).count() <= PREFIX_REFS
+    if few:  # a handful of references meets each id once
+        begins = own.join(F.broadcast(short), F.col("id").startswith(F.col("ref")))
+    else:
+        sized = own.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(4), F.lit(12)), lambda n: F.substring("id", F.lit(1), n))))
+        begins = short.join(sized, F.col("ref") == F.col("_p")).drop("_p")
+    begins = begins.withColumn("match", F.lit("prefix")).join(exact.select("ref").distinct(), "ref", "left_anti").select(exact.columns)
     by = Window.partitionBy("ref")
     found = exact.unionByName(begins).withColumn("candidates", F.count("*").over(by)).withColumn("_n", F.row_number().over(by.orderBy("principal", "key")))
     return found.where(F.col("_n") <= most).select("ref", "principal", "key", "match", "candidates")

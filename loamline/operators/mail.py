@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from . import graph
+from ..sources.scratch import cut
+
+#: Rows of a list that may be broadcast.
+BROADCAST_ROWS = 400_000
 
 #: Well-known folder kinds in the order in which folders are listed; others follow, then deleted, then unknown ones.
 KINDS = ("inbox", "to_me", "drafts", "sent", "archive")
@@ -80,31 +83,50 @@ def without_copies(mail: DataFrame, current_folders: DataFrame) -> DataFrame:
     return mail.join(copies(mail, current_folders), "id", "left_anti")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _replies(mail: DataFrame, seeds: DataFrame, rounds: int = 40) -> DataFrame:
+    """seed and id of the messages that reply links reach from each seed, both ways, if one of them has another Message-ID than the seed. Each round joins only what the last one found."""
+    links = mail.select("account", "id", "message_id", "in_reply_to")
+    ends = links.select("account", "id", "message_id", "in_reply_to", F.explode(F.array(F.struct(F.lit("m").alias("kind"), F.col("message_id").alias("name")), F.struct(F.lit("r").alias("kind"), F.col("in_reply_to").alias("name")))).alias("e")).where("e.name <> ''")
+    ends = ends.select("account", "id", "message_id", "in_reply_to", "e.kind", "e.name")
+    front = seeds.select("seed", "account", F.col("seed").alias("id"), "message_id", "in_reply_to")
+    found = front
+    for _ in range(rounds):
+        named = lambda kind, column, df=front: df.select("seed", "account", F.lit(kind).alias("kind"), F.col(column).alias("name")).where("name <> ''")
+        wanted = named("r", "message_id").unionByName(named("m", "in_reply_to")).unionByName(named("m", "message_id")).distinct()  # answers, what it answers, its copies
+        near = _few(wanted).join(ends, ["account", "kind", "name"]).select("seed", "account", "id", "message_id", "in_reply_to").distinct()
+        front = cut(near.join(found.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "account", "id", "message_id", "in_reply_to"), "front")
+        if front.isEmpty():
+            break
+        found = cut(found.unionByName(front), "found")
+    linked = found.join(seeds.select("seed", F.col("message_id").alias("_own")), "seed").where("message_id <> _own").select("seed").distinct()
+    return found.join(linked, "seed", "left_semi").select("seed", "id")
+
+
 def threads(mail: DataFrame, recipients: DataFrame, seeds: DataFrame, cap: int = 200) -> DataFrame:
     """seed, id, position (oldest first), grouping and truncated: the conversation of each seed (a few ids).
 
     It is grouped by conversation id where that joins two messages, else by reply links (both ways, transitively, by Message-ID), else by the
     normalised subject with a shared address. The seed is always in; of more than `cap` messages the newest stay.
     """
-    seed = seeds.select(F.col("id").alias("seed")).join(mail.withColumnRenamed("id", "seed"), "seed")
+    seed = cut(seeds.select(F.col("id").alias("seed")).join(mail.withColumnRenamed("id", "seed"), "seed").select("seed", "account", "received_at", "conversation_id", "message_id", "in_reply_to", "subject_norm", "sender_address"), "seeds")
     other = mail.select("id", "account", "received_at", "conversation_id", "message_id", "subject_norm")
     same = lambda *keys: [seed[k] == other[k] for k in keys]
     pick = lambda df, rank: df.where("id <> seed").select("seed", "id", F.lit(rank).alias("rank")).distinct()
-    by_conversation = pick(seed.where("conversation_id <> ''").join(other, same("account", "conversation_id")), 0)
-
-    parents = mail.where("message_id <> ''").select("account", "message_id", F.col("id").alias("parent"))
-    replies = mail.where("in_reply_to <> ''").select("account", F.col("in_reply_to").alias("message_id"), "id").join(parents, ["account", "message_id"]).select("id", "parent")
-    twins = parents.join(parents.groupBy("account", "message_id").agg(F.min("parent").alias("first")), ["account", "message_id"]).where("parent <> first").select(F.col("parent").alias("id"), F.col("first").alias("parent"))
-    chain = graph.components(replies.unionByName(twins), "id", "parent", 40)
-    own = chain.join(seed.select("seed", F.col("message_id").alias("seed_id")), F.col("node") == F.col("seed")).select("seed", "seed_id", "component")
-    members = own.join(chain, "component").join(mail.select(F.col("id").alias("node"), "message_id"), "node").select("seed", "seed_id", F.col("node").alias("id"), "message_id")
-    linked = members.groupBy("seed").agg(F.max((F.col("message_id") != F.col("seed_id")).cast("int")).alias("linked")).where("linked = 1").select("seed")
-    by_reply = pick(members.join(linked, "seed"), 1)
+    by_conversation = cut(pick(_few(seed.where("conversation_id <> ''")).join(other, same("account", "conversation_id")), 0), "conversations")
+    alone = seed.join(by_conversation.select("seed").distinct(), "seed", "left_anti")
+    by_reply = cut(pick(_replies(mail, alone), 1), "replies")
+    alone = alone.join(by_reply.select("seed").distinct(), "seed", "left_anti").where("subject_norm <> ''")
 
     address = lambda df: df.where("address <> ''").select("id", F.lower("address").alias("address"))
-    addresses = address(mail.select("id", F.col("sender_address").alias("address"))).unionByName(address(recipients)).distinct()
-    mine = seed.where("subject_norm <> ''").join(addresses.withColumnRenamed("id", "seed"), "seed").select("seed", "account", "subject_norm", "address")
-    theirs = other.select("id", "account", "subject_norm").join(addresses, "id")
+    alike = mail.select("id", "account", "subject_norm", F.col("sender_address").alias("address")).join(_few(alone.select("account", "subject_norm").distinct()), ["account", "subject_norm"], "left_semi")
+    alike = cut(alike, "subjects")  # only messages with a seed's subject meet the recipients
+    told = address(recipients.join(_few(alike.select("id")), "id", "left_semi"))
+    theirs = alike.select("id", "account", "subject_norm").join(address(alike).unionByName(told).distinct(), "id")
+    mine = theirs.join(alone.select(F.col("seed").alias("id")), "id", "left_semi").withColumnRenamed("id", "seed")
     by_subject = pick(mine.join(theirs, ["account", "subject_norm", "address"]), 2)
 
     every = by_conversation.unionByName(by_reply).unionByName(by_subject)

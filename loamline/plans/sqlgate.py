@@ -11,7 +11,7 @@ from ..sources.archive import table
 # The plan nodes and functions that a reading statement may use.
 NODES = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Except Intersect SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedInlineTable LocalRelation OneRowRelation "
-    "UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction WithWindowDefinition Window Generate LateralJoin UnresolvedPivot Unpivot ExplainCommand UnresolvedOrderBy Sample".split()
+    "UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction WithWindowDefinition Window Generate LateralJoin Pivot Unpivot ExplainCommand UnresolvedOrderBy Sample".split()
 )
 FUNCTIONS = frozenset(
     "abs array array_contains array_distinct array_join array_max array_min ascii avg base64 bool_and bool_or ceil ceiling char char_length chr coalesce collect_list collect_set concat concat_ws contains conv corr count count_if crc32 cume_dist "
@@ -79,8 +79,8 @@ def _refuse(plan, names: set[str]) -> None:
         _refuse(child, names)
 
 
-def guarded(spark: SparkSession, folder: str, statement: str, names: list[str], limit: int | None = ROWS) -> DataFrame:
-    """The rows of one reading statement over the named tables, at most `limit` (None: all).
+def guarded(spark: SparkSession, folder: str, statement: str, names: list[str], limit: int | None = None) -> DataFrame:
+    """The rows of one reading statement over the named tables, all of them unless a limit is given; page() says whether there are more.
 
     Spark's own parser gives the plan; nodes, functions and relations that are not on the lists above are refused before anything runs.
     The tables are views of a session of its own, so none is left in the caller's.
@@ -95,3 +95,10 @@ def guarded(spark: SparkSession, folder: str, statement: str, names: list[str],
         table(own, folder, name).createOrReplaceTempView(name)
     df = own.sql(statement.strip().rstrip(";"))
     return df.limit(limit) if limit is not None else df
+
+
+def page(spark: SparkSession, folder: str, statement: str, names: list[str], limit: int = ROWS) -> tuple[DataFrame, bool]:
+    """At most `limit` rows of a statement, in its order, and whether there are more."""
+    rows = guarded(spark, folder, statement, names).limit(limit + 1)
+    first = spark.createDataFrame(rows.toArrow()) if limit <= ROWS else rows  # read once, at most ROWS + 1 rows
+    return first.limit(limit), first.count() > limit

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loamline.functions import predicates as P
 from loamline.functions import text as T
 from loamline.functions import times
-from loamline.operators import graph, intervals, joins, merge, ranking, search
+from loamline.operators import calendar, graph, intervals, joins, merge, ranking, search
+from loamline.plans import sqlgate
 from loamline.plans.sqlgate import ReadOnlyError, guarded
 from loamline.sources import archive
 
@@ -181,3 +182,18 @@ def test_publish(spark, tmp_path):
 def test_optional_columns(spark):
     df = archive.with_optional(spark.range(1), {"id": F.lit(9), "title": F.lit("none")})
     assert df.first().asDict() == {"id": 0, "title": "none"}
+
+
+def test_sql_page_says_that_there_is_more(spark, small):
+    rows, more = sqlgate.page(spark, small, "SELECT n_nationkey FROM nation ORDER BY n_nationkey", ["nation"], 3)
+    assert [r[0] for r in rows.collect()] == [0, 1, 2] and more
+    rows, more = sqlgate.page(spark, small, "SELECT n_nationkey FROM nation", ["nation"], 25)
+    assert rows.count() == 25 and not more and sqlgate.guarded(spark, small, "SELECT * FROM orders", ["orders"]).count() == 1500
+    pivot = "SELECT * FROM (SELECT n_regionkey, n_nationkey FROM nation) PIVOT (count(n_nationkey) FOR n_regionkey IN (0, 1))"
+    assert tuple(sqlgate.guarded(spark, small, pivot, ["nation"]).first()) == (5, 5)
+
+
+def test_an_account_has_one_principal(spark):
+    links = spark.createDataFrame([("a", "p2", None), ("a", "p1", None), ("b", "p9", 1)], "account_id string, principal_id string, unlinked_at int")
+    rows = calendar.with_principal(spark.createDataFrame([("a",), ("b",)], "account_id string"), links)
+    assert sorted((r["account_id"], r["principal"]) for r in rows.collect()) == [("a", "p1"), ("b", "b")]
