@@ -118,17 +118,21 @@ def _section_body(packets: np.ndarray, pid: np.ndarray, wanted: int, table_id: i
     raise ValueError(f"no whole table {table_id} on PID {wanted}")
 
 
-def streams_of(packets: np.ndarray, pid: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """The (stream type, PID) lists of each program."""
-    table, out = _section_body(packets, pid, 0, 0), {}
+def streams_of(packets: np.ndarray, pid: np.ndarray) -> tuple[dict[int, list[tuple[int, int]]], list[int]]:
+    """The (stream type, PID) lists of each program, and the numbers of programs whose map table is absent or broken."""
+    table, out, broken = _section_body(packets, pid, 0, 0), {}, []
     for i in range(0, len(table), 4):
         if number := table[i] << 8 | table[i + 1]:  # number 0 names the network table
-            body = _section_body(packets, pid, (table[i + 2] & 0x1F) << 8 | table[i + 3], 2)
+            try:
+                body = _section_body(packets, pid, (table[i + 2] & 0x1F) << 8 | table[i + 3], 2)
+            except ValueError:
+                broken.append(number)
+                continue
             at, out[number] = 4 + ((body[2] & 0x0F) << 8 | body[3]), []
             while at < len(body):
                 out[number].append((body[at], (body[at + 1] & 0x1F) << 8 | body[at + 2]))
                 at += 5 + ((body[at + 3] & 0x0F) << 8 | body[at + 4])
-    return out
+    return out, broken
 
 
 def demux(stream: bytes, program: int | None = None, stream_pid: int | None = None) -> dict:
@@ -139,7 +143,7 @@ def demux(stream: bytes, program: int | None = None, stream_pid: int | None = No
     if (packets[:, 0] != 0x47).any():
         raise ValueError("lost synchronisation")
     pid = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
-    programs = streams_of(packets, pid)
+    programs, broken = streams_of(packets, pid)
     found = [s for number, streams in programs.items() if program in (None, number) for s in streams if stream_pid in (None, s[1])]
     if not found:
         raise ValueError("no such program or stream")
@@ -171,14 +175,14 @@ def demux(stream: bytes, program: int | None = None, stream_pid: int | None = No
                 points.append((times[-1], size))
         units.append(unit[head : 6 + length if length else len(unit)])
         size += len(units[-1])
-    return {"payload": b"".join(units), "stream_type": kind, "packets": len(packets), "units": len(units), "continuity_errors": errors, "times": times, "access_points": points}
+    return {"payload": b"".join(units), "stream_type": kind, "packets": len(packets), "units": len(units), "continuity_errors": errors, "times": times, "access_points": points, "broken_programs": broken}
 
 
 def feature_of(got: dict) -> str:
     times, payload = got["times"], got["payload"]
     span = f"{times[0]}..{times[-1]}" if times else "none"
     mean = np.frombuffer(payload, np.uint8).mean() if payload else 0.0
-    return f"mpegts type={got['stream_type']} packets={got['packets']} units={got['units']} continuity_errors={got['continuity_errors']} access_points={len(got['access_points'])} pts={span} mean={mean:.3f}"
+    return f"mpegts type={got['stream_type']} packets={got['packets']} units={got['units']} continuity_errors={got['continuity_errors']} access_points={len(got['access_points'])} pts={span} mean={mean:.3f}" + (f" broken_programs={len(got['broken_programs'])}" if got["broken_programs"] else "")
 
 
 def padded(text: bytes, block: int = 64) -> bytes:

@@ -38,7 +38,7 @@ def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mpegts.demux_streams(written(mpegts.mux_documents(_table(spark, sf_dir, "documents")), "media"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_points")
 
 
 def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

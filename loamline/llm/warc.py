@@ -10,7 +10,8 @@ gaps and against the total length, joined, and the chunked framing is decoded; p
 
 A null html is an empty payload, a null url has no target URI. A null page_id is larger than all others and never refers to
 anything but a smaller one. Rows that repeat page_id and payload are one record written more than once: each is a response
-where one of them is. Extra columns are ignored; an empty table gives an empty result.
+where one of them is. Of tied pages, with one payload, the smallest page_id is the response. Very long pages are as many segments as they need, so no record and no file grows with a page. Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import grouped, join_skewed, map_slices, shared_path, small_enough, written
 
+#: A file has at most FILE_RECORDS records, each with a block of SEGMENT bytes at most: 66 MB unpacked.
 SEGMENT, CHUNK, FILE_RECORDS = 32 << 10, 8 << 10, 2000
+#: Bytes of blocks that a reader hands on at once.
+BATCH_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -92,19 +98,27 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
     archive.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def records_of(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields with lower-case names, block) of each record of an uncompressed archive, read one after the other."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record starts with {line[:20]!r}")
+        fields = {}
+        while (line := archive.readline()) not in (b"\r\n", b"\n"):
+            if not line:
+                raise ValueError("a record's head has no end")
+            k, _, v = line.decode().partition(":")
+            fields[k.strip().lower()] = v.strip()
+        length = int(fields["content-length"])
+        block = archive.read(length)
+        if len(block) != length:
+            raise ValueError("a record is cut short")
+        yield fields, block
+        archive.read(4)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record starts at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        begin = end + 4
-        at = begin + int(fields["content-length"])
-        yield fields, data[begin:at]
-        at += 4
+    return records_of(io.BytesIO(data))
 
 
 def http_payload(block: bytes) -> bytes:
@@ -140,9 +154,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                data = value.as_py()
-                out = []
-                for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                data = io.BytesIO(value.as_buffer())
+                packed = data.read(2) == b"\x1f\x8b"
+                data.seek(0)
+                out, held = [], 0
+                for f, block in records_of(gzip.GzipFile(fileobj=data) if packed else data):  # unpacked as it is read
+                    held += len(block)
+                    if held > BATCH_BYTES:
+                        yield _rows(out)
+                        out, held = [], 0
                     kind, number = f["warc-type"], f.get("warc-segment-number")
                     if kind not in ("response", "revisit", "continuation"):
                         continue

@@ -207,3 +207,33 @@ def test_tampering_is_found(spark, small):
     out = manifest.documents_manifest(spark.read.parquet(f"{small}/documents.parquet"))
     bad = {r["doc_id"] for r in out.where("not verified").collect()}
     assert bad == {r["doc_id"] for r in out.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0}
+
+
+# media and archives
+
+
+def test_a_program_without_its_table_is_skipped():
+    from loamline.llm import mpegts
+
+    payload = mpegts.padded(b"some text that is stored")
+    media = bytearray(mpegts.mux(payload))
+    whole = mpegts.demux(bytes(media))
+    assert whole["broken_programs"] == [] and whole["payload"] == payload and whole["access_points"] == [(0, 0)]
+    body = bytes([0, 9, 0xE0 | 0x1F, 0x55]) + bytes([0, 1, 0xE0 | media[188 + 1] & 0x1F, media[188 + 2]])  # program 9 has a PID that no packet has, program 1 its own
+    section = b"\x00" + (0xB000 | 9 + len(body)).to_bytes(2, "big") + b"\x00\x01\xc1\x00\x00" + body
+    section += mpegts.crc32_mpeg(section).to_bytes(4, "big")
+    packet = b"\x47\x40\x00\x10\x00" + section
+    media[:188] = packet + b"\xff" * (188 - len(packet))
+    got = mpegts.demux(bytes(media))
+    assert got["broken_programs"] == [9] and got["payload"] == payload and mpegts.feature_of(got).endswith("broken_programs=1")
+
+
+def test_archives_are_read_as_streams(spark, tmp_path, monkeypatch):
+    from loamline.llm import warc
+
+    monkeypatch.setattr(warc, "BATCH_BYTES", 1000)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{'é' * 700 * i}</p>") for i in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"]) for r in warc.archived_pages(pages, segment=2048).collect()}
+    assert got == {i: (7 + 1400 * i, "response") for i in range(12)}
+    with pytest.raises(ValueError, match="short"):
+        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
