@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..sources.scratch import cut
+from .ranking import top, union_top
 
 #: Rows of a list that may be broadcast.
 BROADCAST_ROWS = 400_000
@@ -186,6 +187,20 @@ def commit_children(stored: DataFrame, batch: DataFrame, committed: DataFrame) -
     return mine.unionByName(theirs.select(mine.columns))
 
 
+def newest_chosen(mail: DataFrame, chosen: DataFrame, limit: int, since=None, until=None) -> DataFrame:
+    """The newest `limit` messages by their chosen time, with `at` and truncated: whether there are more.
+
+    chosen (id, chosen_at) holds the corrected times of the few messages whose copies disagree. The list is two disjoint parts, messages without a correction by received_at, whose range
+    reaches the scan, and corrected ones by their own time; each stops at the limit before they meet, so nothing is sorted whole and no time is computed for all.
+    """
+    few = chosen.select("id", "chosen_at")
+    plain = mail.where(P.half_open(F.col("received_at"), since, until)).join(_few(few.select("id")), "id", "left_anti").withColumn("at", F.col("received_at"))
+    own = few.where(P.half_open(F.col("chosen_at"), since, until))
+    moved = mail.join(_few(own), "id").withColumn("at", F.col("chosen_at")).drop("chosen_at")
+    order = [F.col("at").desc(), F.col("id").desc()]
+    return top(union_top([plain, moved.select(plain.columns)], limit + 1, *order), limit, *order)
+
+
 def correspondents(mail: DataFrame, recipients: DataFrame) -> DataFrame:
     """address, name (the newest that isn't empty), messages, first_seen and last_seen over senders and recipients of live mail."""
     live = mail.where("gone_at is null")

@@ -121,3 +121,27 @@ def current_and_last_good(observations: DataFrame, keys: list[str], at: str, goo
     """The newest value of a key and the newest that is good; of equally new ones the greatest."""
     order = F.struct(at, value)
     return observations.groupBy(*keys).agg(F.max_by(value, order).alias("current"), F.max_by(value, F.when(good, order)).alias("last_good"))
+
+
+def admit_window(stored: DataFrame, window: DataFrame, key: str, item: str, bound: str, stages: list[list[str]]) -> DataFrame:
+    """item, stored key and state of each item of a window that a server has read: what it is of what is stored.
+
+    in_place: a stored row is bound to the item's id. matched: of the items and rows that are left, one of each agrees in all fields of a stage (tried in order; a field that is null on
+    either side agrees with nothing). deferred: some agree in a stage, but not one to one, and no later stage settles it; such an item stays apart until more is known. new: nothing agrees.
+    Items have one row an id, stored rows one a key. Each stage is one aggregation a side and an equi-join of what is unique, so a hot value costs a count and joins nothing.
+    """
+    items = window.withColumn("_item", F.col(item))
+    done = items.join(stored.where(F.col(bound).isNotNull()).select(F.col(key), F.col(bound).alias("_item")), "_item").select("_item", key, F.lit("in_place").alias("state"))
+    doubtful = None
+    for fields in stages:
+        left = items.join(done.select("_item"), "_item", "left_anti").dropna(subset=fields)
+        rows = stored.where(F.col(bound).isNull()).join(done.select(key), key, "left_anti").dropna(subset=fields)
+        ours = left.groupBy(*fields).agg(F.count("*").alias("_n"), F.min("_item").alias("_item"))
+        theirs = rows.groupBy(*fields).agg(F.count("*").alias("_m"), F.min(key).alias(key))
+        met = ours.join(theirs, fields)
+        several = left.join(met.where("_n > 1 OR _m > 1").select(*fields), fields, "left_semi").select("_item")
+        doubtful = several if doubtful is None else doubtful.unionByName(several)
+        done = done.unionByName(met.where("_n = 1 AND _m = 1").select("_item", key, F.lit("matched").alias("state")))
+    unsure = doubtful.distinct().withColumn("_unsure", F.lit(True))
+    out = items.select("_item").join(done, "_item", "left").join(unsure, "_item", "left")
+    return out.select(F.col("_item").alias(item), key, F.coalesce("state", F.when(F.col("_unsure"), "deferred"), F.lit("new")).alias("state"))

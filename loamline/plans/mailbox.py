@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..operators import mail as M
+from ..operators import merge as R
 from ..sources.archive import table
 from .registry import query
 
@@ -166,3 +167,36 @@ def mail_commit_recipients(spark: SparkSession, sf: str) -> DataFrame:
 )
 def mail_correspondents(spark: SparkSession, sf: str) -> DataFrame:
     return M.correspondents(mail(spark, sf), recipients(spark, sf))
+
+
+@query(
+    _MAIL + """, t AS (SELECT id, CASE WHEN id % 37 = 0 THEN received_at + (id % 5 - 2) * 86400000000 ELSE received_at END AS "at" FROM mail), w AS (SELECT * FROM t WHERE "at" >= 800000000000000 AND "at" < 900000000000000)
+  SELECT id, "at", (SELECT count(*) FROM w) > 200 AS truncated FROM w ORDER BY "at" DESC, id DESC LIMIT 200"""
+)
+def mail_chosen_times(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest two hundred messages of a range by their chosen times: some stored times were corrected, into the range or out of it."""
+    m = mail(spark, sf)
+    chosen = m.where("id % 37 = 0").select("id", (F.col("received_at") + (F.col("id") % 5 - 2) * 86_400_000_000).alias("chosen_at"))
+    return M.newest_chosen(m, chosen, 200, 800_000_000_000_000, 900_000_000_000_000).select("id", "at", "truncated")
+
+
+@query(
+    _MAIL + """, s AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'g' || id END AS graph, sender_address, CASE WHEN id % 9 > 0 THEN received_at END AS received_at, subject_norm, account FROM mail WHERE id % 5 > 0),
+  n AS (SELECT 'g' || id AS item, sender_address, CASE WHEN id % 7 > 0 THEN received_at END AS received_at, CASE WHEN id % 6 > 0 THEN subject_norm ELSE 'changed' END AS subject_norm, account FROM mail WHERE id % 3 > 0 OR id % 5 = 0),
+  d0 AS (SELECT n.item, s.id FROM n JOIN s ON s.graph = n.item),
+  n1 AS (SELECT * FROM n WHERE item NOT IN (SELECT item FROM d0) AND received_at IS NOT NULL), s1 AS (SELECT * FROM s WHERE graph IS NULL AND received_at IS NOT NULL),
+  m1 AS (SELECT * FROM (SELECT account, sender_address, received_at, subject_norm, count(*) AS c, min(item) AS item FROM n1 GROUP BY 1, 2, 3, 4) JOIN (SELECT account, sender_address, received_at, subject_norm, count(*) AS k, min(id) AS id FROM s1 GROUP BY 1, 2, 3, 4) USING (account, sender_address, received_at, subject_norm)),
+  u1 AS (SELECT n1.item FROM n1 JOIN m1 USING (account, sender_address, received_at, subject_norm) WHERE c > 1 OR k > 1), d1 AS (SELECT item, id FROM m1 WHERE c = 1 AND k = 1),
+  n2 AS (SELECT * FROM n1 WHERE item NOT IN (SELECT item FROM d1)), s2 AS (SELECT * FROM s1 WHERE id NOT IN (SELECT id FROM d1)),
+  m2 AS (SELECT * FROM (SELECT account, sender_address, received_at, count(*) AS c, min(item) AS item FROM n2 GROUP BY 1, 2, 3) JOIN (SELECT account, sender_address, received_at, count(*) AS k, min(id) AS id FROM s2 GROUP BY 1, 2, 3) USING (account, sender_address, received_at)),
+  u2 AS (SELECT n2.item FROM n2 JOIN m2 USING (account, sender_address, received_at) WHERE c > 1 OR k > 1), d2 AS (SELECT item, id FROM m2 WHERE c = 1 AND k = 1),
+  d AS (SELECT *, 'in_place' AS state FROM d0 UNION ALL SELECT *, 'matched' FROM d1 UNION ALL SELECT *, 'matched' FROM d2)
+  SELECT n.item, d.id, coalesce(d.state, CASE WHEN n.item IN (SELECT item FROM u1 UNION SELECT item FROM u2) THEN 'deferred' ELSE 'new' END) AS state FROM n LEFT JOIN d USING (item)"""
+)
+def mail_window_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """A server's window of mail against the stored mail: by id, then by sender, time and subject, then without the subject, each only where both sides are unique."""
+    m, k = mail(spark, sf), F.col("id")
+    graph = F.concat(F.lit("g"), k.cast("string"))
+    stored = m.where(k % 5 > 0).select("id", F.when(k % 4 == 0, graph).alias("graph"), "account", "sender_address", F.when(k % 9 > 0, F.col("received_at")).alias("received_at"), "subject_norm")
+    window = m.where((k % 3 > 0) | (k % 5 == 0)).select(graph.alias("item"), "account", "sender_address", F.when(k % 7 > 0, F.col("received_at")).alias("received_at"), F.when(k % 6 > 0, F.col("subject_norm")).otherwise("changed").alias("subject_norm"))
+    return R.admit_window(stored, window, "id", "item", "graph", [["account", "sender_address", "received_at", "subject_norm"], ["account", "sender_address", "received_at"]])

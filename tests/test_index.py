@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamline.functions import text as T
-from loamline.operators import calendar, mail, search
+from loamline.operators import calendar, mail, merge, search
 from loamline.operators import index as index_module
 from loamline.operators.index import SearchIndex
 
@@ -130,3 +130,25 @@ def test_mail_commit_matches_keys_then_message_ids(spark):
     taken = go([("a", 1, "x", 1, "one", False)], [("a", 1, "x", 1, "new", False), ("a", 9, "x", 1, "copy", True)])
     assert taken == {(1, 1): ("x", "one", False, "unchanged"), (9, None): ("x", "copy", True, "new")}  # the stored one is in the batch itself
     assert go([], []) == {}
+
+
+def test_window_items_stay_apart_where_fields_are_not_unique(spark):
+    stored = spark.createDataFrame([(1, "g1", "a", 5), (2, None, "a", 6), (3, None, "b", 7), (4, None, "b", 7), (5, None, "c", 8), (6, None, "d", None)], "id long, graph string, sender string, at long")
+    window = spark.createDataFrame([("g1", "zz", 1), ("g2", "a", 6), ("g3", "b", 7), ("g4", "c", 8), ("g5", "c", 8), ("g6", "d", None), ("g7", "a", 5)], "item string, sender string, at long")
+    got = {r["item"]: (r["id"], r["state"]) for r in merge.admit_window(stored, window, "id", "item", "graph", [["sender", "at"]]).collect()}
+    assert got == {"g1": (1, "in_place"), "g2": (2, "matched"), "g3": (None, "deferred"), "g4": (None, "deferred"), "g5": (None, "deferred"), "g6": (None, "new"), "g7": (None, "new")}
+    settled = merge.admit_window(stored.withColumn("n", F.when(F.col("id") == 5, 1)), window.withColumn("n", F.when(F.col("item") == "g4", 1)), "id", "item", "graph", [["sender", "at"], ["sender", "at", "n"]])
+    assert {r["item"]: (r["id"], r["state"]) for r in settled.collect()}["g4"] == (5, "matched")
+
+
+def test_chosen_times_equal_sorting_everything(spark):
+    m = spark.range(300).select("id", (F.col("id") * 7 % 101).alias("received_at"))
+    chosen = m.where("id % 10 = 0").select("id", (F.col("received_at") + 50 - F.col("id") % 7).alias("chosen_at"))
+    every = m.join(chosen, "id", "left").withColumn("at", F.coalesce("chosen_at", "received_at"))
+    for since, until, limit in ((None, None, 20), (30, 90, 1000), (90, None, 5)):
+        want = sorted(((r["at"], r["id"]) for r in every.collect() if (since is None or r["at"] >= since) and (until is None or r["at"] < until)), reverse=True)
+        got = mail.newest_chosen(m, chosen, limit, since, until)
+        rows = [(r["at"], r["id"]) for r in got.collect()]
+        assert sorted(rows, reverse=True) == want[:limit] and {r["truncated"] for r in got.collect()} == {len(want) > limit}
+    plan = mail.newest_chosen(m, chosen, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") >= 3 and "Sort [at" not in plan.split("TakeOrderedAndProject", 2)[2]
