@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.text import content_hash
+from ..functions.text import composed_name, content_hash, first_known
+from .ranking import top
 
 
 def upsert_accounts(stored: DataFrame, batch: DataFrame, at: Column) -> DataFrame:
@@ -121,3 +122,23 @@ def sequence_gaps(messages: DataFrame, keys: list[str], number: str, at: str, si
     order = Window.partitionBy(*keys).orderBy("_q")
     step = inside.unionByName(near).withColumn("_gap", F.greatest(F.lit(0), F.col("_q") - F.lag("_q").over(order) - 1))
     return step.groupBy(*keys).agg(F.coalesce(F.sum("_gap"), F.lit(0)).cast("long").alias("missing"))
+
+
+def activity_list(activity: DataFrame, messages: DataFrame, people: DataFrame, conversations: DataFrame, limit: int, types: list[str] | None = None, unread: bool = False, system: tuple[str, ...] = ()) -> DataFrame:
+    """The newest activity items with the message each points at, its sender, and the conversation's composed name; `truncated` says whether there are more.
+
+    Filters look at the items alone and each joins one row at most, so the first limit + 1 are taken before anything is joined. Messages of `system` conversations are not shown.
+    """
+    some = activity.where(P.every(F.lit(True), F.col("type").isin(types) if types else None, ~F.coalesce("is_read", F.lit(False)) if unread else None))
+    few = F.broadcast(top(some, limit, F.col("at").desc_nulls_last(), F.col("id").desc()))
+    said = messages.where(~F.col("conversation_id").isin(*system)) if system else messages
+    said = said.select("conversation_id", F.col("id").alias("message_id"), "content_text", "sender_id", F.col("sender_name").alias("_stated"))
+    keys = ["conversation_id", "message_id"]
+    held = few.join(said.join(few.select(*keys), keys, "left_semi"), keys, "left")
+    names = people.select(F.col("id").alias("sender_id"), F.col("name").alias("_known"))
+    own = conversations.select(F.col("id").alias("conversation_id"), F.col("display_name").alias("_name"), "team_id")
+    teams = conversations.select(F.col("id").alias("team_id"), F.col("display_name").alias("_team"))
+    rows = held.join(names.join(held.select("sender_id"), "sender_id", "left_semi"), "sender_id", "left").join(own, "conversation_id", "left")
+    rows = rows.join(teams, (rows["team_id"] == teams["team_id"]) & (rows["team_id"] != "") & (rows["team_id"] != rows["conversation_id"]), "left").drop(teams["team_id"])
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return rows.select("id", "type", "is_read", "at", "conversation_id", composed_name(F.col("_team"), F.col("_name")).alias("conversation"), "message_id", blank("content_text").alias("text"), blank("sender_id").alias("sender_id"), F.coalesce(first_known(F.col("_stated"), F.col("_known")), F.lit("")).alias("sender"), "truncated")

@@ -56,7 +56,10 @@ def session_messages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "position", "role", F.length("text").cast("long").alias("length"))
 
 
-@query("SELECT source, sha256(string_agg(doc_id || chr(0) || n_chars, chr(10) ORDER BY doc_id || chr(0) || n_chars)) AS fingerprint, count(*) AS files FROM documents GROUP BY source")
+@query(
+    """WITH h AS (SELECT source, sha256(doc_id || chr(0) || n_chars) AS h FROM documents), p AS (SELECT source, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b, CAST('0x' || substr(h, 31, 15) AS BIGINT) AS c, CAST('0x' || substr(h, 46, 15) AS BIGINT) AS d FROM h)
+    SELECT source, sha256(concat_ws(':', sum(a), sum(b), sum(c), sum(d), count(*))) AS fingerprint, count(*) AS files FROM p GROUP BY source"""
+)
 def source_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return mappers.fingerprint(table(spark, sf, "documents"), ["source"], F.col("doc_id"), F.col("n_chars"))
 
@@ -124,3 +127,55 @@ def agenda(spark: SparkSession, sf: str) -> DataFrame:
     m = merge.two_sources(a, b, ["k"], "clock", ["start", "cancelled"], 5).withColumn("end", F.col("start") + 5_400_000_000)
     low, high = (micros(F.lit(d).cast("timestamp_ntz")) for d in ("1996-01-01", "1996-02-01"))
     return m.where(P.overlaps(F.col("start"), F.col("end"), low, high) & (F.coalesce("cancelled", F.lit(0)) == 0)).select("k", "start", "end")
+
+
+_ITEMS = """r AS (SELECT event_id, event_id % 50 AS k, event_type, value > 50 AS is_read, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'c' || (event_id % 100) AS thread FROM events),
+    i AS (SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS type, NULL AS subtype, CASE WHEN k <> 2 THEN is_read END AS is_read, CASE WHEN k NOT IN (3, 4) THEN CAST(epoch_us(CAST(replace(replace(stamp, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS BIGINT) END AS "at", CASE WHEN k <> 5 THEN thread END AS conversation_id,
+      CAST(event_id AS VARCHAR) AS message_id, concat_ws(',', CASE WHEN k = 2 THEN 'is_read' END, CASE WHEN k = 3 THEN 'at' END, CASE WHEN k = 5 THEN 'conversation_id' END) AS losses FROM r WHERE k NOT IN (0, 1, 6, 7))"""
+
+
+def _feed_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as records of an activity feed, one in fifty of each kind of broken one."""
+    k, quoted = F.col("event_id") % 50, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    key = F.when(k == 6, '{"deep": 1}').otherwise(F.col("event_id").cast("string"))
+    field = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    fields = [
+        F.when(k != 1, field("activityId", key)), field("activityType", quoted(F.col("event_type"))), field("activitySubtype", F.lit('""')), field("isRead", F.when(k == 2, '"maybe"').otherwise((F.col("value") > 50).cast("string"))),
+        field("timestamp", F.when(k == 3, '"soon"').when(k == 4, "null").otherwise(quoted(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")))), field("sourceThreadId", F.when(k == 5, '["c1"]').otherwise(quoted(F.concat(F.lit("c"), (F.col("event_id") % 100).cast("string"))))),
+        field("sourceMessageId", F.lit('""')), field("messageId", F.col("event_id").cast("string")), field("unknown", F.lit("[1, {}]")),
+    ]
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", F.when(k == 0, "{broken").when(k == 7, "[1]").otherwise(body).alias("record"))
+
+
+@query("WITH " + _ITEMS + ' SELECT event_id, id, type, is_read, "at", conversation_id, message_id, losses FROM i')
+def activity_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Activity items from records of no fixed schema, with the fields that could not be read."""
+    items, _ = mappers.activity(_feed_items(spark, sf), "record")
+    return items.select("event_id", "id", "type", "is_read", F.unix_micros("at").alias("at"), "conversation_id", "message_id", F.array_join("losses", ",").alias("losses"))
+
+
+@query("SELECT CASE event_id % 50 WHEN 0 THEN 'unreadable' WHEN 7 THEN 'not_an_object' WHEN 6 THEN 'unusable_id' ELSE 'no_id' END AS code, count(*) AS n FROM events WHERE event_id % 50 IN (0, 1, 6, 7) GROUP BY 1")
+def activity_unmapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that are no activity items, by code."""
+    return mappers.activity(_feed_items(spark, sf), "record")[1].groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH " + _ITEMS + """, f AS (SELECT * FROM i WHERE type IN ('click', 'purchase') AND NOT coalesce(is_read, false) ORDER BY "at" DESC NULLS LAST, id DESC LIMIT 300),
+    c AS (SELECT 'c' || n_nationkey AS id, n_name AS display_name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'c' || n_regionkey END AS team_id FROM nation),
+    m AS (SELECT 'c' || (o_orderkey % 100) AS conversation_id, CAST(o_orderkey AS VARCHAR) AS message_id, o_orderpriority AS text, CAST(o_custkey AS VARCHAR) AS sender_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Stated ' || o_custkey ELSE '' END AS stated FROM orders WHERE o_orderkey % 100 <> 9)
+    SELECT f.id, f.type, f.is_read, f."at", f.conversation_id, CASE WHEN t.id IS NOT NULL THEN t.display_name || ' › ' || c.display_name ELSE c.display_name END AS conversation, f.message_id, coalesce(m.text, '') AS text, coalesce(m.sender_id, '') AS sender_id, coalesce(nullif(m.stated, ''), p.c_name, '') AS sender, (SELECT count(*) FROM i WHERE type IN ('click', 'purchase') AND NOT coalesce(is_read, false)) > 300 AS truncated
+    FROM f LEFT JOIN m USING (conversation_id, message_id) LEFT JOIN customer p ON CAST(p.c_custkey AS VARCHAR) = m.sender_id LEFT JOIN c ON c.id = f.conversation_id LEFT JOIN c t ON t.id = c.team_id AND c.team_id <> '' AND c.team_id <> c.id"""
+)
+def activity_newest(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest three hundred unread clicks and purchases with message, sender and conversation; messages of one conversation are a system's."""
+    from ..operators import chat
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    items, _ = mappers.activity(_feed_items(spark, sf), "record")
+    messages = table(spark, sf, "orders").select(F.concat(F.lit("c"), (k % 100).cast("string")).alias("conversation_id"), k.cast("string").alias("id"), F.col("o_orderpriority").alias("content_text"), c.alias("sender_id"), F.when(k % 2 == 0, F.concat(F.lit("Stated "), c)).otherwise("").alias("sender_name"))
+    people = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
+    named = lambda column: F.concat(F.lit("c"), F.col(column).cast("string"))
+    conversations = table(spark, sf, "nation").select(named("n_nationkey").alias("id"), F.col("n_name").alias("display_name"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(named("n_regionkey")).alias("team_id"))
+    return chat.activity_list(items, messages, people, conversations, 300, ["click", "purchase"], True, ("c9",)).withColumn("at", F.unix_micros("at"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.times import micros
+from ..operators import federation
 from ..operators import search as S
 from ..sources.archive import table
 from .registry import query
@@ -94,3 +95,44 @@ def search_columns(spark: SparkSession, sf: str) -> DataFrame:
 def search_payload(spark: SparkSession, sf: str) -> DataFrame:
     hits = S.search(table(spark, sf, "events"), "7", ["props"])
     return hits.groupBy("event_type").agg(F.count("*").alias("n"), micros(F.max("ts")).alias("newest"))
+
+
+def _seven(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Every source's hits for "the" (mail, notes and loop: for a word of theirs) after a time."""
+    hits = lambda name, query, column: S.search(table(spark, sf, name), query, [column])
+    k = F.col("conv_id") * 100 + F.col("turn")
+    chats = hits("conversations", "the", "text").select(k.alias("id"), F.length("text").cast("long").alias("at"), F.col("role").alias("title"))
+    mail = hits("orders", "urgent", "o_orderpriority").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 500).alias("at"), F.col("o_orderpriority").alias("title"))
+    pages = hits("pages", "the", "html").select(F.col("page_id").alias("id"), F.length("html").cast("long").alias("at"), F.substring("url", 1, 20).alias("title"))
+    docs = hits("documents", "the", "text").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 > 0, F.col("n_chars")).alias("at"), F.substring("text", 1, 20).alias("title"))
+    notes = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("at"), F.col("p_type").alias("title"))
+    return {"chats": chats.where("title = 'user'"), "transcripts": chats.where("title = 'assistant'"), "mail": mail, "content": pages, "documents": docs, "notes": notes}
+
+
+_SEVEN = f"""WITH c AS (SELECT conv_id * 100 + turn AS id, CAST(length(text) AS BIGINT) AS "at", role AS title FROM conversations WHERE list_contains({_TOKENS.format('text')}, 'the')),
+  a AS (SELECT 'chats' AS source, 0 AS source_rank, CAST(id AS VARCHAR) AS id, "at", title FROM c WHERE title = 'user' UNION ALL SELECT 'transcripts', 2, CAST(id AS VARCHAR), "at", title FROM c WHERE title = 'assistant'
+    UNION ALL SELECT 'mail', 1, CAST(o_orderkey AS VARCHAR), o_orderkey % 500, o_orderpriority FROM orders WHERE list_contains({_TOKENS.format('o_orderpriority')}, 'urgent')
+    UNION ALL SELECT 'content', 3, CAST(page_id AS VARCHAR), length(html), substr(url, 1, 20) FROM pages WHERE list_contains({_TOKENS.format('html')}, 'the')
+    UNION ALL SELECT 'documents', 5, CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 9 > 0 THEN n_chars END, substr(text, 1, 20) FROM documents WHERE list_contains({_TOKENS.format('text')}, 'the')
+    UNION ALL SELECT 'notes', 6, CAST(p_partkey AS VARCHAR), p_size, p_type FROM part),
+  w AS (SELECT * FROM a WHERE "at" >= 40), h AS (SELECT * FROM w ORDER BY "at" DESC NULLS LAST, source_rank, id LIMIT 100)"""
+
+
+def _planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    parts = {name: part.where("at >= 40") for name, part in _seven(spark, sf).items()}
+    return federation.search_sources(federation.plan_search({"since"}), parts, 100, 150)
+
+
+@query(_SEVEN + ' SELECT source, id, "at", title FROM h')
+def search_planned(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest hundred hits of the sources that have times; one source of seven has none and is never read."""
+    return _planned(spark, sf)[0].select("source", "id", "at", "title")
+
+
+@query(
+    _SEVEN + """ SELECT s.source, (SELECT count(*) FROM h WHERE h.source = s.source) AS returned, CASE WHEN n <= 150 THEN n END AS matched, least(n, 151) AS matched_at_least, least(n, 151) > (SELECT count(*) FROM h WHERE h.source = s.source) AS truncated
+  FROM (SELECT x.source, count(w.id) AS n FROM (VALUES ('chats'), ('mail'), ('transcripts'), ('content'), ('documents'), ('notes')) x(source) LEFT JOIN w USING (source) GROUP BY 1) s"""
+)
+def search_floors(spark: SparkSession, sf: str) -> DataFrame:
+    """What each planned source matched: exactly up to 150 hits, beyond that at least so many."""
+    return _planned(spark, sf)[1]

@@ -42,9 +42,52 @@ def session(records: DataFrame, json: str) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, keys: list[str], *parts: Column) -> DataFrame:
-    """One digest for a set of files, whatever their order: a source is read again only when it changes."""
-    line = F.concat_ws("\0", *(p.cast("string") for p in parts))
-    return files.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.count("*").alias("files"))
+    """One digest for a set of files, whatever their order: a source is read again only when it changes.
+
+    Every file's digest is cut into four numbers, and the source's digest is that of their sums and of the number of files: sums combine in each task, so a source with most of the files is no group anywhere.
+    """
+    line = F.sha2(F.concat_ws("\0", *(p.cast("string") for p in parts)), 256)
+    sums = [F.sum(F.conv(F.substring(line, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    return files.groupBy(*keys).agg(F.sha2(F.concat_ws(":", *(s.cast("string") for s in sums), F.count("*").cast("string")), 256).alias("fingerprint"), F.count("*").alias("files"))
+
+
+#: Fields of an activity item: name, its path in the record (of several the first known one), and its type.
+ACTIVITY = (
+    ("type", ("activityType",), "string"), ("subtype", ("activitySubtype",), "string"), ("is_read", ("isRead",), "boolean"), ("at", ("timestamp",), "timestamp"), ("conversation_id", ("sourceThreadId",), "string"),
+    ("message_id", ("sourceMessageId", "messageId"), "string"), ("reply_chain_id", ("sourceReplyChainId",), "string"), ("app_id", ("teamsAppId",), "string"),
+)
+
+
+def variant_fields(record: Column, fields: tuple) -> tuple[dict[str, Column], Column]:
+    """The fields of a parsed record, null where they are absent, empty or of another type, and the names of those whose value is there but of no use."""
+    out, losses = {}, []
+    for name, paths, kind in fields:
+        known, lost = [], F.lit(False)
+        for path in paths:
+            found = F.try_variant_get(record, f"$.{path}", "variant")
+            shape = F.coalesce(F.schema_of_variant(found), F.lit("VOID"))
+            plain = ~shape.startswith("OBJECT") & ~shape.startswith("ARRAY")
+            value = F.when(plain, F.try_variant_get(record, f"$.{path}", kind))
+            known.append(F.nullif(value, F.lit("")) if kind == "string" else value)
+            lost = lost | (value.isNull() & (shape != "VOID"))
+        out[name] = F.coalesce(*known)
+        losses.append(F.when(lost & out[name].isNull(), F.lit(name)))
+    return out, F.array_compact(F.array(*losses))
+
+
+def activity(records: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
+    """Activity items (id and the fields of ACTIVITY, with losses: the fields that could not be read) and what could not be mapped at all: the record's other columns and a code.
+
+    Records are of no fixed schema: each is parsed as a variant and asked field by field, so an unknown field costs nothing and a broken one only itself.
+    """
+    own = [c for c in records.columns if c != json]
+    read = records.select(*own, F.try_parse_json(json).alias("_v"))
+    shape = F.coalesce(F.schema_of_variant("_v"), F.lit(""))
+    key, unusable = variant_fields(F.col("_v"), (("id", ("activityId",), "string"),))
+    code = F.when(F.col("_v").isNull(), "unreadable").when(~shape.startswith("OBJECT"), "not_an_object").when(key["id"].isNull(), F.when(F.size(unusable) > 0, "unusable_id").otherwise("no_id"))
+    fields, losses = variant_fields(F.col("_v"), ACTIVITY)
+    items = read.where(code.isNull()).select(*own, key["id"].alias("id"), *(c.alias(n) for n, c in fields.items()), losses.alias("losses"))
+    return items, read.where(code.isNotNull()).select(*own, code.alias("code"))
 
 
 def json_lines(df: DataFrame, scrub: list[str] | None = None) -> DataFrame:

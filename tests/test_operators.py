@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from loamline.functions import predicates as P
 from loamline.functions import text as T
 from loamline.functions import times
-from loamline.operators import calendar, graph, intervals, joins, merge, ranking, search
+from loamline.operators import calendar, chat, federation, graph, intervals, joins, merge, ranking, search
 from loamline.plans import sqlgate
 from loamline.plans.sqlgate import ReadOnlyError, guarded
-from loamline.sources import archive
+from loamline.sources import archive, mappers
 
 
 def rows(df, *cols):
@@ -197,3 +197,37 @@ def test_an_account_has_one_principal(spark):
     links = spark.createDataFrame([("a", "p2", None), ("a", "p1", None), ("b", "p9", 1)], "account_id string, principal_id string, unlinked_at int")
     rows = calendar.with_principal(spark.createDataFrame([("a",), ("b",)], "account_id string"), links)
     assert sorted((r["account_id"], r["principal"]) for r in rows.collect()) == [("a", "p1"), ("b", "b")]
+
+
+def test_filters_choose_the_sources():
+    everything = tuple(federation.USABLE)
+    assert federation.plan_search(()).sources == everything and federation.plan_search((), "loop").sources == ("loop",)
+    dated = federation.plan_search({"since", "until"})
+    assert set(everything) - set(dated.sources) == {"loop"} and dated.notes() == ["loop cannot be filtered by since, until and was not searched"]
+    assert federation.plan_search({"folder"}).sources == ("mail",) and federation.plan_search({"team", "since"}).sources == ("chats",)
+    assert federation.plan_search({"from"}).sources == ("chats", "mail", "transcripts") and federation.plan_search({"chat_account"}).sources == ("chats", "transcripts")
+    for filters, source in (({"folder", "team"}, "all"), ({"since"}, "loop"), ({"team"}, "mail"), ({"mail_account"}, "chats"), ({"colour"}, "all"), ((), "fax")):
+        with pytest.raises(federation.SourceConflict) as e:
+            federation.plan_search(filters, source)
+        assert e.value.code == "filter_source_conflict"
+
+
+def test_sources_left_out_are_never_read(spark):
+    part = lambda n: spark.range(n).select("id", F.col("id").alias("at"), F.lit("t").alias("title"))
+    hits, counts = federation.search_sources(federation.plan_search({"folder"}), {"mail": part(30)}, 5, 10)
+    assert [r["id"] for r in hits.orderBy(F.desc("at")).collect()] == ["29", "28", "27", "26", "25"]
+    assert tuple(counts.first()) == ("mail", 5, None, 11, True)
+    assert tuple(federation.search_sources(federation.plan_search({"folder"}), {"mail": part(3)}, 5, 10)[1].first()) == ("mail", 3, 3, 3, False)
+
+
+def test_activity_without_anything_to_join(spark):
+    items = spark.createDataFrame([("1", "mention", None, None, "c1", "9"), ("2", "reply", True, None, None, None)], "id string, type string, is_read boolean, at timestamp, conversation_id string, message_id string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = chat.activity_list(items, none("conversation_id string, id string, content_text string, sender_id string, sender_name string"), none("id string, name string"), none("id string, display_name string, team_id string"), 5)
+    assert sorted((r["id"], r["text"], r["sender"], r["conversation"], r["truncated"]) for r in got.collect()) == [("1", "", "", None, False), ("2", "", "", None, False)]
+
+
+def test_a_fingerprint_ignores_order_and_sees_change(spark):
+    f = lambda rows: mappers.fingerprint(spark.createDataFrame(rows, "s string, name string, size long"), ["s"], F.col("name"), F.col("size")).first()["fingerprint"]
+    assert f([("a", "x", 1), ("a", "y", 2)]) == f([("a", "y", 2), ("a", "x", 1)]) != f([("a", "x", 1), ("a", "y", 3)])
+    assert f([("a", "x", 1)]) != f([("a", "x", 1), ("a", "x", 1)])
