@@ -3,12 +3,24 @@
 import itertools
 import random
 
+import pytest
+
 from loamline.operators import batches as B
 from loamline.sources.scratch import cut
 
 EVENT = "source string, account_id string, source_id string, global_id string, event_type string, subject string, location string, start long, end long, all_day boolean, start_date long, end_date long, cancelled boolean, clock long, at long"
 HOUR = 3_600_000_000
 
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """These plans are wide and their rows few: compiling them would take most of the time."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    spark.conf.unset("spark.sql.codegen.factoryMode")
+
+
 
 def event(source_id, source="teams", global_id="", subject="Review", start=100 * HOUR, clock=1, at=1, **more):
     base = {"source": source, "account_id": "a", "source_id": source_id, "global_id": global_id, "event_type": "single", "subject": subject, "location": None, "start": start, "end": start + HOUR, "all_day": None, "start_date": None, "end_date": None, "cancelled": None, "clock": clock, "at": at}

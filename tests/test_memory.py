@@ -13,6 +13,16 @@ from loamline.sources.scratch import cut
 STORED = "owner long, line long, version long, deleted_at long, quantity double"
 BODY = "array<struct<owner:long,line:long,version:long,deleted_at:long,quantity:double,arrival:long,who:string>>"
 
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """These plans are wide and their rows few: compiling them would take most of the time."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    spark.conf.unset("spark.sql.codegen.factoryMode")
+
+
 
 def mapper(records):
     """Every element of the body is a statement about a row; a body that is no list cannot be mapped."""
