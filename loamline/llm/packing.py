@@ -26,10 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import give_back, slices, written
 
 CAPACITY, END_ID, SALTS = 4096, 1, 1024
 WORDS_HELD = 500_000
+#: Bytes of text whose words are encoded at once.
+SLICE_BYTES = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -132,9 +134,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = WordEncoder(path)  # a task's own, so a worker that is used again holds none of it
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, SLICE_BYTES):
                 ids, offsets = encoder.encode(part.column(1))
                 pieces = -(-np.diff(offsets) // capacity)
                 row = np.repeat(np.arange(part.num_rows), pieces)
@@ -146,7 +149,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                     [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(end - begin, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+                del ids, offsets, crc
             pa.default_memory_pool().release_unused()
+        del encoder
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
