@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +48,19 @@ def union_top(parts: list[DataFrame], limit: int, *order: Column) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p.orderBy(*order).limit(limit), allowMissingColumns=True)
     return out.orderBy(*order).limit(limit)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], cut: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+    """The rows with their place within their key, from 1, also where one key has most of the rows; `order` must end in a key that is unique within `keys`.
+
+    Rows are cut into ranges of key and order, numbered within their range, and the sizes of the key's ranges before are added: no task sees more than a range, and only one row a key and range is summed up.
+    """
+    sliced = cut(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    local = sliced.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), before.alias("_before"))
+    same = F.col("_slice") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(ahead, same).select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
