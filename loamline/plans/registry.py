@@ -22,6 +22,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import derived, diary, feeds, ingest, listings, mailbox, merges, rollups, searches, sightings, syncs, teams  # noqa: F401
+    from . import derived, diary, feeds, ingest, listings, mailbox, merges, recaps, rollups, searches, sightings, syncs, teams  # noqa: F401
 
     return QUERIES, ORACLES
