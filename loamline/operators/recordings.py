@@ -42,10 +42,11 @@ def _seconds(clock: Column) -> Column:
     return F.when(clock.rlike(r"^\d+:\d+:\d+(\.\d*)?$"), part(1) * 3600 + part(2) * 60 + part(3)).otherwise(0.0)
 
 
-def read_recordings(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_recordings(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The parts that successful recording notices name (columns PART), and account_id and message_id of notices that cannot be read or name no call.
 
-    Messages without a notice and notices of another status make neither. A part is known by its drive item, else by its link, else by its message.
+    Messages without a notice and notices of another status make neither. A part is known by its drive item, else by its link, else by its message. Markup is parsed once: filters on what it
+    says meet the written fields.
     """
     markup = F.regexp_extract("content", r"(?s)<URIObject.*?</URIObject\s*>", 0)
     plain = F.regexp_replace(markup, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
@@ -55,24 +56,25 @@ def read_recordings(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = (F.col("_markup") != "") & F.col("n._bad").isNull()
     done = text("RecordingStatus._status") == "Success"
     read = read.withColumns({"call_id": _named(F.col("n.Identifiers.Id"), "callId", "_value"), "_ok": fine})
-    broken = read.where(~F.col("_ok") | (done & (F.col("call_id") == ""))).select("account_id", "message_id")
+    told = F.when(~F.col("_ok") | (done & (F.col("call_id") == "")), "broken").when(done, "part")
     uri = _named(F.col("n.RecordingContent.item"), "onedriveForBusinessTranscript", "_uri")
     chunk, types = _named(F.col("n.Identifiers.Id"), "chunkIndex", "_value"), text("RecordingContent._contentTypes")
     share = F.coalesce(F.nullif(text("a._href"), F.lit("")), _named(F.col("n.RecordingContent.item"), "onedriveForBusinessVideo", "_uri"))
     fields = {name: F.regexp_extract("_uri", TRANSCRIPT_URI, i) for i, name in enumerate(("host", "site_root", "drive_id", "item_id", "transcript_id"), 1)}
     parts = (
-        read.where(F.col("_ok") & done & (F.col("call_id") != ""))
-        .withColumns({"_uri": uri, "share_url": share, "content_types": types, "chunk_index": chunk})
+        read.withColumns({"told": told, "_uri": uri, "share_url": share, "content_types": types, "chunk_index": chunk})
         .withColumns(fields)
         .withColumn("ref_quality", F.when(F.col("drive_id") != "", "drive_item").when(F.col("share_url") != "", "share_only").otherwise("ams_only"))
     )
     key = F.when(F.col("ref_quality") == "drive_item", F.concat(F.lit("d:"), "drive_id", F.lit("/"), "item_id")).when(F.col("ref_quality") == "share_only", F.concat(F.lit("u:"), F.substring(F.sha2("share_url", 256), 1, 16))).otherwise(F.concat(F.lit("m:"), "message_id"))
-    return parts.withColumns(
+    fields = parts.withColumns(
         {
             "part_key": key, "starts_at": _micros(text("RecordingContent._timestamp")), "duration_seconds": _seconds(text("RecordingContent._duration")), "transcribe_only": (F.col("chunk_index") == TRANSCRIBED_ONLY) | ~F.contains("content_types", F.lit("Recording")),
             "storage_kind": text("RecordingStorage._type"), "meeting_ical_uid": text("MeetingICalUid._value"), "original_name": text("OriginalName._v"),
         }
-    ).select(*PART), broken
+    )
+    written = cut(fields.select(*PART, "told"), "notices")
+    return written.where("told = 'part'").select(*PART), written.where("told = 'broken'").select("account_id", "message_id")
 
 
 def read_transcripts(messages: DataFrame) -> DataFrame:
@@ -99,9 +101,9 @@ def assemble(parts: DataFrame, notices: DataFrame, cut: Callable[[DataFrame, str
     return numbered(latest.unionByName(missing), CALL, order, cut, "ordinal")
 
 
-def notices(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def notices(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """All that a call's parts are derived from, one row a notice (PART and told: 'part' or 'notice'), and the notices that could not be read."""
-    parts, broken = read_recordings(messages)
+    parts, broken = read_recordings(messages, cut)
     heard = read_transcripts(messages)
     return parts.withColumn("told", F.lit("part")).unionByName(heard.withColumn("told", F.lit("notice")), allowMissingColumns=True), broken
 

@@ -61,7 +61,7 @@ _COLUMNS = ", ".join(_SHOWN)
 @query(f"WITH {_ALL} SELECT {_COLUMNS} FROM xn")
 def recording_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of calls, read from all notices: the latest of a file counts, numbered in time, with a placeholder where no transcript is known."""
-    rows, _ = R.notices(messages(spark, sf))
+    rows, _ = R.notices(messages(spark, sf), cut)
     return R.assemble(rows.where("told = 'part'"), rows.where("told = 'notice'"), cut).select(*_SHOWN)
 
 
@@ -70,14 +70,14 @@ def recording_parts(spark: SparkSession, sf: str) -> DataFrame:
     count(*) FILTER (ref_quality = 'ams_only') AS ams_only, count(*) FILTER (ref_quality = 'unresolved') AS unresolved FROM xn GROUP BY 1) SELECT c.*, coalesce(b.n, 0) AS unparsable FROM c LEFT JOIN (SELECT account_id, count(*) AS n FROM xl WHERE broken GROUP BY 1) b USING (account_id)"""
 )
 def recording_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows, broken = R.notices(messages(spark, sf))
+    rows, broken = R.notices(messages(spark, sf), cut)
     return R.counts(R.assemble(rows.where("told = 'part'"), rows.where("told = 'notice'"), cut), broken)
 
 
 def _rederived(spark: SparkSession, sf: str) -> derive.Refreshed:
     rules = R.derivation(cut)
-    first = derive.refresh(R.notices(messages(spark, sf, False))[0], None, rules, cut)
-    return derive.refresh(R.notices(messages(spark, sf))[0], first.held, rules, cut)
+    first = derive.refresh(R.notices(messages(spark, sf, False), cut)[0], None, rules, cut)
+    return derive.refresh(R.notices(messages(spark, sf), cut)[0], first.held, rules, cut)
 
 
 @query(f"WITH {_ALL} SELECT {_COLUMNS} FROM xn")
@@ -103,7 +103,7 @@ def parts_rederive_changes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def meeting_calls(spark: SparkSession, sf: str) -> DataFrame:
     """References to meetings by call, chat and event, each to its calls, newest first; unknown ones stay with nulls."""
-    rows, _ = R.notices(messages(spark, sf))
+    rows, _ = R.notices(messages(spark, sf), cut)
     parts = R.assemble(rows.where("told = 'part'"), rows.where("told = 'notice'"), cut)
     o, k, c = table(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey").cast("string")
     name = lambda letter, column: F.concat(F.lit(letter), column.cast("string"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions.text import scrubbed
 from ..functions.times import micros
-from ..operators import merge
+from ..operators import merge, purge
 from ..sources import mappers
 from ..sources.archive import table
 from .registry import query
@@ -179,3 +180,38 @@ def activity_newest(spark: SparkSession, sf: str) -> DataFrame:
     named = lambda column: F.concat(F.lit("c"), F.col(column).cast("string"))
     conversations = table(spark, sf, "nation").select(named("n_nationkey").alias("id"), F.col("n_name").alias("display_name"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(named("n_regionkey")).alias("team_id"))
     return chat.activity_list(items, messages, people, conversations, 300, ["click", "purchase"], True, ("c9",)).withColumn("at", F.unix_micros("at"))
+
+
+_RECORDS = """SELECT 's' || (o_custkey % 2) AS source, o_orderpriority AS database, CASE WHEN o_custkey % 50 = 0 THEN 'auth' ELSE 'st' || (o_custkey % 5) END AS store,
+    CASE WHEN o_orderkey % 10 = 0 THEN '{"token":"t' || (o_orderkey % 400) || '","n":' || (o_orderkey % 200) || '}' WHEN o_orderkey % 97 = 0 THEN '{"token":"[removed]","n":' || (o_orderkey % 100) || '}' ELSE 'k' || o_orderkey END AS key,
+    CASE WHEN o_orderkey % 3 > 0 THEN 'v' || o_orderkey END AS value, CASE WHEN o_orderkey % 3 > 0 THEN 'h' || o_orderkey ELSE '' END AS content_hash, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey END AS removed_at FROM orders"""
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as raw records; some keys hold tokens, of which some are of one form when scrubbed."""
+    k, text = F.col("o_orderkey"), lambda before, c, end="": F.concat(F.lit(before), c.cast("string"), F.lit(end))
+    key = F.when(k % 10 == 0, F.concat(text('{"token":"t', k % 400), text('","n":', k % 200, "}"))).when(k % 97 == 0, text('{"token":"[removed]","n":', k % 100, "}")).otherwise(text("k", k))
+    return table(spark, sf, "orders").select(
+        text("s", F.col("o_custkey") % 2).alias("source"), F.col("o_orderpriority").alias("database"), F.when(F.col("o_custkey") % 50 == 0, "auth").otherwise(text("st", F.col("o_custkey") % 5)).alias("store"), key.alias("key"),
+        F.when(k % 3 > 0, text("v", k)).alias("value"), F.when(k % 3 > 0, text("h", k)).otherwise("").alias("content_hash"), F.when(k % 7 == 0, k).alias("removed_at"),
+    )
+
+
+@query(
+    f"""WITH r AS ({_RECORDS}), p AS (SELECT *, store = 'auth' AND (value IS NOT NULL OR content_hash <> '') AS purged FROM r)
+    SELECT source, database, store, key, CASE WHEN NOT purged THEN value END AS value, CASE WHEN purged THEN '' ELSE content_hash END AS content_hash, CASE WHEN purged THEN coalesce(removed_at, 5) ELSE removed_at END AS removed_at, purged FROM p"""
+)
+def purge_denied(spark: SparkSession, sf: str) -> DataFrame:
+    """Records after a store's name was put on the list of denied ones."""
+    return purge.denied(_records(spark, sf), F.col("store") == "auth", F.lit(5).cast("long"))
+
+
+@query(
+    f"""WITH r AS ({_RECORDS}), k AS (SELECT *, regexp_replace(key, '"t[0-9]+"', '"[removed]"') AS clean FROM r), c AS (SELECT * FROM k WHERE key = clean),
+    g AS (SELECT source, database, store, clean, min(removed_at) AS removed_at FROM k WHERE key <> clean GROUP BY 1, 2, 3, 4)
+    SELECT source, database, store, key, value, content_hash, removed_at, false AS purged FROM c
+    UNION ALL SELECT source, database, store, clean, NULL, '', coalesce(removed_at, 5), true FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source = g.source AND c.database = g.database AND c.store = g.store AND c.key = g.clean)"""
+)
+def purge_unscrubbed_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Records after keys are scrubbed as well: rows that meet under one key become one."""
+    return purge.unscrubbed_keys(_records(spark, sf), scrubbed, F.lit(5).cast("long"))[0]

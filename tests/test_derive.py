@@ -121,7 +121,7 @@ def test_notices_read(spark):
         spark, ("1", 1, "recording", notice(items=URI)), ("2", 2, "recording", notice(extra='<a href="https://s/?a=1&b=2&amp;c">Play</a>', at="2024-01-01T12:00:00+02:00")), ("3", 3, "recording", notice(at="soon", types="Transcript")), ("4", 4, "recording", notice(status="Failed")),
         ("5", 5, "recording", notice(call="")), ("6", 6, "recording", notice(tail="")), ("7", 7, "recording", "<p>no notice</p>"), ("8", 8, "recording", None), ("9", 9, "recording", "<URIObject><a></URIObject>"), ("10", 10, "recording", notice(status="Failed", call="")),
     )
-    parts, broken = R.read_recordings(messages)
+    parts, broken = R.read_recordings(messages, cut)
     got = {r.message_id: r for r in parts.collect()}
     assert set(got) == {"1", "2", "3"} and {r.message_id for r in broken.collect()} == {"5", "6", "9"}
     one, two, three = got["1"], got["2"], got["3"]
@@ -138,7 +138,7 @@ def test_parts_assembled(spark):
         ("4", 9, "recording", notice(extra=link(2), at="2024-01-04T00:00:00", name="b_20240101-000000.mp4")), ("5", 2, "recording", notice(call="d", types="Recording", extra=link(3))), ("6", 3, "transcript", '{\\"callId\\":\\"d\\"}'), ("7", 4, "transcript", '{"callId":"d"}'),
         ("8", 4, "transcript", '{"callId":"e"}'), ("9", 4, "transcript", '{"callId":"c"}'), ("x", 4, "transcript", "{broken"), ("y", 4, "transcript", None),
     )
-    rows, broken = R.notices(messages)
+    rows, broken = R.notices(messages, cut)
     parts = R.assemble(rows.where("told = 'part'"), rows.where("told = 'notice'"), cut)
     got = [(r.call_id, r.ordinal, r.message_id, r.ref_quality) for r in parts.orderBy("call_id", "ordinal").collect()]
     assert got == [("c", 1, "3", "share_only"), ("c", 2, "4", "share_only"), ("d", 1, "5", "share_only"), ("d", 2, "7", "unresolved"), ("e", 1, "8", "unresolved")]

@@ -109,3 +109,25 @@ def test_links_need_one_address_one_account(spark):
         "m1": ("p1", "address", True, "linked"), "m2": ("p2", "address", False, "kept"), "m3": none, "m4": none, "m5": none, "m6": none, "m7": ("p7", "address", False, "unlinked"), "m8": ("p8", "address", True, "relinked"),
         "m9": ("p0", "config", False, "kept"), "m10": (None, None, False, "refused"), "m11": none, "m0": ("p10", "address", True, "kept"), None: none,
     }
+
+
+def test_purge_clears_once_and_merges_keys(spark):
+    from loamline.functions.text import scrubbed
+    from loamline.operators import purge
+
+    shape = "source string, database string, store string, key string, value string, content_hash string, removed_at long, note string"
+    rows = [
+        ("s", "d", None, '{"token":"a"}', "v", "h", None, "n1"), ("s", "d", None, '{"token":"b"}', "v", "h", 3, "n2"), ("s", "d", "x", '{"token":"a"}', "v", "h", 4, "n3"), ("s", "d", "y", '{"token":"a"}', None, "", None, "n4"), ("s", "d", "y", '{"token":"[removed]"}', "w", "g", None, "n5"),
+        ("s", "d", "y", None, "w", "g", None, "n6"), ("t", None, "auth", "k", "w", "g", 2, "n7"), ("t", None, "auth", "k2", None, None, None, "n8"),
+    ]
+    records = spark.createDataFrame(rows, shape)
+    after, counts = purge.unscrubbed_keys(records, scrubbed, F.lit(9).cast("long"))
+    got = {tuple(r) for r in after.select(*records.columns, "purged").collect()}
+    token = '{"token":"[removed]"}'
+    assert got == {(*r, False) for r in rows[4:]} | {("s", "d", None, token, None, "", 3, None, True), ("s", "d", "x", token, None, "", 4, "n3", True)} and after.count() == 6
+    assert [tuple(r) for r in counts.collect()] == [("s", 4)]
+    assert purge.unscrubbed_keys(after.drop("purged"), scrubbed, F.lit(9).cast("long"))[1].count() == 0
+    first = purge.denied(records, F.col("store") == "auth", F.lit(9).cast("long"))
+    assert {(r.note, r.value, r.content_hash, r.removed_at) for r in first.where("purged").collect()} == {("n7", None, "", 2)}
+    assert purge.denied(first.drop("purged"), F.col("store") == "auth", F.lit(9).cast("long")).where("purged").count() == 0
+    assert purge.denied(records.limit(0), F.col("store") == "auth", F.lit(9).cast("long")).count() == 0
