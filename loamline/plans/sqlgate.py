@@ -91,6 +91,7 @@ def guarded(spark: SparkSession, folder: str, statement: str, names: list[str],
         raise ReadOnlyError(f"not one statement: {str(e).splitlines()[0]}") from e
     _refuse(plan, {n.lower() for n in names})
     own = spark.newSession()
+    own.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a recursion's rows are all returned; its depth stays bound by cteRecursionLevelLimit
     for name in names:
         table(own, folder, name).createOrReplaceTempView(name)
     df = own.sql(statement.strip().rstrip(";"))

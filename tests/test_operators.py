@@ -231,3 +231,8 @@ def test_a_fingerprint_ignores_order_and_sees_change(spark):
     f = lambda rows: mappers.fingerprint(spark.createDataFrame(rows, "s string, name string, size long"), ["s"], F.col("name"), F.col("size")).first()["fingerprint"]
     assert f([("a", "x", 1), ("a", "y", 2)]) == f([("a", "y", 2), ("a", "x", 1)]) != f([("a", "x", 1), ("a", "y", 3)])
     assert f([("a", "x", 1)]) != f([("a", "x", 1), ("a", "x", 1)])
+
+
+def test_recursion_returns_all_rows(spark, small):
+    text = "WITH RECURSIVE w AS (SELECT id FROM range(600000) UNION ALL SELECT id + 600000 FROM w WHERE id < 600000) SELECT count(*) AS n, max(id) AS last FROM w"
+    assert tuple(guarded(spark, small, text, ["region"]).first()) == (1_200_000, 1_199_999)
