@@ -26,6 +26,7 @@ from ..functions.text import content_hash
 from ..sources import archive
 from . import merge
 
+#: heads, refs and people; row and hash are digests of 96 bits, since they are what memory mostly holds.
 HEADS = "record string, digest string, contended boolean"
 REFS = "record string, row string, hash string"
 PEOPLE = "record string, id string, name string, at long"
@@ -44,7 +45,10 @@ class Mapped:
 
 @dataclass(frozen=True)
 class Memory:
-    """heads: one row a record; refs: the rows it made, with their hashes; people: its sightings."""
+    """heads: one row a record; refs: the rows that it alone made, with their hashes; people: its sightings.
+
+    Only records with a head that isn't contended are ever skipped, so what refs and people say of others is never read.
+    """
 
     heads: DataFrame
     refs: DataFrame
@@ -99,33 +103,36 @@ class Source:
     signature: str = "1"
 
     def row(self) -> Column:
-        return content_hash(*(F.col(k) for k in self.keys))
+        return _short(content_hash(*(F.col(k) for k in self.keys)))
+
+    def hash(self) -> Column:
+        """Of a stored row: it covers the keys and all that an upsert looks at."""
+        return _short(content_hash(*(F.col(c) for c in (*self.keys, self.version, self.deleted, *self.content))))
+
 
-    def held(self, rows: DataFrame) -> DataFrame:
-        """row and hash of stored rows: the hash covers all that an upsert looks at."""
-        return rows.select(self.row().alias("row"), content_hash(*(F.col(c) for c in (self.version, self.deleted, *self.content))).alias("hash"))
+def _short(digest: Column) -> Column:
+    """96 bits of a digest as 16 letters."""
+    return F.base64(F.unhex(F.substring(digest, 1, 24)))
 
 
 def unchanged(records: DataFrame, memory: Memory, stored: DataFrame, source: Source) -> DataFrame:
     """record of those that may be skipped: known bytes, no contended row, and every row as the record left it."""
     same = records.join(memory.heads.where(~F.col("contended")).select("record", "digest"), ["record", "digest"], "left_semi").select("record")
-    moved = memory.refs.join(source.held(stored), ["row", "hash"], "left_anti").select("record").distinct()
+    moved = memory.refs.select("record", "hash").join(stored.select(source.hash().alias("hash")), "hash", "left_anti").select("record").distinct()
     return same.join(moved, "record", "left_anti")
 
 
-def _owners(rows: DataFrame) -> DataFrame:
-    """row, the one record that made it (null where several did): an aggregate, so a row that a third of all records make is no group anywhere."""
-    return rows.groupBy("row").agg(F.when(F.min("record") == F.max("record"), F.min("record")).alias("record"))
-
-
-def remembered(made: DataFrame, vouched: DataFrame, merged: DataFrame, read: DataFrame, people: DataFrame, source: Source) -> Memory:
-    """The memory of records read in full. made and vouched: (record, row) of the rows that these and the skipped ones made; read: record and digest of the cleanly mapped."""
-    made = made.distinct()
-    alone = _owners(made.unionByName(vouched)).where("record IS NOT NULL")
-    counts = made.groupBy("record").agg(F.count("*").alias("n")).join(alone.groupBy("record").agg(F.count("*").alias("own")), "record", "left")
-    heads = read.join(counts, "record", "left").select("record", "digest", (F.coalesce("n", F.lit(0)) != F.coalesce("own", F.lit(0))).alias("contended"))
-    refs = alone.join(heads.where(~F.col("contended")).select("record"), "record", "left_semi").join(source.held(merged), "row").select("record", "row", "hash")
-    return Memory(heads, refs, people.select("record", "id", "name", "at").join(heads.select("record"), "record", "left_semi"))
+def remembered(made: DataFrame, vouched: DataFrame | None, merged: DataFrame, read: DataFrame, people: DataFrame, source: Source) -> Memory:
+    """The memory of records read in full. made: record and keys of the rows that these made; vouched: (record, row) of the rows of skipped ones, None where none was; merged: rows with the
+    least and greatest record that made each (`_low`, `_high`), so a row that a third of all records make is no group anywhere; read: record and digest of the cleanly mapped.
+    """
+    rows = merged.where("_low IS NOT NULL").select(*source.keys, source.row().alias("row"), F.col("_low").alias("record"), (F.col("_low") != F.col("_high")).alias("shared"), source.hash().alias("hash"))
+    if vouched is not None:
+        rows = rows.join(vouched.select("row").distinct().withColumn("_other", F.lit(True)), "row", "left").withColumn("shared", F.col("shared") | F.col("_other").isNotNull())
+    key = F.xxhash64(source.row()).alias("key")  # two rows with one key make a record contended that is not: it is read, no more
+    contended = made.select("record", key).join(rows.where("shared").select(key), "key", "left_semi").select("record").distinct().withColumn("_contended", F.lit(True))
+    heads = read.join(contended, "record", "left").select("record", "digest", F.col("_contended").isNotNull().alias("contended"))
+    return Memory(heads, rows.where("NOT shared").select("record", "row", "hash"), people.select("record", "id", "name", "at"))
 
 
 def sync(records: DataFrame, memory: Memory, stored: DataFrame, source: Source, cut: Callable[[DataFrame, str], DataFrame], full: bool = False, complete: bool = True) -> Sync:
@@ -134,31 +141,41 @@ def sync(records: DataFrame, memory: Memory, stored: DataFrame, source: Source,
     cut(df, name) writes an intermediate table and reads it again. full reads everything but remembers all the same. A read that is not complete forgets no record it didn't meet; a complete one does, but the rows stay.
     """
     shape = [*source.keys, source.version, source.deleted, *source.content]
-    now = cut(records.select("record", F.sha2(F.concat_ws("\0", F.lit(source.signature), F.coalesce("body", F.lit(""))), 256).alias("digest"), "body"), "records")
+    digest = _short(F.sha2(F.concat_ws("\0", F.lit(source.signature), F.coalesce("body", F.lit(""))), 256))
+    now = cut(records.select("record", digest.alias("digest"), "body"), "records")
     heads = now.select("record", "digest")
-    skipped = cut(heads.select("record").limit(0) if full else unchanged(heads, memory, stored, source), "skipped")
+    none = memory.heads.isEmpty()
+    skipped = cut(heads.select("record").limit(0) if full or none else unchanged(heads, memory, stored, source), "skipped")
     for left in range(PASSES, -1, -1):
-        fresh = now.join(skipped, "record", "left_anti")
+        some = not skipped.isEmpty()  # nothing meets an empty table
+        fresh = now.join(skipped, "record", "left_anti") if some else now
         mapped = source.mapper(fresh.select("record", "body"))
-        rows = cut(mapped.rows.withColumn("row", source.row()), "mapped")
-        folded = merge.fold_statements(rows, source.keys, source.version, source.arrival, source.deleted, source.content)
-        merged = cut(merge.upsert(stored.select(*shape), folded, source.keys, source.version, source.deleted, source.content), "merged")
-        vouched = memory.refs.join(skipped, "record", "left_semi")
-        changed = merge.change_feed(merged).select(source.row().alias("row"))
-        clash = vouched.join(changed, "row", "left_semi").select("record").distinct()
-        if clash.isEmpty():
+        rows = cut(mapped.rows, "mapped")
+        folded = merge.fold_statements(rows, source.keys, source.version, source.arrival, source.deleted, source.content, {"_low": F.min("record"), "_high": F.max("record")})
+        merged = cut(merge.upsert(stored.select(*shape), folded, source.keys, source.version, source.deleted, source.content, ["_low", "_high"]), "merged")
+        vouched = memory.refs.select("record", "row").join(skipped, "record", "left_semi") if some else None
+        if vouched is None:
+            replayed = 0
+            break
+        changed = F.col("change").isin("new", "edited", "deleted").alias("_changed")
+        met = vouched.join(merged.where("change <> 'kept'").select(source.row().alias("row"), changed), "row", "left")  # every row of this read is there
+        replayed, clashes = met.agg(F.count_if(F.col("_changed").isNull()), F.count_if("_changed")).first()
+        if not clashes:
             break
+        clash = met.where("_changed").select("record").distinct()
         skipped = cut(skipped.join(clash, "record", "left_anti") if left > 1 else skipped.limit(0), "skipped")
     failed = mapped.failed.select("record", "code")
     people = mapped.people.select("record", "id", "name", "at")
     clean = fresh.select("record", "digest").join(failed, "record", "left_anti")
-    new = remembered(rows.select("record", "row"), vouched.select("record", "row"), merged, clean, people, source)
+    new = remembered(rows.select("record", *source.keys), vouched, merged, clean, people, source)
     kept = memory.heads.join(clean, "record", "left_anti").join(failed, "record", "left_anti")
     kept = kept.join(heads.select("record"), "record", "left_semi") if complete else kept
     kept = kept.select("record", "digest", "contended")
     old = [d.join(kept.select("record"), "record", "left_semi") for d in (memory.refs, memory.people)]
-    after = Memory(kept.unionByName(new.heads), old[0].unionByName(new.refs), old[1].unionByName(new.people))
-    replayed = vouched.select("row").join(rows.select("row"), "row", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unchanged").alias("change"), "n")
-    counts = merged.where("change <> 'kept'").groupBy("change").agg(F.count("*").alias("n")).unionByName(replayed).groupBy("change").agg(F.sum("n").alias("n")).where("n > 0")
-    seen = people.unionByName(memory.people.join(skipped, "record", "left_semi"))
-    return Sync(merged, merge.people(seen, ["id"], "at", "name"), counts, after, skipped, failed)
+    after = new if none else Memory(kept.unionByName(new.heads), old[0].unionByName(new.refs), old[1].unionByName(new.people))
+    counts = merged.where("change <> 'kept'").groupBy("change").agg(F.count("*").alias("n"))
+    if replayed:
+        seen = now.sparkSession.range(1).select(F.lit("unchanged").alias("change"), F.lit(replayed).cast("long").alias("n"))
+        counts = counts.unionByName(seen).groupBy("change").agg(F.sum("n").alias("n"))
+    sightings = people.unionByName(memory.people.join(skipped, "record", "left_semi").select(people.columns)) if some else people
+    return Sync(merged.drop("_low", "_high"), merge.people(sightings, ["id"], "at", "name"), counts, after, skipped, failed)

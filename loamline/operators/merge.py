@@ -8,29 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 
 
-def fold_statements(statements: DataFrame, keys: list[str], version: str, arrival: str, deleted: str, content: list[str]) -> DataFrame:
+def fold_statements(statements: DataFrame, keys: list[str], version: str, arrival: str, deleted: str, content: list[str], more: dict[str, Column] | None = None) -> DataFrame:
     """The state that statements leave behind when they are applied in order of arrival.
 
     Only statements of the greatest version count: the last arrived of them gives the content, the last of them that has a
     tombstone gives the tombstone (an older or equal version never lifts it). Associative, so it runs with partial aggregation.
+    more: further aggregates of all statements.
     """
     top = F.struct(F.col(version), F.col(arrival))
     state = statements.groupBy(*keys).agg(
         F.max(version).alias(version),
         F.max_by(F.struct(*content), top).alias("_content"),
         F.max(F.when(F.col(deleted).isNotNull(), F.struct(F.col(version), F.col(arrival), F.col(deleted)))).alias("_dead"),
+        *(c.alias(n) for n, c in (more or {}).items()),
     )
     dead = F.when(F.col(f"_dead.{version}") == F.col(version), F.col(f"_dead.{deleted}"))
-    return state.select(*keys, version, dead.alias(deleted), *(F.col(f"_content.{c}").alias(c) for c in content))
+    return state.select(*keys, version, dead.alias(deleted), *(F.col(f"_content.{c}").alias(c) for c in content), *(more or {}))
 
 
-def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], version: str, deleted: str, content: list[str]) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], version: str, deleted: str, content: list[str], told: list[str] | None = None) -> DataFrame:
     """The merged rows with `change`: new, edited, deleted, unchanged or kept (not in the batch). The batch has one row a key.
 
     An older version is ignored; an equal one needs other content; a stored tombstone stays unless a strictly newer version lacks it.
+    told: columns that only the batch has; they are kept, null where it has no row.
     """
     old = stored.select(*keys, *(F.col(c).alias(f"_o_{c}") for c in (version, deleted, *content)), F.lit(True).alias("_old"))
-    new = batch.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in (version, deleted, *content)), F.lit(True).alias("_new"))
+    new = batch.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in (version, deleted, *content)), F.lit(True).alias("_new"), *(told or []))
     both = old.join(new, keys, "full")
     sticky = F.col("_old") & F.col(f"_o_{deleted}").isNotNull() & F.col(f"_n_{deleted}").isNull() & (F.col(f"_n_{version}") <= F.col(f"_o_{version}"))
     both = both.withColumn(f"_n_{deleted}", F.when(sticky, F.col(f"_o_{deleted}")).otherwise(F.col(f"_n_{deleted}")))
@@ -44,7 +47,7 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], version: str, d
     )
     both = both.withColumn("change", change)
     takes = F.col("change").isin("new", "edited", "deleted")
-    return both.select(*keys, *(F.when(takes, F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in (version, deleted, *content)), "change")
+    return both.select(*keys, *(F.when(takes, F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in (version, deleted, *content)), *(told or []), "change")
 
 
 def change_feed(merged: DataFrame) -> DataFrame:

@@ -115,3 +115,10 @@ def test_memory_is_kept(spark, tmp_path):
     partly = memory.sync(rows.where("record = 'b'"), back, first.rows, SOURCE, cut, complete=False)
     assert partly.memory.heads.count() == 2
     assert memory.sync(rows.where("record = 'b'"), back, first.rows, SOURCE, cut).memory.heads.count() == 1
+
+
+def test_a_first_sync_is_remembered_without_moving_rows(spark):
+    rows = spark.createDataFrame([(str(r), body(random.Random(r), r, 0.3)) for r in range(9)], "record string, body string")
+    first = memory.sync(rows, memory.Memory.empty(spark), spark.createDataFrame([], STORED), SOURCE, cut)
+    assert "Exchange" not in first.memory.refs._jdf.queryExecution().executedPlan().toString()
+    assert all(len(r.row) == len(r.hash) == 16 for r in first.memory.refs.collect())
