@@ -1,7 +1,7 @@
 """Derived tables that know what they were made from: only groups whose inputs changed are built again.
 
-A derivation turns the input rows of a group (the rows with equal keys) into derived rows that carry the keys. The held table has one row a derived row: `group` (digest of the keys), `stamp` (digest of all input rows of
-the group, in whatever order), `mapper` (version of the rules) and `row`; a group without derived rows has one row whose `row` is null. Rows and stamps are one table, so they are committed together,
+A derivation turns the input rows of a group (the rows with equal keys) into derived rows that carry the keys. The held table has one row a derived row, with `group` (digest of the keys), `mapper` (version of the rules) and `row`, and one row a group whose `row` is null, with its `stamp` (digest of all
+input rows of the group, in whatever order); where older programs gave every row the stamp, it is read as well. Rows and stamps are one table, so they are committed together,
 and a refresh from older inputs that commits last is found out by the next one. A group is built again when its stamp or the rules are new; it goes when its inputs are gone.
 
 Stamps are sums, so a group with most of the rows combines in each task. Input rows meet the changed groups in a semi-join whose hot side Spark may split.
@@ -12,12 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
 from ..sources import archive
-from ..sources.mappers import fingerprint
 
 
 @dataclass(frozen=True)
@@ -44,31 +43,38 @@ class NewerRules(ValueError):
     """The table was made by newer rules than these."""
 
 
-def _group(d: Derivation):
-    return content_hash(*(F.col(k) for k in d.keys)).alias("group")
+def _short(digest: Column) -> Column:
+    """128 bits of a digest as 24 letters: digests are most of what a refresh moves."""
+    return F.base64(F.unhex(F.substring(digest, 1, 32)))
+
+
+def _group(d: Derivation) -> Column:
+    return _short(content_hash(*(F.col(k) for k in d.keys))).alias("group")
 
 
 def stamps(inputs: DataFrame, d: Derivation) -> DataFrame:
     """group and stamp of the input rows; repeated rows count, their order does not. Null keys are a group like others."""
     rows = inputs.select(_group(d), content_hash(*(F.col(c) for c in d.inputs)).alias("_row"))
-    return fingerprint(rows, ["group"], F.col("_row")).select("group", F.col("fingerprint").alias("stamp"))
+    parts = [F.sum(F.conv(F.substring("_row", 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"_{i}") for i in range(6)]  # 192 bits, in numbers that no sum of rows overflows
+    sums = rows.groupBy("group").agg(*parts, F.count("*").alias("_n"))
+    return sums.select("group", _short(content_hash(*(F.col(f"_{i}") for i in range(6)), F.col("_n"))).alias("stamp"))
 
 
 def moved(now: DataFrame, held: DataFrame, d: Derivation) -> DataFrame:
     """group and stamp of the groups that are new, changed, made by older rules, or gone (no stamp). Only group, stamp and mapper of the held table are read."""
-    known = held.groupBy("group").agg(F.min("stamp").alias("low"), F.max("stamp").alias("high"), F.min("mapper").alias("rules"))
+    known = held.where("stamp IS NOT NULL").groupBy("group").agg(F.min("stamp").alias("low"), F.max("stamp").alias("high"), F.min("mapper").alias("rules"))
     same = F.coalesce((F.col("low") == F.col("stamp")) & (F.col("high") == F.col("stamp")) & (F.col("rules") == d.mapper), F.lit(False))
     return now.join(known, "group", "full").where(~same).select("group", "stamp")
 
 
-def built(inputs: DataFrame, changed: DataFrame, d: Derivation) -> DataFrame:
-    """The held form of the changed groups that still have inputs."""
+def built(inputs: DataFrame, changed: DataFrame, d: Derivation, whole: bool = False) -> DataFrame:
+    """The held form of the changed groups that still have inputs. whole: that is every group, so no input row is asked whether it belongs to one."""
     fresh = changed.where("stamp IS NOT NULL")
-    own = inputs.select(_group(d), *d.inputs).join(fresh.select("group"), "group", "left_semi").drop("group")
+    own = inputs.select(*d.inputs) if whole else inputs.select(_group(d), *d.inputs).join(fresh.select("group"), "group", "left_semi").drop("group")
     made = d.build(own)
-    rows = made.select(_group(d), F.struct(*made.columns).alias("row")).join(fresh, "group")
-    empty = fresh.join(rows.select("group").distinct(), "group", "left_anti").withColumn("row", F.lit(None).cast(rows.schema["row"].dataType))
-    return rows.unionByName(empty).select("group", "stamp", F.lit(d.mapper).alias("mapper"), "row")
+    rows = made.select(_group(d), F.lit(None).cast("string").alias("stamp"), F.struct(*made.columns).alias("row"))
+    heads = fresh.select("group", "stamp", F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    return rows.unionByName(heads).select("group", "stamp", F.lit(d.mapper).alias("mapper"), "row")
 
 
 def _check(held: DataFrame, d: Derivation) -> None:
@@ -83,7 +89,7 @@ def _rows(held: DataFrame) -> DataFrame:
 
 def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a of which b has none that is equal."""
-    digest = lambda df: df.where("row IS NOT NULL").select(F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256).alias("_d"), "row")
+    digest = lambda df: df.where("row IS NOT NULL").select(_short(F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)).alias("_d"), "row")
     return digest(a).join(digest(b).select("_d").distinct(), "_d", "left_anti").select("row.*")
 
 
@@ -92,7 +98,7 @@ def refresh(inputs: DataFrame, held: DataFrame | None, d: Derivation, cut: Calla
     now = stamps(inputs, d)
     if held is None:
         first = cut(now, "moved")
-        new = cut(built(inputs, first, d), "derived")
+        new = cut(built(inputs, first, d, True), "derived")
         return Refreshed(new, first, _rows(new), _rows(new).limit(0))
     _check(held, d)
     changed = cut(moved(now, held, d), "moved")
@@ -118,7 +124,7 @@ def publish(inputs: DataFrame, root: str, name: str, d: Derivation, cut: Callabl
     parts = [r[0] for r in changed.select(archive.part_of(["group"])).distinct().collect()]  # at most PARTS
     if not parts:
         return None
-    new = cut(built(inputs, changed, d), "derived")
+    new = cut(built(inputs, changed, d, held is None), "derived")
 
     def merged(stored: DataFrame | None) -> DataFrame:
         return new if stored is None else stored.join(changed.select("group"), "group", "left_anti").unionByName(new)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .derive import Derivation
@@ -20,6 +20,8 @@ TRANSCRIPT_URI = r"^https://([^/]+)(/(?:teams|sites|personal)/[^/]+)/_api/v2\.1/
 STAMP = r"(\d{8})[_-](\d{6})"
 TRANSCRIBED_ONLY = "10001"
 
+#: A call with more notices than SMALL_CALL, and more than one in HOT_PARTS of all, is numbered by slices.
+SMALL_CALL, HOT_PARTS = 100_000, 1024
 CALL = ["account_id", "call_id"]
 PART = [
     *CALL, "part_key", "thread_id", "message_id", "sent_at", "starts_at", "duration_seconds", "content_types", "chunk_index", "transcribe_only", "host", "site_root", "storage_kind", "drive_id", "item_id", "transcript_id", "share_url", "ref_quality", "meeting_ical_uid", "original_name",
@@ -88,17 +90,38 @@ def assemble(parts: DataFrame, notices: DataFrame, cut: Callable[[DataFrame, str
 
     A call that only transcript notices tell of, or of which no part has a transcript, gets one more part of quality 'unresolved' after the others. An unknown start comes first.
     """
-    rest = ["sent_at", "message_id", *(c for c in PART if c not in (*CALL, "part_key", "sent_at", "message_id"))]
-    newest = F.max(F.struct(*rest))  # all columns decide: one message with two contents has one result
-    latest = parts.groupBy(*CALL, "part_key").agg(newest.alias("p")).select(*CALL, "part_key", "p.*").select(*PART)
-    told = notices.groupBy(*CALL).agg(F.max(F.struct("sent_at", "thread_id", "message_id")).alias("m")).select(*CALL, "m.*")
-    heard = latest.where("contains(content_types, 'Transcript')").select(*CALL).distinct()
+    rest = ["sent_at", "_tie", "message_id", *(c for c in PART if c not in (*CALL, "part_key", "sent_at", "message_id"))]
+    told = notices.select(*CALL, "sent_at", "thread_id", "message_id", *(F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in PART if c not in (*CALL, "sent_at", "thread_id", "message_id")))
+    rows = parts.select(*PART, F.lit("").alias("_tie"), F.lit(False).alias("_told")).unionByName(told.select(*PART, F.col("thread_id").alias("_tie"), F.lit(True).alias("_told")))
+
+    def latest(df: DataFrame) -> DataFrame:
+        newest = F.max(F.struct(*rest))  # all columns decide: one message with two contents has one result
+        return df.groupBy(*CALL, "part_key", "_told").agg(newest.alias("p")).select(*CALL, "part_key", "_told", *(F.col(f"p.{c}").alias(c) for c in rest))
+
+    heard = F.coalesce(F.contains("content_types", F.lit("Transcript")), F.lit(False))
     blank = {c: F.lit("") for c in PART if c not in (*CALL, "thread_id", "message_id", "sent_at")}
     blank |= {"part_key": F.concat(F.lit("call:"), "call_id"), "starts_at": F.lit(None).cast("long"), "duration_seconds": F.lit(0.0), "content_types": F.lit("Transcript"), "transcribe_only": F.lit(False), "ref_quality": F.lit("unresolved")}
-    missing = told.join(heard, CALL, "left_anti").withColumns(blank).select(*PART)
+    filled = [(F.when(F.col("_told"), blank[c]).otherwise(F.col(c)) if c in blank else F.col(c)).alias(c) for c in PART]
     stamp = F.concat(F.regexp_extract("original_name", STAMP, 1), F.regexp_extract("original_name", STAMP, 2))
     order = [F.col("ref_quality") == "unresolved", F.col("starts_at"), stamp, F.col("sent_at"), F.col("message_id"), F.col("part_key")]
-    return numbered(latest.unionByName(missing), CALL, order, cut, "ordinal")
+    call = Window.partitionBy(*CALL)
+
+    counts = rows.groupBy(*CALL).agg(F.count("*").alias("_n"))
+    total, top = counts.agg(F.sum("_n"), F.max("_n")).first()
+    most = max(SMALL_CALL, (total or 0) // HOT_PARTS)
+    some = (top or 0) > most
+    hot = cut(counts.where(F.col("_n") > most).select(*CALL), "hot-calls") if some else None  # at most HOT_PARTS
+    same = lambda df, how: df.join(F.broadcast(hot), CALL, how)
+    cold = same(rows, "left_anti") if some else rows
+    # a call's rows meet once: what follows is dealt by call as well
+    cold = latest(cold.repartition(*CALL)).withColumn("_heard", F.max(~F.col("_told") & heard).over(call)).where("NOT (_told AND _heard)")
+    out = cold.select(*filled).withColumn("ordinal", F.row_number().over(call.orderBy(*order)).cast("long"))
+    if not some:
+        return out
+    large = latest(same(rows, "left_semi"))
+    known = large.where(~F.col("_told") & heard).select(*CALL).distinct()
+    large = large.where("NOT _told").unionByName(large.where("_told").join(known, CALL, "left_anti")).select(*filled)
+    return out.unionByName(numbered(large, CALL, order, cut, "ordinal"))
 
 
 def notices(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -155,3 +155,18 @@ def test_references_fall_through(spark):
     got = sorted((tuple(r) for r in R.resolve(refs, parts, events, cut).collect()), key=repr)
     want = [("c1", "call", "c1", 1), ("t1", "thread", "c1", 1), ("t1", "thread", "c2", 2), ("t2", "call", "t2", 1), ("e1", "event", "c2", 1), ("e2", None, None, None), ("nobody", None, None, None), ("", None, None, None), (None, None, None, None)]
     assert got == sorted(want, key=repr)
+
+
+def test_a_stamp_stands_once_a_group(spark):
+    now = spark.createDataFrame([("a", 2, None), ("b", 1, None), ("b", 2, None)], SHAPE)
+    held = derive.refresh(now, None, derive.Derivation(["k"], ["k", "item", "size"], sums), cut).held.collect()
+    assert sorted((r.stamp is None, r.row is None) for r in held) == [(False, True)] * 2 + [(True, False)] * 2 and {len(r.group) for r in held} == {24}
+
+
+def test_hot_calls_are_assembled_alike(spark, monkeypatch):
+    messages = said(spark, *((str(i), i, "recording", notice(call="c" if i < 6 else f"d{i}", types="Recording", at=f"2024-01-0{9 - i}T00:00:00")) for i in range(8)), ("n", 4, "transcript", '{"callId":"c"}'), ("m", 4, "transcript", '{"callId":"d7"}'))
+    rows = cut(R.notices(messages, cut)[0], "rows")
+    made = lambda: plain(R.assemble(rows.where("told = 'part'"), rows.where("told = 'notice'"), cut))
+    once = made()
+    monkeypatch.setattr(R, "SMALL_CALL", 3)
+    assert made() == once and len(once) == 10
