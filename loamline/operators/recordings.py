@@ -19,6 +19,17 @@ NOTICE = "a struct<_href: string>, OriginalName struct<_v: string>, Identifiers
 TRANSCRIPT_URI = r"^https://([^/]+)(/(?:teams|sites|personal)/[^/]+)/_api/v2\.1/drives/([^/]+)/items/([^/]+)/versions/current/media/transcripts/([^/]+)/content$"
 STAMP = r"(\d{8})[_-](\d{6})"
 TRANSCRIBED_ONLY = "10001"
+#: Markup of the usual form (elements in this order, no character or surrounding space that XML would change) is taken apart by one match; all other markup is left to the XML reader. One group a field of PLAIN_FIELDS.
+_OTHER = r'[^"<&' + "".join(f"\\x{i:02X}" for i in (*range(32), 127)) + "]*+"  # single characters: a range would be looked up apart
+_VALUE = f"(?! ){_OTHER}(?:&(?:amp|lt|gt|quot|apos);{_OTHER})*+(?<! )"
+PLAIN_FIELDS = ("a._href", "OriginalName._v", "callId", "chunkIndex", "RecordingStatus._status", "RecordingContent._contentTypes", "RecordingContent._timestamp", "RecordingContent._duration", "onedriveForBusinessTranscript", "onedriveForBusinessVideo", "RecordingStorage._type", "MeetingICalUid._value")
+PLAIN = (
+    r'^<URIObject(?: type="@")?>(?:<a href="(@)">#</a>)?(?:<OriginalName v="(@)"/>)?'
+    r'(?:<Identifiers>(?:<Id type="(?:callId" value="(@)|chunkIndex" value="(@)|(?!callId"|chunkIndex")@" value="@)"/>){1,20}+</Identifiers>)?(?:<RecordingStatus status="(@)"/>)?'
+    r'(?:<RecordingContent contentTypes="(@)" timestamp="(@)" duration="(@)">(?:<item type="(?:onedriveForBusinessTranscript" uri="(@)|onedriveForBusinessVideo" uri="(@)|(?!onedriveForBusiness(?:Transcript|Video)")@" uri="@)"/>){0,20}+</RecordingContent>)?'
+    r'(?:<RecordingStorage type="(@)"/>)?(?:<MeetingICalUid value="(@)"/>)?</URIObject\s*+>$'
+).replace("@", _VALUE).replace("#", _OTHER.replace('"', ">"))
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 #: A call with more notices than SMALL_CALL, and more than one in HOT_PARTS of all, is numbered by slices.
 SMALL_CALL, HOT_PARTS = 100_000, 1024
@@ -44,24 +55,40 @@ def _seconds(clock: Column) -> Column:
     return F.when(clock.rlike(r"^\d+:\d+:\d+(\.\d*)?$"), part(1) * 3600 + part(2) * 60 + part(3)).otherwise(0.0)
 
 
+def _unescaped(value: Column) -> Column:
+    clean = value
+    for entity, char in _ENTITIES.items():
+        clean = F.replace(clean, F.lit(entity), F.lit(char))
+    return F.when(F.contains(value, F.lit("&")), clean).otherwise(value)
+
+
 def read_recordings(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The parts that successful recording notices name (columns PART), and account_id and message_id of notices that cannot be read or name no call.
 
-    Messages without a notice and notices of another status make neither. A part is known by its drive item, else by its link, else by its message. Markup is parsed once: filters on what it
-    says meet the written fields.
+    Messages without a notice and notices of another status make neither. A part is known by its drive item, else by its link, else by its message. Markup is taken apart once, by PLAIN or else by the
+    XML reader: filters on what it says meet the written fields.
     """
     markup = F.regexp_extract("content", r"(?s)<URIObject.*?</URIObject\s*>", 0)
-    plain = F.regexp_replace(markup, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+    plain = F.regexp_replace("_markup", r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
     rows = messages.where("kind = 'recording' AND contains(content, '<URIObject')")
-    read = rows.select("account_id", "thread_id", "message_id", "sent_at", F.from_xml(plain, f"{NOTICE}, _bad string", {"attributePrefix": "_", "columnNameOfCorruptRecord": "_bad"}).alias("n"), markup.alias("_markup"))
-    text = lambda field: F.coalesce(F.col(f"n.{field}"), F.lit(""))
+    own = ["account_id", "thread_id", "message_id", "sent_at"]
+    read = rows.select(*own, markup.alias("_markup"))
+    clean = ~(F.contains("_markup", F.lit("\uFFFE")) | F.contains("_markup", F.lit("\uFFFF")))
+    read = read.withColumn("_taken", F.split(F.regexp_replace(F.when(clean, F.col("_markup")).otherwise(""), PLAIN, "".join(f"\x01${i}" for i in range(1, len(PLAIN_FIELDS) + 1))), "\x01", -1))
+    quick = (F.size("_taken") > 1) & (F.col("_taken")[0] == "")  # markup that does not match stays as it is and begins with <; the mark stands in none that does
+    told = F.from_xml(plain, f"{NOTICE}, _bad string", {"attributePrefix": "_", "columnNameOfCorruptRecord": "_bad"})
+    read = read.select(*own, "_markup", "_taken", F.when(~quick & (F.col("_markup") != ""), told).alias("n"))
+    either = lambda field, slow: F.when(quick, _unescaped(F.col("_taken")[PLAIN_FIELDS.index(field) + 1])).otherwise(slow)
+    text = lambda field: either(field, F.coalesce(F.col(f"n.{field}"), F.lit("")))
+    identifier = lambda name: either(name, _named(F.col("n.Identifiers.Id"), name, "_value"))
+    item = lambda name: either(name, _named(F.col("n.RecordingContent.item"), name, "_uri"))
     fine = (F.col("_markup") != "") & F.col("n._bad").isNull()
     done = text("RecordingStatus._status") == "Success"
-    read = read.withColumns({"call_id": _named(F.col("n.Identifiers.Id"), "callId", "_value"), "_ok": fine})
+    read = read.withColumns({"call_id": identifier("callId"), "_ok": fine})
     told = F.when(~F.col("_ok") | (done & (F.col("call_id") == "")), "broken").when(done, "part")
-    uri = _named(F.col("n.RecordingContent.item"), "onedriveForBusinessTranscript", "_uri")
-    chunk, types = _named(F.col("n.Identifiers.Id"), "chunkIndex", "_value"), text("RecordingContent._contentTypes")
-    share = F.coalesce(F.nullif(text("a._href"), F.lit("")), _named(F.col("n.RecordingContent.item"), "onedriveForBusinessVideo", "_uri"))
+    uri = item("onedriveForBusinessTranscript")
+    chunk, types = identifier("chunkIndex"), text("RecordingContent._contentTypes")
+    share = F.coalesce(F.nullif(text("a._href"), F.lit("")), item("onedriveForBusinessVideo"))
     fields = {name: F.regexp_extract("_uri", TRANSCRIPT_URI, i) for i, name in enumerate(("host", "site_root", "drive_id", "item_id", "transcript_id"), 1)}
     parts = (
         read.withColumns({"told": told, "_uri": uri, "share_url": share, "content_types": types, "chunk_index": chunk})
@@ -154,13 +181,13 @@ def resolve(references: DataFrame, parts: DataFrame, occurrences: DataFrame, cut
     at = F.max(F.coalesce("starts_at", "sent_at")).alias("at")
     held = cut(parts.groupBy("call_id", "thread_id").agg(at), "calls")
     events = occurrences.select("event_key", "thread_id", "call_id").distinct().join(held, ["thread_id", "call_id"])
-    left, found = references.select("ref").distinct(), []
-    for kind, rows, key in (("call", held, "call_id"), ("thread", held, "thread_id"), ("event", events, "event_key")):
-        hit = rows.withColumn("ref", F.col(key)).where("ref <> ''").join(left, "ref").groupBy("ref", "call_id").agg(F.max("at").alias("at"))
-        hit = cut(hit.select("ref", F.lit(kind).alias("kind"), "call_id", "at"), f"by-{kind}")
-        left = left.join(hit.select("ref").distinct(), "ref", "left_anti")
-        found.append(hit)
-    hits = found[0].unionByName(found[1]).unionByName(found[2])
+    asked, kinds = references.select("ref").distinct(), ("call", "thread", "event")
+    keyed = [rows.select(F.col(key).alias("ref"), F.lit(i).alias("_kind"), "call_id", "at") for i, (rows, key) in enumerate(((held, "call_id"), (held, "thread_id"), (events, "event_key")))]
+    met = keyed[0].unionByName(keyed[1]).unionByName(keyed[2]).where("ref <> ''").join(asked, "ref")
+    met = cut(met.groupBy("ref", "_kind", "call_id").agg(F.max("at").alias("at")), "met")
+    first = met.groupBy("ref").agg(F.min("_kind").alias("_kind"))  # what a reference means is the first kind that has it
+    hits = met.join(first, ["ref", "_kind"]).withColumn("kind", F.array(*(F.lit(k) for k in kinds))[F.col("_kind")]).drop("_kind")
+    left = asked.join(first, "ref", "left_anti")
     ranked = numbered(hits, ["ref"], [F.col("at").desc(), F.col("call_id")], cut, "position").select("ref", "kind", "call_id", "position")
     none = left.select("ref", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("long").alias("position"))
     return ranked.unionByName(none)

@@ -170,3 +170,34 @@ def test_hot_calls_are_assembled_alike(spark, monkeypatch):
     once = made()
     monkeypatch.setattr(R, "SMALL_CALL", 3)
     assert made() == once and len(once) == 10
+
+
+def test_usual_notices_are_taken_apart_without_the_xml_reader(spark, monkeypatch):
+    """One match reads the usual form and says what the XML reader says; only markup of another form is left to that."""
+    link, who, status = '<a href="https://s/?a=1&amp;b=&lt;2&gt;&quot;&apos;&amp;lt;">Play ]]</a>', '<Identifiers><Id type="callId" value="{0}"/><Id type="chunkIndex" value="10001"/><Id type="x" value="y"/></Identifiers>', '<RecordingStatus status="{0}"/>'
+    content = '<RecordingContent contentTypes="Recording" timestamp="2026-01-01T00:00:00.5" duration="1:00:30.5">{0}</RecordingContent>'
+    item = '<item type="onedriveForBusiness{0}" uri="https://h/sites/s/_api/v2.1/drives/{1}/items/I/versions/current/media/transcripts/t/content"/>'
+    rest = '<RecordingStorage type="P"/><MeetingICalUid value="null"/>'
+    usual = [
+        who.format("K1") + status.format("Success") + content.format(""), link + '<OriginalName v="é 𝄞.mp4"/>' + who.format("K2") + status.format("Success") + content.format(item.format("Transcript", "D1") + item.format("Video", "D2") + item.format("Transcript", "D3")) + rest,
+        who.format("") + status.format("Success") + content.format(""), who.format("K3") + status.format("Failed"), who.format("K4") + status.format("Success"), '<Identifiers><Id type="callId" value="K5"/><Id type="callId" value="K6"/></Identifiers>' + status.format("Success") + content.format(item.format("Video", "D")), "",
+    ]
+    other = [
+        status.format("Success") + who.format("K7") + content.format(""), who.format(" K8 ") + status.format("Success"), who.format("K&9") + status.format("Success"), who.format("K&#65;") + status.format("Success"), who.format("K<") + status.format("Success"), "<b>" + who.format("K10") + status.format("Success") + "</b>",
+        who.format("K11") + status.format("Success") + "<RecordingStorage>", who.format("K12") + who.format("K13") + status.format("Success"), who.format("K14\x01") + status.format("Success"), who.format("K\t15") + status.format("Success"), "<!-- c -->" + who.format("K16") + status.format("Success"), link.replace("Play", "]]>") + who.format("K17") + status.format("Success"),
+        "<New a='1'/>" + who.format("K18") + status.format("Success"), "<Identifiers/>" + status.format("Success"),
+    ]
+
+    def found(bodies):
+        rows = [("a", "T", f"{i:03}", i, "recording", f"<p>x</p><URIObject{' type=' + chr(34) + 'V.2/C' + chr(34) if i % 2 else ''}>{b}</URIObject{' ' * (i % 3)}> tail") for i, b in enumerate(bodies)]
+        rows.append(("a", "T", "none", 99, "recording", "<URIObject><RecordingStatus status='Success'"))
+        parts, broken = R.read_recordings(spark.createDataFrame(rows, "account_id string, thread_id string, message_id string, sent_at long, kind string, content string"), cut)
+        return plain(parts), plain(broken)
+
+    quick = found(usual + other)
+    assert len(quick[0]) >= 12 and len(quick[1]) >= 4
+    with monkeypatch.context() as m:
+        m.setattr(R, "PLAIN", "^(?!)")
+        assert found(usual + other) == quick
+    form = spark.createDataFrame([(i, f"<URIObject>{b}</URIObject>") for i, b in enumerate(usual + other)], "i int, markup string")
+    assert {r[0] for r in form.where(F.col("markup").rlike(R.PLAIN)).collect()} == set(range(len(usual)))
