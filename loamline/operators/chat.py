@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,13 +124,14 @@ def sequence_gaps(messages: DataFrame, keys: list[str], number: str, at: str, si
     return step.groupBy(*keys).agg(F.coalesce(F.sum("_gap"), F.lit(0)).cast("long").alias("missing"))
 
 
-def activity_list(activity: DataFrame, messages: DataFrame, people: DataFrame, conversations: DataFrame, limit: int, types: list[str] | None = None, unread: bool = False, system: tuple[str, ...] = ()) -> DataFrame:
+def activity_list(activity: DataFrame, messages: DataFrame, people: DataFrame, conversations: DataFrame, limit: int, types: list[str] | None = None, unread: bool = False, system: tuple[str, ...] = (), cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The newest activity items with the message each points at, its sender, and the conversation's composed name; `truncated` says whether there are more.
 
-    Filters look at the items alone and each joins one row at most, so the first limit + 1 are taken before anything is joined. Messages of `system` conversations are not shown.
+    Filters look at the items alone and each joins one row at most, so the first limit + 1 are taken before anything is joined; cut(df, name) writes them, so that items are read once and not by each join. Messages of `system` conversations are not shown.
     """
     some = activity.where(P.every(F.lit(True), F.col("type").isin(types) if types else None, ~F.coalesce("is_read", F.lit(False)) if unread else None))
-    few = F.broadcast(top(some, limit, F.col("at").desc_nulls_last(), F.col("id").desc()))
+    few = top(some, limit, F.col("at").desc_nulls_last(), F.col("id").desc())
+    few = F.broadcast(cut(few, "newest") if cut else few)
     said = messages.where(~F.col("conversation_id").isin(*system)) if system else messages
     said = said.select("conversation_id", F.col("id").alias("message_id"), "content_text", "sender_id", F.col("sender_name").alias("_stated"))
     keys = ["conversation_id", "message_id"]

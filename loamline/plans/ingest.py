@@ -11,6 +11,7 @@ from ..functions.times import micros
 from ..operators import merge, purge
 from ..sources import mappers
 from ..sources.archive import table
+from ..sources.scratch import cut
 from .registry import query
 
 
@@ -179,7 +180,7 @@ def activity_newest(spark: SparkSession, sf: str) -> DataFrame:
     people = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
     named = lambda column: F.concat(F.lit("c"), F.col(column).cast("string"))
     conversations = table(spark, sf, "nation").select(named("n_nationkey").alias("id"), F.col("n_name").alias("display_name"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(named("n_regionkey")).alias("team_id"))
-    return chat.activity_list(items, messages, people, conversations, 300, ["click", "purchase"], True, ("c9",)).withColumn("at", F.unix_micros("at"))
+    return chat.activity_list(items, messages, people, conversations, 300, ["click", "purchase"], True, ("c9",), cut).withColumn("at", F.unix_micros("at"))
 
 
 _RECORDS = """SELECT 's' || (o_custkey % 2) AS source, o_orderpriority AS database, CASE WHEN o_custkey % 50 = 0 THEN 'auth' ELSE 'st' || (o_custkey % 5) END AS store,

@@ -236,3 +236,12 @@ def test_a_fingerprint_ignores_order_and_sees_change(spark):
 def test_recursion_returns_all_rows(spark, small):
     text = "WITH RECURSIVE w AS (SELECT id FROM range(600000) UNION ALL SELECT id + 600000 FROM w WHERE id < 600000) SELECT count(*) AS n, max(id) AS last FROM w"
     assert tuple(guarded(spark, small, text, ["region"]).first()) == (1_200_000, 1_199_999)
+
+
+def test_newest_activity_parses_its_records_once(spark, small):
+    """The few newest items are written, and no join of theirs parses the feed again."""
+    from loamline.plans import ingest
+
+    done = ingest.activity_newest(spark, small)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and any("/newest-" in f for f in done.inputFiles())
