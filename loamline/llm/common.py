@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1024
 #: Rows of an id list or rule table that may be broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -119,6 +121,20 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs inside gets its Arrow batches in at most so many bytes, for a task and its Python worker each hold one whole. A limit that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = 1 << 20) -> DataFrame:
     """mapInArrow with fn on byte-bounded slices."""
     at = df.columns.index(text)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free_names, map_slices, small_enough, unit_hash, written
+from .common import BROADCAST_ROWS, free_names, map_slices, small_batches, small_enough, unit_hash, written
 from .textbytes import per_document, text_bytes, word_bounds
 
 MAX_BUCKETS = 1 << 16
@@ -78,7 +78,8 @@ def measured(docs: DataFrame, weigh: Callable[[pa.Array], np.ndarray] = plain_sh
 
     rows = map_slices(docs.select("doc_id", "source", "text"), "text", measure, "doc_id long, source string, size long, weight double, tie long")
     # a hash may round to 1, of which the logarithm is 0
-    return written(rows.withColumn("key", F.greatest(F.lit(1e-18), -F.log(unit_hash("doc_id", "tie")) / F.col("weight"))), "sizes")
+    with small_batches(docs.sparkSession):
+        return written(rows.withColumn("key", F.greatest(F.lit(1e-18), -F.log(unit_hash("doc_id", "tie")) / F.col("weight"))), "sizes")
 
 
 def bucketed(rows: DataFrame) -> DataFrame:

@@ -26,12 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, written
+from .common import give_back, slices, small_batches, written
 
 CAPACITY, END_ID, SALTS = 4096, 1, 1024
-WORDS_HELD = 500_000
-#: Bytes of text whose words are encoded at once.
-SLICE_BYTES = 2 << 20
+#: Words that an encoder remembers; beyond that it forgets those that came in one slice of text only.
+WORDS_HELD = 200_000
+#: Bytes of text whose words are encoded at once, and the words that the tokenizer gets in one call.
+SLICE_BYTES, CALL_WORDS = 2 << 20, 20_000
 
 
 def default_tokenizer() -> str:
@@ -57,18 +58,28 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.reset()
-
-    def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.ids, self.begin, self.slices = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint8)
         self.used = 0
         self._append([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
+    def forget(self) -> None:
+        """Keep the words that came in two slices or more; if these are more than half of what may be held, none."""
+        stays = self.slices[: len(self.known)] > 1
+        stays &= stays.sum() <= WORDS_HELD // 2
+        stays[0] = True  # the empty word
+        at = np.flatnonzero(stays)
+        ids, size = self._gather(at)
+        words = [w for w, keep in zip(self.known, stays.tolist(), strict=True) if keep]  # a dict keeps the order of numbers
+        self.known, self.used = {}, 0
+        self.slices[:] = 0
+        self._append(words, ids, size)
+
     def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.known)
         while n + len(words) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.slices = np.concatenate([self.slices, np.zeros_like(self.slices)])
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -77,10 +88,16 @@ class WordEncoder:
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _append_each(self, words: list[str]) -> None:
-        coded = [c.ids for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self._append(words, np.array([i for ids in coded for i in ids], np.uint32), np.array([len(ids) for ids in coded], np.int64))
+        for k in range(0, len(words), CALL_WORDS):
+            part = words[k : k + CALL_WORDS]
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._append(part, np.array([i for ids in coded for i in ids], np.uint32), np.array([len(ids) for ids in coded], np.int64))
 
     def _append_stems(self, stems: list[str]) -> None:
+        for k in range(0, len(stems), CALL_WORDS):
+            self._append_some(stems[k : k + CALL_WORDS])
+
+    def _append_some(self, stems: list[str]) -> None:
         joined = [" ".join(stems[i : i + 200]) for i in range(0, len(stems), 200)]
         ids = np.concatenate([np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(self.last[ids]) + 1
@@ -94,7 +111,11 @@ class WordEncoder:
         begin = self.begin[at]
         size = self.begin[at + 1] - begin
         ahead = np.cumsum(size) - size
-        return self.ids[np.repeat(begin - ahead, size) + np.arange(int(size.sum()))], size
+        total = int(size.sum())
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64  # half the room for what a slice has
+        place = np.repeat((begin - ahead).astype(kind), size)
+        place += np.arange(total, dtype=kind)
+        return self.ids[place], size
 
     def _learn(self, words: list[str]) -> None:
         known, marks = self.known, self.MARKS
@@ -111,15 +132,18 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): each text's ids and after them the end id."""
         if len(self.known) > WORDS_HELD:
-            self.reset()
+            self.forget()
         split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if fresh := [w for w in distinct if w not in self.known]:
             self._learn(fresh)
         number = np.array([self.known[w] for w in distinct], np.int64)
+        self.slices[number] = np.minimum(self.slices[number], 1) + 1
+        del distinct, fresh
         at = number[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         ids, size = self._gather(at)
+        del words, at, number
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)])[bounds] + np.arange(len(bounds))
         out = np.full(offsets[-1], END_ID, np.uint32)
@@ -290,7 +314,8 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, grid: int
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, capacity, tokenizer).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))), "pieces")
+    with small_batches(spark):
+        pieces = written(token_pieces(docs, capacity, tokenizer).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))), "pieces")
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = counts.withColumn("ahead", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
