@@ -86,10 +86,10 @@ def with_removed(rows: DataFrame, reads: DataFrame) -> DataFrame:
     return held.join(missed, [*_WHO, "event_key"], "left").withColumn("removed_at", F.least(gone, "_missed")).drop("_start", "day", "_missed")
 
 
-def resolve(events: DataFrame, state: State) -> tuple[DataFrame, DataFrame]:
+def resolve(events: DataFrame, state: State, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(source, account_id, source_id, event_key, method) of the events that have no match yet, and the rows (source, account_id, event_key) that move, with their new key `to`.
 
-    events is one row a source id, with composite and own_key.
+    events is one row a source id, with composite and own_key. Both results are read from one table that cut(df, name) wrote.
     """
     one = [*_WHO, "composite"]
     live = with_removed(state.rows, state.reads).where("removed_at IS NULL").select(*_WHO, "event_key", "source_id", "composite", F.col("global_id"))
@@ -115,8 +115,9 @@ def resolve(events: DataFrame, state: State) -> tuple[DataFrame, DataFrame]:
     joins = alone & F.when(has_global, F.col("_taken").isNull()).otherwise(F.col("_mine").isNull())
     key = F.when(joins & ~has_global, F.col("_key")).when(~has_global & (F.col("own") > 1), F.concat("composite", F.lit("#"), "source_id")).otherwise(F.col("own_key"))
     method = F.when((F.col("_n") > 0) & ~alone, "ambiguous").when(joins & ~has_global, "upgraded").when(has_global, "global").otherwise("composite")
-    moves = seen.where(joins & has_global).select(F.col("_from").alias("source"), "account_id", F.col("_key").alias("event_key"), F.col("own_key").alias("to"))
-    return seen.select(*_WHO, "source_id", key.alias("event_key"), method.alias("method")), moves
+    moves = F.when(joins & has_global, F.struct(F.col("_from").alias("source"), "account_id", F.col("_key").alias("event_key"), F.col("own_key").alias("to")))
+    found = cut(seen.select(*_WHO, "source_id", key.alias("event_key"), method.alias("method"), moves.alias("_move")), "found")
+    return found.drop("_move"), found.where("_move IS NOT NULL").select("_move.*")
 
 
 def _moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
@@ -130,8 +131,8 @@ def _stated(unit: str) -> Column:
 
 
 def captured(rows: DataFrame) -> DataFrame:
-    """One row a key from any number of copies, whatever their order: every unit by its own clock."""
-    best = rows.groupBy(*_WHO, "event_key").agg(
+    """One row a key from any number of copies, whatever their order: every unit by its own clock. Copies meet before they are sorted: most keys have few, so sorting each task's own first would combine little and spill much."""
+    best = rows.repartition(*_WHO, "event_key").groupBy(*_WHO, "event_key").agg(
         F.min("source_id").alias("source_id"), F.max("global_id").alias("global_id"), F.max_by("composite", F.struct("times_clock", "composite")).alias("composite"), F.max("event_type").alias("event_type"),
         *(F.max(_stated(u)).alias(f"_{u}") for u in UNITS), F.max("seen_at").alias("seen_at"), F.max("gone_at").alias("gone_at"),
     )
@@ -143,9 +144,8 @@ def apply(state: State, batch: Batch, cut: Callable[[DataFrame, str], DataFrame]
     """The state after a batch, written by cut(df, name), and the events that were refused. A refused event with a source id spares its row: the source still reports it, only this copy is of no use."""
     refused = batch.events.where(~valid())
     good = _keyed(batch.events.where(valid()))
-    latest = cut(good.groupBy(*_WHO, "source_id").agg(F.max_by(F.struct("global_id", "composite", "own_key"), F.struct("clock", "at", "own_key")).alias("e")).select(*_WHO, "source_id", "e.*"), "latest")
-    found, moves = resolve(latest, state)
-    moves = cut(moves, "moves")
+    latest = cut(good.select(*_WHO, "source_id", "global_id", "composite", "own_key", "clock", "at").repartition("source_id").groupBy(*_WHO, "source_id").agg(F.max_by(F.struct("global_id", "composite", "own_key"), F.struct("clock", "at", "own_key")).alias("e")).select(*_WHO, "source_id", "e.*"), "latest")
+    found, moves = resolve(latest, state, cut)
     matches = cut(_moved(state.matches, moves).unionByName(found), "matches")
     times = F.struct("start", "end", "all_day", "start_date", "end_date").cast(_TIMES)
     copies = good.withColumn("times", times).withColumns({f"{u}_clock": F.col("clock") for u in UNITS}).join(matches.select(*_WHO, "source_id", "event_key"), [*_WHO, "source_id"])

@@ -107,3 +107,11 @@ def test_any_order_of_batches_gives_one_result(spark):
 def test_empty_batches(spark):
     state = run(spark, batch(spark))
     assert rows(state) == {} and state.matches.count() == state.reads.count() == 0
+
+
+def test_found_keys_are_written_once_and_copies_meet_before_they_are_sorted(spark):
+    names = []
+    B.apply(B.State.empty(spark), batch(spark, [event("t1")]), lambda df, name: names.append(name) or cut(df, name))
+    assert names.count("found") == 1 and "moves" not in names  # what moves is read from what was found, not found again
+    plan = B.captured(spark.createDataFrame([], B.ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "SortAggregate" not in plan[plan.rindex("Exchange hashpartitioning") :]
