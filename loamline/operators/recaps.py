@@ -19,15 +19,34 @@ RECAP = (*TEXTS, *TIMES, *NUMBERS, *FLAGS, *LINK, *RECORDING)
 ITEM = ("title", "text", "owner_name", "speaker_name", "at", "mentioned_by", "highlights", "ordinal")
 
 
-def _said(name: str) -> Column:
-    """Whether a copy states the field at all."""
-    empty = 0 if name in (*NUMBERS, "duration_seconds") else None if name in TIMES or name.endswith("_at") else ""
-    return F.col(name).isNotNull() if empty is None else F.coalesce(F.col(name) != empty, F.lit(False))
+#: How many rows meet in a task, which sorts them by their call in some 300 bytes each: few, as long as a shuffle of no more than DIRECT tasks does (up to so many Spark writes rows as they come, without holding them); then up to LARGE_TASK, 400 MB.
+SMALL_TASK, LARGE_TASK, DIRECT = 50_000, 1_250_000, 200
+
+
+def _empty(name: str) -> str | int | bool | None:
+    """The value with which a field says nothing, besides null."""
+    return False if name in FLAGS else 0 if name in (*NUMBERS, "duration_seconds") else None if name in TIMES or name.endswith("_at") else ""
+
+
+def _stated(name: str) -> Column:
+    """The field, null where it says nothing."""
+    return F.col(name) if _empty(name) is None else F.nullif(F.col(name), F.lit(_empty(name))).alias(name)
+
+
+def _filled(name: str, value: Column) -> Column:
+    """The value as a recap keeps it, which has nulls for times alone."""
+    return value if _empty(name) is None else F.coalesce(value, F.lit(_empty(name)))
 
 
 def _last(value: Column, said: Column) -> Column:
     """The value of the last copy that says it; of copies that came together the greater value."""
-    return F.max(F.when(said, F.struct(F.col("_order"), value.alias("v"))))["v"]
+    return F.max(F.when(said, F.struct("_new", "_order", value.alias("v"))))["v"]
+
+
+def _by_call(rows: DataFrame) -> DataFrame:
+    """All rows of a call in one task. They meet before they are sorted: most calls have few, so to fold each task's own first would combine little, and what it folds is wider than the rows and spills."""
+    n = rows.count()
+    return rows.repartition(max(1, min(DIRECT, -(-n // SMALL_TASK)), -(-n // LARGE_TASK)), *CALL)
 
 
 def capture_recaps(stored: DataFrame, batch: DataFrame, arrival: str, at: Column) -> DataFrame:
@@ -35,27 +54,24 @@ def capture_recaps(stored: DataFrame, batch: DataFrame, arrival: str, at: Column
 
     stored: CALL, RECAP, first_seen_at, updated_at; batch: copies with CALL, RECAP and an order of arrival, any number a call. Copies are applied in that order by the rules of the field lists. The recording moves as
     one: address, times and duration come from the last copy with an address, and without one each from the last that has it. A link's method comes with its id ('ical_uid' unless told). Columns beyond these are left out.
+    Both are counted first, so that there are as many tasks as they need.
     """
-    old = stored.select(*CALL, *RECAP, "first_seen_at", "updated_at", F.lit(None).cast("long").alias("_order"))
-    new = batch.select(*CALL, *RECAP, F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.col(arrival).cast("long").alias("_order"))
-    new = new.withColumns({c: F.lit(None).cast(old.schema[c].dataType) for c in ("first_seen_at", "updated_at")})
-    rows = old.withColumn("_order", F.struct(F.lit(0).alias("new"), "_order")).unionByName(new.withColumn("_order", F.struct(F.lit(1).alias("new"), "_order")))
-    kept = F.col("_order.new") == 0
-    alone = {c: _last(F.col(c), _said(c)) for c in (*TEXTS, *TIMES, *NUMBERS)} | {c: F.max(F.coalesce(F.col(c), F.lit(False))) for c in FLAGS}
-    method = F.when(kept, F.col("link_method")).otherwise(F.coalesce(F.nullif("link_method", F.lit("")), F.lit("ical_uid")))
-    linked = _last(F.struct(F.col("ical_uid").alias("ical_uid"), method.alias("link_method")), kept | _said("ical_uid"))
-    file = _last(F.struct(*RECORDING), _said("recording_url"))
-    state = rows.groupBy(*CALL).agg(
-        *(c.alias(n) for n, c in alone.items()), linked.alias("_link"), file.alias("_file"), *(_last(F.col(c), _said(c)).alias(f"_{c}") for c in RECORDING[1:]),
-        F.max(F.when(kept, F.struct(F.lit(1).alias("_one"), *RECAP))).alias("_was"), F.max("_order.new").alias("_told"), F.max("first_seen_at").alias("first_seen_at"), F.max("updated_at").alias("updated_at"),
+    fields = [_stated(c) for c in RECAP]
+    old = stored.select(*CALL, *fields, "first_seen_at", "updated_at", F.lit(False).alias("_new"), F.lit(None).cast("long").alias("_order"))
+    new = batch.select(*CALL, *fields, *(F.lit(None).cast(old.schema[c].dataType).alias(c) for c in ("first_seen_at", "updated_at")), F.lit(True).alias("_new"), F.col(arrival).cast("long").alias("_order"))
+    kept, said = ~F.col("_new"), {c: F.col(c).isNotNull() for c in RECAP}
+    alone = {c: _last(F.col(c), said[c]) for c in (*TEXTS, *TIMES, *NUMBERS)} | {c: F.max(c) for c in FLAGS}
+    method = F.when(kept, F.col("link_method")).otherwise(F.coalesce("link_method", F.lit("ical_uid")))
+    linked = _last(F.struct("ical_uid", method.alias("link_method")), kept | said["ical_uid"])
+    file = _last(F.struct(*RECORDING), said["recording_url"])
+    state = _by_call(old.unionByName(new)).groupBy(*CALL).agg(
+        *(c.alias(n) for n, c in alone.items()), linked.alias("_link"), file.alias("_file"), *(_last(F.col(c), said[c]).alias(f"_{c}") for c in RECORDING[1:]),
+        F.max(F.when(kept, F.struct(F.lit(1).alias("_one"), *RECAP))).alias("_was"), F.max("_new").alias("_told"), F.max("first_seen_at").alias("first_seen_at"), F.max("updated_at").alias("updated_at"),
     )
-    state = state.withColumns({c: F.coalesce(F.col(f"_link.{c}"), F.lit("")) for c in LINK} | {"recording_url": F.coalesce(F.col("_file.recording_url"), F.lit(""))})
-    state = state.withColumns({c: F.when(F.col("_file").isNotNull(), F.col(f"_file.{c}")).otherwise(F.col(f"_{c}")) for c in RECORDING[1:]})
-    filled = {c: F.coalesce(F.col(c), F.lit("")) for c in TEXTS} | {c: F.coalesce(F.col(c), F.lit(0)) for c in (*NUMBERS, "duration_seconds")}
-    state = state.withColumns(filled)
-    plain = lambda c, col: F.coalesce(col, F.lit("" if c in (*TEXTS, *LINK, "recording_url") else False if c in FLAGS else 0)) if c not in TIMES and not c.endswith("_at") else col
-    same = content_hash(*(F.col(c) for c in RECAP)) == content_hash(*(plain(c, F.col(f"_was.{c}")) for c in RECAP))
-    change = F.when(F.col("_told") == 0, "kept").when(F.col("_was").isNull(), "new").when(same, "unchanged").otherwise("changed")
+    state = state.withColumns({c: F.col(f"_link.{c}") for c in LINK} | {"recording_url": F.col("_file.recording_url")} | {c: F.when(F.col("_file").isNotNull(), F.col(f"_file.{c}")).otherwise(F.col(f"_{c}")) for c in RECORDING[1:]})
+    state = state.withColumns({c: _filled(c, F.col(c)) for c in RECAP})
+    same = content_hash(*(F.col(c) for c in RECAP)) == content_hash(*(_filled(c, F.col(f"_was.{c}")) for c in RECAP))
+    change = F.when(~F.col("_told"), "kept").when(F.col("_was").isNull(), "new").when(same, "unchanged").otherwise("changed")
     state = state.withColumn("change", change)
     moved = F.col("change").isin("new", "changed")
     return state.select(*CALL, *RECAP, F.coalesce("first_seen_at", at).alias("first_seen_at"), F.when(moved, at).otherwise(F.col("updated_at")).alias("updated_at"), "change")

@@ -73,6 +73,28 @@ def test_capture_is_a_fold_of_copies(spark):
     assert held(again.collect()) == want and {r["change"] for r in again.collect()} == {"kept"}
 
 
+def test_copies_meet_before_they_are_sorted_in_as_many_tasks_as_their_number_asks_for(spark, monkeypatch):
+    copies = spark.range(100).selectExpr("'a' AS account_id", "concat('c', id % 40) AS call_id", *(f"CAST({'id' if c == 'headline' else 'NULL'} AS {KINDS.get(c, 'string')}) AS {c}" for c in R.RECAP), "id AS arrival")
+    run = lambda: R.capture_recaps(spark.createDataFrame([], STORED), copies, "arrival", F.lit(1).cast("long"))
+    monkeypatch.setattr(R, "SMALL_TASK", 9, raising=False)
+    plan = run()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "Sort" not in plan[plan.rindex("Exchange hashpartitioning") :]  # rows are exchanged as they come, not sorted and folded first
+    assert "struct<" not in plan[plan.rindex("Exchange hashpartitioning") :]
+    assert run().rdd.getNumPartitions() == 12
+    monkeypatch.setattr(R, "DIRECT", 4)
+    assert run().rdd.getNumPartitions() == 4
+    monkeypatch.setattr(R, "LARGE_TASK", 20)
+    assert run().rdd.getNumPartitions() == 5
+    assert {r["call_id"]: r["headline"] for r in run().collect()} == {f"c{i}": str(i + 80 if i < 20 else i + 40) for i in range(40)}
+
+
+def test_nulls_of_a_stored_recap_are_no_change(spark):
+    stored = spark.createDataFrame([("a", "c", *(None for _ in R.RECAP), 3, 4)], STORED)
+    copy = spark.createDataFrame([("a", "c", *(EMPTY[c] for c in R.RECAP), 1)], COPIES)
+    (got,) = R.capture_recaps(stored, copy, "arrival", F.lit(9).cast("long")).collect()
+    assert {c: got[c] for c in R.RECAP} == EMPTY and (got["change"], got["first_seen_at"], got["updated_at"]) == ("unchanged", 3, 4)
+
+
 ITEMS = "account_id string, call_id string, kind string, origin string, title string, text string, owner_name string, speaker_name string, at long, mentioned_by string, highlights string, ordinal int"
 
 
