@@ -55,7 +55,9 @@ def _group(d: Derivation) -> Column:
 def stamps(inputs: DataFrame, d: Derivation) -> DataFrame:
     """group and stamp of the input rows; repeated rows count, their order does not. Null keys are a group like others."""
     rows = inputs.select(_group(d), content_hash(*(F.col(c) for c in d.inputs)).alias("_row"))
-    parts = [F.sum(F.conv(F.substring("_row", 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"_{i}") for i in range(6)]  # 192 bits, in numbers that no sum of rows overflows
+    bits = [F.xxhash64(F.lit(i), "_row") for i in range(3)]
+    halves = [h for b in bits for h in (F.shiftrightunsigned(b, 32), b.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    parts = [F.sum(h).alias(f"_{i}") for i, h in enumerate(halves)]  # 192 bits of the row's digest, in numbers that no sum of rows overflows
     sums = rows.groupBy("group").agg(*parts, F.count("*").alias("_n"))
     return sums.select("group", _short(content_hash(*(F.col(f"_{i}") for i in range(6)), F.col("_n"))).alias("stamp"))
 
@@ -67,10 +69,10 @@ def moved(now: DataFrame, held: DataFrame, d: Derivation) -> DataFrame:
     return now.join(known, "group", "full").where(~same).select("group", "stamp")
 
 
-def built(inputs: DataFrame, changed: DataFrame, d: Derivation, whole: bool = False) -> DataFrame:
-    """The held form of the changed groups that still have inputs. whole: that is every group, so no input row is asked whether it belongs to one."""
+def built(inputs: DataFrame, changed: DataFrame, d: Derivation, cut: Callable[[DataFrame, str], DataFrame], whole: bool = False) -> DataFrame:
+    """The held form of the changed groups that still have inputs. whole: that is every group, so no input row is asked whether it belongs to one; else each is asked once, however often build reads its rows."""
     fresh = changed.where("stamp IS NOT NULL")
-    own = inputs.select(*d.inputs) if whole else inputs.select(_group(d), *d.inputs).join(fresh.select("group"), "group", "left_semi").drop("group")
+    own = inputs.select(*d.inputs) if whole else cut(inputs.select(_group(d), *d.inputs).join(fresh.select("group"), "group", "left_semi").drop("group"), "own")
     made = d.build(own)
     rows = made.select(_group(d), F.lit(None).cast("string").alias("stamp"), F.struct(*made.columns).alias("row"))
     heads = fresh.select("group", "stamp", F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
@@ -98,11 +100,11 @@ def refresh(inputs: DataFrame, held: DataFrame | None, d: Derivation, cut: Calla
     now = stamps(inputs, d)
     if held is None:
         first = cut(now, "moved")
-        new = cut(built(inputs, first, d, True), "derived")
+        new = cut(built(inputs, first, d, cut, True), "derived")
         return Refreshed(new, first, _rows(new), _rows(new).limit(0))
     _check(held, d)
     changed = cut(moved(now, held, d), "moved")
-    new = cut(built(inputs, changed, d), "derived")
+    new = cut(built(inputs, changed, d, cut), "derived")
     old = held.join(changed.select("group"), "group", "left_semi")
     kept = held.join(changed.select("group"), "group", "left_anti")
     return Refreshed(kept.unionByName(new), changed, _differ(new, old), _differ(old, new))
@@ -124,7 +126,7 @@ def publish(inputs: DataFrame, root: str, name: str, d: Derivation, cut: Callabl
     parts = [r[0] for r in changed.select(archive.part_of(["group"])).distinct().collect()]  # at most PARTS
     if not parts:
         return None
-    new = cut(built(inputs, changed, d, held is None), "derived")
+    new = cut(built(inputs, changed, d, cut, held is None), "derived")
 
     def merged(stored: DataFrame | None) -> DataFrame:
         return new if stored is None else stored.join(changed.select("group"), "group", "left_anti").unionByName(new)

@@ -29,6 +29,8 @@ PLAIN = (
     r'(?:<RecordingContent contentTypes="(@)" timestamp="(@)" duration="(@)">(?:<item type="(?:onedriveForBusinessTranscript" uri="(@)|onedriveForBusinessVideo" uri="(@)|(?!onedriveForBusiness(?:Transcript|Video)")@" uri="@)"/>){0,20}+</RecordingContent>)?'
     r'(?:<RecordingStorage type="(@)"/>)?(?:<MeetingICalUid value="(@)"/>)?</URIObject\s*+>$'
 ).replace("@", _VALUE).replace("#", _OTHER.replace('"', ">"))
+#: Fields that the XML reader finds in a list of pairs: the list, and which member is the value.
+_LISTS = {f: ("Identifiers.Id", "_value") for f in ("callId", "chunkIndex")} | {f: ("RecordingContent.item", "_uri") for f in ("onedriveForBusinessTranscript", "onedriveForBusinessVideo")}
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 #: A call with more notices than SMALL_CALL, and more than one in HOT_PARTS of all, is numbered by slices.
@@ -62,36 +64,39 @@ def _unescaped(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("&")), clean).otherwise(value)
 
 
-def read_recordings(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def read_recordings(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame], also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The parts that successful recording notices name (columns PART), and account_id and message_id of notices that cannot be read or name no call.
 
     Messages without a notice and notices of another status make neither. A part is known by its drive item, else by its link, else by its message. Markup is taken apart once, by PLAIN or else by the
-    XML reader: filters on what it says meet the written fields.
+    XML reader, into one list of PLAIN_FIELDS: filters on what it says, and on the content, meet the written fields. Columns named in `also` are kept.
     """
-    markup = F.regexp_extract("content", r"(?s)<URIObject.*?</URIObject\s*>", 0)
+    own = ["account_id", "thread_id", "message_id", "sent_at", *also]
+    mark = "\x01"  # stands in no markup that matches
+    read = messages.where("kind = 'recording'").select(*own, "content", F.substr("content", F.greatest(F.locate("<URIObject", "content"), F.lit(1))).alias("_tail"))
+    clean = F.startswith("_tail", F.lit("<URIObject")) & ~(F.contains("_tail", F.lit("\uFFFE")) | F.contains("_tail", F.lit("\uFFFF")))
+    # what comes after the first notice does not count
+    read = read.withColumn("_taken", F.regexp_replace(F.when(clean, F.col("_tail")).otherwise(""), PLAIN.removesuffix("$") + "(?s:.*)$", "".join(f"{mark}${i}" for i in range(1, len(PLAIN_FIELDS) + 1))))
+    quick = F.startswith("_taken", F.lit(mark))  # markup that does not match stays as it is and begins with <
+    markup = F.regexp_extract("_tail", r"(?s)^<URIObject.*?</URIObject\s*>", 0)
+    read = read.select(*own, "_taken", F.contains("content", F.lit("<URIObject")).alias("_any"), F.when(~quick, markup).alias("_markup"))
     plain = F.regexp_replace("_markup", r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
-    rows = messages.where("kind = 'recording' AND contains(content, '<URIObject')")
-    own = ["account_id", "thread_id", "message_id", "sent_at"]
-    read = rows.select(*own, markup.alias("_markup"))
-    clean = ~(F.contains("_markup", F.lit("\uFFFE")) | F.contains("_markup", F.lit("\uFFFF")))
-    read = read.withColumn("_taken", F.split(F.regexp_replace(F.when(clean, F.col("_markup")).otherwise(""), PLAIN, "".join(f"\x01${i}" for i in range(1, len(PLAIN_FIELDS) + 1))), "\x01", -1))
-    quick = (F.size("_taken") > 1) & (F.col("_taken")[0] == "")  # markup that does not match stays as it is and begins with <; the mark stands in none that does
     told = F.from_xml(plain, f"{NOTICE}, _bad string", {"attributePrefix": "_", "columnNameOfCorruptRecord": "_bad"})
-    read = read.select(*own, "_markup", "_taken", F.when(~quick & (F.col("_markup") != ""), told).alias("n"))
-    either = lambda field, slow: F.when(quick, _unescaped(F.col("_taken")[PLAIN_FIELDS.index(field) + 1])).otherwise(slow)
-    text = lambda field: either(field, F.coalesce(F.col(f"n.{field}"), F.lit("")))
-    identifier = lambda name: either(name, _named(F.col("n.Identifiers.Id"), name, "_value"))
-    item = lambda name: either(name, _named(F.col("n.RecordingContent.item"), name, "_uri"))
-    fine = (F.col("_markup") != "") & F.col("n._bad").isNull()
+    read = read.select(*own, "_taken", "_any", "_markup", F.when(F.col("_markup") != "", told).alias("n"))
+    slow = [_named(F.col(f"n.{_LISTS[f][0]}"), f, _LISTS[f][1]) if f in _LISTS else F.coalesce(F.col(f"n.{f}"), F.lit("")) for f in PLAIN_FIELDS]
+    fields = F.when(quick, F.split(_unescaped(F.col("_taken")), mark, -1)).otherwise(F.array(F.lit(""), *slow))
+    fine = quick | (F.coalesce(F.col("_markup") != "", F.lit(False)) & F.col("n._bad").isNull())
+    read = read.select(*own, "_any", fine.alias("_ok"), fields.alias("_fields"))
+    text = lambda field: F.col("_fields")[PLAIN_FIELDS.index(field) + 1]
     done = text("RecordingStatus._status") == "Success"
-    read = read.withColumns({"call_id": identifier("callId"), "_ok": fine})
-    told = F.when(~F.col("_ok") | (done & (F.col("call_id") == "")), "broken").when(done, "part")
-    uri = item("onedriveForBusinessTranscript")
-    chunk, types = identifier("chunkIndex"), text("RecordingContent._contentTypes")
-    share = F.coalesce(F.nullif(text("a._href"), F.lit("")), item("onedriveForBusinessVideo"))
-    fields = {name: F.regexp_extract("_uri", TRANSCRIPT_URI, i) for i, name in enumerate(("host", "site_root", "drive_id", "item_id", "transcript_id"), 1)}
+    read = read.withColumn("call_id", text("callId"))
+    told = F.when(F.col("_any") & (~F.col("_ok") | (done & (F.col("call_id") == ""))), "broken").when(F.col("_any") & done, "part")
+    names = ("host", "site_root", "drive_id", "item_id", "transcript_id")
+    address = F.split(F.regexp_replace(text("onedriveForBusinessTranscript"), TRANSCRIPT_URI, "".join(f"{mark}${i}" for i in range(1, len(names) + 1)) + mark), mark, -1)
+    chunk, types = text("chunkIndex"), text("RecordingContent._contentTypes")
+    share = F.coalesce(F.nullif(text("a._href"), F.lit("")), text("onedriveForBusinessVideo"))
+    fields = {name: F.when(F.size("_address") == len(names) + 2, F.col("_address")[i]).otherwise("") for i, name in enumerate(names, 1)}
     parts = (
-        read.withColumns({"told": told, "_uri": uri, "share_url": share, "content_types": types, "chunk_index": chunk})
+        read.withColumns({"told": told, "_address": address, "share_url": share, "content_types": types, "chunk_index": chunk})
         .withColumns(fields)
         .withColumn("ref_quality", F.when(F.col("drive_id") != "", "drive_item").when(F.col("share_url") != "", "share_only").otherwise("ams_only"))
     )
@@ -102,14 +107,14 @@ def read_recordings(messages: DataFrame, cut: Callable[[DataFrame, str], DataFra
             "storage_kind": text("RecordingStorage._type"), "meeting_ical_uid": text("MeetingICalUid._value"), "original_name": text("OriginalName._v"),
         }
     )
-    written = cut(fields.select(*PART, "told"), "notices")
-    return written.where("told = 'part'").select(*PART), written.where("told = 'broken'").select("account_id", "message_id")
+    written = cut(fields.select(*PART, *also, "told"), "notices")
+    return written.where("told = 'part'").select(*PART, *also), written.where("told = 'broken'").select("account_id", "message_id", *also)
 
 
-def read_transcripts(messages: DataFrame) -> DataFrame:
-    """account_id, call_id, thread_id, message_id and sent_at of transcript notices; their JSON may have its quotes escaped."""
+def read_transcripts(messages: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """account_id, call_id, thread_id, message_id and sent_at of transcript notices; their JSON may have its quotes escaped. Columns named in `also` are kept."""
     call = F.get_json_object(F.replace(F.col("content"), F.lit('\\"'), F.lit('"')), "$.callId")
-    return messages.where("kind = 'transcript'").select("account_id", call.alias("call_id"), "thread_id", "message_id", "sent_at").where("call_id <> ''")
+    return messages.where("kind = 'transcript'").select("account_id", call.alias("call_id"), "thread_id", "message_id", "sent_at", *also).where("call_id <> ''")
 
 
 def assemble(parts: DataFrame, notices: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -151,10 +156,10 @@ def assemble(parts: DataFrame, notices: DataFrame, cut: Callable[[DataFrame, str
     return out.unionByName(numbered(large, CALL, order, cut, "ordinal"))
 
 
-def notices(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """All that a call's parts are derived from, one row a notice (PART and told: 'part' or 'notice'), and the notices that could not be read."""
-    parts, broken = read_recordings(messages, cut)
-    heard = read_transcripts(messages)
+def notices(messages: DataFrame, cut: Callable[[DataFrame, str], DataFrame], also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """All that a call's parts are derived from, one row a notice (PART and told: 'part' or 'notice'), and the notices that could not be read. Columns named in `also` are kept."""
+    parts, broken = read_recordings(messages, cut, also)
+    heard = read_transcripts(messages, also)
     return parts.withColumn("told", F.lit("part")).unionByName(heard.withColumn("told", F.lit("notice")), allowMissingColumns=True), broken
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loamline.operators import derive, ranking
 from loamline.operators import recordings as R
+from loamline.plans import derived
 from loamline.sources import archive
 from loamline.sources.scratch import cut
 
@@ -201,3 +202,29 @@ def test_usual_notices_are_taken_apart_without_the_xml_reader(spark, monkeypatch
         assert found(usual + other) == quick
     form = spark.createDataFrame([(i, f"<URIObject>{b}</URIObject>") for i, b in enumerate(usual + other)], "i int, markup string")
     assert {r[0] for r in form.where(F.col("markup").rlike(R.PLAIN)).collect()} == set(range(len(usual)))
+
+
+def test_changed_groups_are_asked_for_once(spark):
+    """build may read its rows several times: they are written, and no read joins them with the changed groups again."""
+    plans = []
+
+    def build(own):
+        plans.append(own._jdf.queryExecution().optimizedPlan().toString())
+        return sums(own)
+
+    d = derive.Derivation(["k"], ["k", "item", "size"], build)
+    held = derive.refresh(spark.createDataFrame([("a", 2, None), ("b", 4, None)], SHAPE), None, d, cut).held
+    done = derive.refresh(spark.createDataFrame([("a", 2, None), ("b", 6, None)], SHAPE), held, d, cut)
+    assert "Join" not in plans[1] and done.moved.count() == 1 and plain(done.gained) == ["Row(k='b', total=6, n=0)", "Row(k='b', total=6, n=1)"]
+
+
+def test_both_states_hold_each_message_once(spark, small):
+    """The messages of both states together are those of each, and reading keeps which is which."""
+    both = derived.messages(spark, small, None)
+    for state, later in (("_then", False), ("_now", True)):
+        assert plain(both.where(state).drop("_then", "_now")) == plain(derived.messages(spark, small, later))
+    assert both.count() < 1.1 * derived.messages(spark, small).count()
+    rows, broken = R.notices(both, cut, ("_then", "_now"))
+    for state, later in (("_then", False), ("_now", True)):
+        want = R.notices(derived.messages(spark, small, later), cut)
+        assert [plain(df.where(state).drop("_then", "_now")) for df in (rows, broken)] == [plain(df) for df in want]
